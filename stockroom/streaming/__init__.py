@@ -1,0 +1 @@
+"""stockroom.streaming"""
