@@ -264,3 +264,113 @@ SELECT supplier_id,
        json_extract_string(contact_info, '$.notes') AS notes
 FROM suppliers""",
 )
+
+# ---------------------------------------------------------------------------
+# Integrity audits
+# ---------------------------------------------------------------------------
+Q1 = with_fixtures(
+    "inventory",
+    body="""
+SELECT inventory_id, COUNT(*) AS n FROM inventory GROUP BY inventory_id
+HAVING COUNT(*) > 1 OR inventory_id IS NULL""",
+)
+
+Q2 = with_fixtures(
+    "d_employees",
+    body="""
+SELECT username, COUNT(*) AS n FROM d_employees WHERE username IS NOT NULL
+GROUP BY username HAVING COUNT(*) > 1""",
+)
+
+Q3 = with_fixtures(
+    "d_products",
+    body="""
+SELECT product_id, 'product_id' AS column_name FROM d_products WHERE product_id IS NULL
+UNION ALL SELECT product_id, 'name' FROM d_products WHERE name IS NULL
+UNION ALL SELECT product_id, 'category' FROM d_products WHERE category IS NULL""",
+)
+
+Q4 = with_fixtures(
+    "inventory",
+    "purchase_orders",
+    "d_products",
+    body="""
+SELECT 'inventory' AS child_table, 'product_id' AS fk_column, CAST(i.inventory_id AS BIGINT) AS child_id,
+       CAST(i.product_id AS BIGINT) AS fk_value
+FROM inventory i
+WHERE i.product_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_products p WHERE p.product_id = i.product_id)
+UNION ALL
+SELECT 'purchase_orders', 'product_id', CAST(o.purchase_order_id AS BIGINT), CAST(o.product_id AS BIGINT)
+FROM purchase_orders o
+WHERE o.product_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_products p WHERE p.product_id = o.product_id)""",
+)
+
+Q5 = with_fixtures(
+    "inventory",
+    "d_purchase_orders",
+    body="""
+SELECT 'ck_inventory_quantity' AS constraint_name, CAST(inventory_id AS BIGINT) AS row_id
+FROM inventory WHERE NOT (quantity - 2 >= 0)
+UNION ALL
+SELECT 'ck_quantity_ordered', CAST(purchase_order_id AS BIGINT)
+FROM d_purchase_orders WHERE NOT (quantity_ordered > 0)""",
+)
+
+Q6 = with_fixtures(
+    "d_purchase_orders",
+    body="""
+SELECT purchase_order_id, status FROM d_purchase_orders
+WHERE status IS NOT NULL AND status NOT IN ('Новый', 'В обработке', 'Отправлен', 'Получен', 'Отменен')""",
+)
+
+Q7 = with_fixtures(
+    "d_products",
+    body="""
+SELECT product_id, CAST(length(name) AS INTEGER) AS name_length FROM d_products
+WHERE length(rtrim(name)) > 150""",
+)
+
+Q8 = with_fixtures(
+    "d_products",
+    body="""
+SELECT product_id, markup_percentage FROM d_products
+WHERE abs(round(CAST(markup_percentage AS DECIMAL(38,10)), 2)) >= 1000""",
+)
+
+Q9 = with_fixtures(
+    "stock_takes",
+    body=f"""
+SELECT stock_take_id, {AS_OF} AS stock_take_date, status, zone_id, FALSE AS has_discrepancies,
+       FALSE AS is_initial_stock_take, performed_by_employee_id
+FROM stock_takes""",
+)
+
+Q10 = with_fixtures(
+    "warehouses",
+    "storage_zones",
+    "inventory",
+    "inventory_transactions",
+    "stock_takes",
+    extra="""
+doomed AS (SELECT warehouse_id FROM warehouses WHERE warehouse_id IN (1)),
+refs AS (
+  SELECT zone_id FROM inventory
+  UNION SELECT source_zone_id FROM inventory_transactions
+  UNION SELECT destination_zone_id FROM inventory_transactions
+  UNION SELECT zone_id FROM stock_takes),
+zone_rows AS (
+  SELECT 'zone' AS entity, z.zone_id AS id, z.warehouse_id,
+         CASE WHEN z.warehouse_id NOT IN (SELECT warehouse_id FROM doomed) THEN 'kept'
+              WHEN z.zone_id IN (SELECT zone_id FROM refs WHERE zone_id IS NOT NULL) THEN 'blocked'
+              ELSE 'deleted' END AS outcome
+  FROM storage_zones z)""",
+    body="""
+SELECT 'warehouse' AS entity, w.warehouse_id AS id, w.warehouse_id,
+       CASE WHEN w.warehouse_id NOT IN (SELECT warehouse_id FROM doomed) THEN 'kept'
+            WHEN EXISTS (SELECT 1 FROM zone_rows z WHERE z.warehouse_id = w.warehouse_id AND z.outcome = 'blocked')
+              THEN 'blocked'
+            ELSE 'deleted' END AS outcome
+FROM warehouses w
+UNION ALL
+SELECT * FROM zone_rows""",
+)

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stockroom.operators import contacts, replenish, reports
+from stockroom import schemas
+from stockroom.operators import contacts, quality, replenish, reports
 from stockroom.plans import oracle
 from stockroom.sources import fixtures as fx
 
@@ -75,6 +77,90 @@ def d2_supplier_contacts(spark: SparkSession, sf: str) -> DataFrame:
     return contacts.supplier_contacts(fx.suppliers(spark, sf))
 
 
+# ---------------------------------------------------------------------------
+# Integrity audits Q1-Q10 (dirty fixtures where clean data would find nothing)
+# ---------------------------------------------------------------------------
+def q1_duplicate_inventory_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.audit_primary_key(fx.inventory(spark, sf), "inventory_id")
+
+
+def q2_duplicate_usernames(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.audit_unique(fx.dirty_employees(spark, sf), "username")
+
+
+def q3_null_product_columns(spark: SparkSession, sf: str) -> DataFrame:
+    products = fx.dirty_products(spark, sf)
+    required = [c for c in schemas.not_null_columns("products") if c in products.columns]
+    return quality.audit_not_null(products, required, "product_id")
+
+
+def q4_foreign_key_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    parents = fx.dirty_products(spark, sf)
+    parts = []
+    for child_table, child, child_key in (
+        ("inventory", fx.inventory(spark, sf), "inventory_id"),
+        ("purchase_orders", fx.purchase_orders(spark, sf), "purchase_order_id"),
+    ):
+        orphans = quality.audit_foreign_key(child, parents, "product_id", "product_id")
+        parts.append(
+            orphans.select(
+                F.lit(child_table).alias("child_table"),
+                F.lit("product_id").alias("fk_column"),
+                F.col(child_key).cast("bigint").alias("child_id"),
+                F.col("product_id").cast("bigint").alias("fk_value"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
+def q5_check_violations(spark: SparkSession, sf: str) -> DataFrame:
+    checks = {name: pred for name, _table, pred, _cols in schemas.CHECKS}
+    inv_pred, po_pred = checks["ck_inventory_quantity"], checks["ck_quantity_ordered"]
+    inv = quality.audit_check(fx.dirty_inventory(spark, sf), inv_pred).select(
+        F.lit("ck_inventory_quantity").alias("constraint_name"), F.col("inventory_id").cast("bigint").alias("row_id")
+    )
+    po = quality.audit_check(fx.dirty_purchase_orders(spark, sf), po_pred).select(
+        F.lit("ck_quantity_ordered").alias("constraint_name"), F.col("purchase_order_id").cast("bigint").alias("row_id")
+    )
+    return inv.unionByName(po)
+
+
+def q6_unknown_order_status(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.audit_enum(fx.dirty_purchase_orders(spark, sf), "status", schemas.ORDER_STATUS).select(
+        "purchase_order_id", "status"
+    )
+
+
+def q7_product_name_too_long(spark: SparkSession, sf: str) -> DataFrame:
+    limit = schemas.column("products", "name").max_length
+    return quality.audit_varchar(fx.dirty_products(spark, sf), "name", limit).select(
+        "product_id", F.length("name").alias("name_length")
+    )
+
+
+def q8_markup_overflow(spark: SparkSession, sf: str) -> DataFrame:
+    p, s = schemas.column("products", "markup_percentage").numeric
+    return quality.audit_numeric(fx.dirty_products(spark, sf), "markup_percentage", p, s).select(
+        "product_id", "markup_percentage"
+    )
+
+
+def q9_stock_take_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    bare = fx.stock_takes(spark, sf).select("stock_take_id", "status", "zone_id", "performed_by_employee_id")
+    return quality.apply_defaults(bare, "stock_takes", as_of=AS_OF)
+
+
+def q10_delete_warehouse_1(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.cascade_delete_warehouses(
+        fx.warehouses(spark, sf),
+        fx.storage_zones(spark, sf),
+        fx.inventory(spark, sf),
+        fx.inventory_transactions(spark, sf),
+        fx.stock_takes(spark, sf),
+        [1],
+    )
+
+
 QUERIES: dict[str, Query] = {
     "r1_expiring_inventory": r1_expiring_inventory,
     "r2_expiring_within_7_days": r2_expiring_within_7_days,
@@ -86,6 +172,16 @@ QUERIES: dict[str, Query] = {
     "r8_products_to_reorder": r8_products_to_reorder,
     "d1_replenishment_proposals": d1_replenishment_proposals,
     "d2_supplier_contacts": d2_supplier_contacts,
+    "q1_duplicate_inventory_ids": q1_duplicate_inventory_ids,
+    "q2_duplicate_usernames": q2_duplicate_usernames,
+    "q3_null_product_columns": q3_null_product_columns,
+    "q4_foreign_key_orphans": q4_foreign_key_orphans,
+    "q5_check_violations": q5_check_violations,
+    "q6_unknown_order_status": q6_unknown_order_status,
+    "q7_product_name_too_long": q7_product_name_too_long,
+    "q8_markup_overflow": q8_markup_overflow,
+    "q9_stock_take_defaults": q9_stock_take_defaults,
+    "q10_delete_warehouse_1": q10_delete_warehouse_1,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +195,14 @@ ORACLE_SQL: dict[str, str] = {
     "r8_products_to_reorder": oracle.R8,
     "d1_replenishment_proposals": oracle.D1,
     "d2_supplier_contacts": oracle.D2,
+    "q1_duplicate_inventory_ids": oracle.Q1,
+    "q2_duplicate_usernames": oracle.Q2,
+    "q3_null_product_columns": oracle.Q3,
+    "q4_foreign_key_orphans": oracle.Q4,
+    "q5_check_violations": oracle.Q5,
+    "q6_unknown_order_status": oracle.Q6,
+    "q7_product_name_too_long": oracle.Q7,
+    "q8_markup_overflow": oracle.Q8,
+    "q9_stock_take_defaults": oracle.Q9,
+    "q10_delete_warehouse_1": oracle.Q10,
 }

@@ -210,10 +210,10 @@ FOREIGN_KEYS: tuple[ForeignKey, ...] = (
     ForeignKey("stock_takes", "performed_by_employee_id", "employees", "employee_id"),
 )
 
-# CHECK constraints as Spark SQL predicates (name, table, predicate).
-CHECKS: tuple[tuple[str, str, str], ...] = (
-    ("ck_quantity_ordered", "purchase_orders", "quantity_ordered > 0"),
-    ("ck_inventory_quantity", "inventory", "quantity >= 0"),
+# CHECK constraints as Spark SQL predicates (name, table, predicate, columns read).
+CHECKS: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
+    ("ck_quantity_ordered", "purchase_orders", "quantity_ordered > 0", ("quantity_ordered",)),
+    ("ck_inventory_quantity", "inventory", "quantity >= 0", ("quantity",)),
 )
 
 
