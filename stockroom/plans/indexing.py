@@ -9,9 +9,8 @@ per partition, bounded by the partition count, not by the data) reach the driver
 The tagged frame is checkpointed before it is counted, so the count pass and the
 join pass read the very same rows even if an executor is lost in between.
 
-Rows with equal keys get neighbouring indexes in an arbitrary order; callers that
-draw by index read only the key (and columns that depend on it), so that order
-never shows in a result.
+Rows equal in every ordering column get neighbouring indexes in an arbitrary order;
+since they are equal, which one a draw lands on never shows in a result.
 """
 
 from __future__ import annotations
@@ -25,14 +24,15 @@ _PID = "_sr_pid"
 _POS = "_sr_pos"
 
 
-def with_dense_index(df: DataFrame, key: str, index_col: str = "_idx") -> tuple[DataFrame, int]:
-    """Return ``(df + index_col, n)`` where ``index_col`` is the 0-based rank of ``key``.
+def with_dense_index(df: DataFrame, order: str | list[str], index_col: str = "_idx") -> tuple[DataFrame, int]:
+    """Return ``(df + index_col, n)`` where ``index_col`` is the 0-based rank in ``ORDER BY order``.
 
-    NULL keys sort first, as in ``ORDER BY key`` with Spark's default null order;
-    callers pass parents whose key is NOT NULL.
+    NULLs sort first, as in Spark's default ascending order; callers pass parents
+    whose key is NOT NULL.
     """
     spark = df.sparkSession
-    ordered = df.repartitionByRange(F.col(key)).sortWithinPartitions(F.col(key))
+    cols = [F.col(c) for c in ([order] if isinstance(order, str) else order)]
+    ordered = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
     tagged = ordered.select(
         "*",
         F.spark_partition_id().alias(_PID),

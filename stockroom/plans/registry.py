@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom import schemas
-from stockroom.operators import contacts, quality, replenish, reports
-from stockroom.plans import oracle
+from stockroom.operators import contacts, quality, replenish, reports, synth
+from stockroom.plans import oracle, oracle_synth
 from stockroom.sources import fixtures as fx
 
 AS_OF = fx.AS_OF
@@ -161,6 +161,77 @@ def q10_delete_warehouse_1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------------
+# Generators G1-G10: sizes follow the source tables, parents are the fixtures
+# ---------------------------------------------------------------------------
+SEED = synth.DEFAULT_SEED
+NOW = "1998-06-01 12:00:00"
+
+
+def _rows(spark: SparkSession, sf: str, table: str) -> int:
+    return fx.read(spark, sf, table).count()
+
+
+def g1_seed_user_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Seed roles on top of an existing role table: one role per customer market segment."""
+    existing = (
+        fx.read(spark, sf, "customer")
+        .groupBy(F.col("c_mktsegment").alias("role_name"))
+        .agg(F.min("c_custkey").cast("int").alias("role_id"))
+        .select("role_id", "role_name", F.lit(None).cast("string").alias("description"))
+    )
+    return synth.seed_user_roles(spark, existing)
+
+
+def g2_generate_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.generate_suppliers(spark, _rows(spark, sf, "supplier"), SEED)
+
+
+def g3_generate_products(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.generate_products(spark, _rows(spark, sf, "part"), SEED)
+
+
+def g4_generate_warehouses(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.generate_warehouses(spark, _rows(spark, sf, "supplier"), SEED)
+
+
+def g5_generate_storage_zones(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.generate_storage_zones(g4_generate_warehouses(spark, sf), 20, SEED)
+
+
+def g6_generate_employees(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.generate_employees(fx.user_roles(spark), _rows(spark, sf, "customer"), SEED, AS_OF)
+
+
+def g7_generate_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.generate_inventory(
+        fx.products(spark, sf), fx.storage_zones(spark, sf), _rows(spark, sf, "lineitem"), AS_OF, SEED
+    )
+
+
+def g8_generate_purchase_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.generate_purchase_orders(
+        fx.products(spark, sf), fx.suppliers(spark, sf), _rows(spark, sf, "orders"), AS_OF, SEED
+    )
+
+
+def g9_generate_inventory_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.generate_inventory_transactions(
+        fx.inventory(spark, sf),
+        fx.employees(spark, sf),
+        fx.storage_zones(spark, sf),
+        _rows(spark, sf, "events"),
+        NOW,
+        SEED,
+    )
+
+
+def g10_generate_stock_takes(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.generate_stock_takes(
+        fx.employees(spark, sf), fx.storage_zones(spark, sf), _rows(spark, sf, "orders"), AS_OF, SEED
+    )
+
+
 QUERIES: dict[str, Query] = {
     "r1_expiring_inventory": r1_expiring_inventory,
     "r2_expiring_within_7_days": r2_expiring_within_7_days,
@@ -182,6 +253,16 @@ QUERIES: dict[str, Query] = {
     "q8_markup_overflow": q8_markup_overflow,
     "q9_stock_take_defaults": q9_stock_take_defaults,
     "q10_delete_warehouse_1": q10_delete_warehouse_1,
+    "g1_seed_user_roles": g1_seed_user_roles,
+    "g2_generate_suppliers": g2_generate_suppliers,
+    "g3_generate_products": g3_generate_products,
+    "g4_generate_warehouses": g4_generate_warehouses,
+    "g5_generate_storage_zones": g5_generate_storage_zones,
+    "g6_generate_employees": g6_generate_employees,
+    "g7_generate_inventory": g7_generate_inventory,
+    "g8_generate_purchase_orders": g8_generate_purchase_orders,
+    "g9_generate_inventory_transactions": g9_generate_inventory_transactions,
+    "g10_generate_stock_takes": g10_generate_stock_takes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -205,4 +286,14 @@ ORACLE_SQL: dict[str, str] = {
     "q8_markup_overflow": oracle.Q8,
     "q9_stock_take_defaults": oracle.Q9,
     "q10_delete_warehouse_1": oracle.Q10,
+    "g1_seed_user_roles": oracle_synth.G1,
+    "g2_generate_suppliers": oracle_synth.G2,
+    "g3_generate_products": oracle_synth.G3,
+    "g4_generate_warehouses": oracle_synth.G4,
+    "g5_generate_storage_zones": oracle_synth.G5,
+    "g6_generate_employees": oracle_synth.G6,
+    "g7_generate_inventory": oracle_synth.G7,
+    "g8_generate_purchase_orders": oracle_synth.G8,
+    "g9_generate_inventory_transactions": oracle_synth.G9,
+    "g10_generate_stock_takes": oracle_synth.G10,
 }

@@ -125,7 +125,8 @@ TABLES: dict[str, tuple[Column, ...]] = {
         _dec("storage_capacity", 18, 2, nullable=False),
     ),
     "inventory": (
-        _int("inventory_id", nullable=False),
+        # int4 serial in the original; 64-bit here because batch counts at scale pass 2^31
+        Column("inventory_id", T.LongType(), nullable=False),
         _int("product_id", nullable=False),
         _int("zone_id", nullable=False),
         _int("quantity", nullable=False, default="0"),
@@ -152,7 +153,7 @@ TABLES: dict[str, tuple[Column, ...]] = {
         _int("source_zone_id"),
         _int("destination_zone_id"),
         _str("transaction_type", nullable=False, enum="transaction_type_enum"),
-        _int("inventory_id"),
+        Column("inventory_id", T.LongType()),
     ),
     "stock_takes": (
         _int("stock_take_id", nullable=False),
