@@ -214,3 +214,29 @@ def products_to_reorder(products: DataFrame, inventory: DataFrame, purchase_orde
             F.coalesce((stock <= F.col("reorder_level")) & (on_order == 0), F.lit(False)).alias("needs_reorder"),
         )
     )
+
+
+# ---------------------------------------------------------------------------
+# Optional registration of the three views under their original names
+# ---------------------------------------------------------------------------
+VIEW_NAMES = (
+    "vw_expiring_inventory",
+    "vw_employees_with_completed_secondary_discrepancy_stock_takes",
+    "v_products_to_reorder",
+)
+
+
+def register_report_views(tables: dict[str, DataFrame], as_of=None) -> None:
+    """Register R1, R3 and R8 as temporary views.
+
+    The first two are created with ``createTempView``, which fails if the name is
+    taken (as ``CREATE VIEW`` does); the reorder view replaces an existing one
+    (``CREATE OR REPLACE VIEW``).
+    """
+    expiring_inventory(
+        tables["inventory"], tables["products"], tables["storage_zones"], tables["warehouses"], as_of
+    ).createTempView(VIEW_NAMES[0])
+    secondary_discrepancy_stock_takes(tables["employees"], tables["stock_takes"]).createTempView(VIEW_NAMES[1])
+    products_to_reorder(tables["products"], tables["inventory"], tables["purchase_orders"]).createOrReplaceTempView(
+        VIEW_NAMES[2]
+    )

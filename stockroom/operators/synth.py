@@ -96,6 +96,15 @@ class Parent:
         return keyed.join(broadcast_if_small(right), "_pick_idx", "left").drop("_pick_idx")
 
 
+def pick_fk(draws: DataFrame, parent: DataFrame, key: str, u: Column, out: str | None = None) -> DataFrame:
+    """H3: add ``out`` (default ``key``), a key drawn uniformly with replacement from ``parent``.
+
+    NULL when the parent is empty.  Build a :class:`Parent` once instead when
+    several draws use the same parent.
+    """
+    return Parent(parent, key).pick(draws, u, out or key)
+
+
 # ---------------------------------------------------------------------------
 # G1: roles (idempotent)
 # ---------------------------------------------------------------------------
@@ -360,3 +369,60 @@ def generate_stock_takes(
         ),
     )
     return _conform(out, "stock_takes")
+
+
+# ---------------------------------------------------------------------------
+# The default load: all ten tables in dependency order
+# ---------------------------------------------------------------------------
+# Row counts of the original default load.
+DEFAULT_LOAD = {
+    "suppliers": 50,
+    "products": 500,
+    "warehouses": 5,
+    "zones_per_warehouse": 20,
+    "employees": 100,
+    "inventory": 50_000,
+    "purchase_orders": 25_000,
+    "inventory_transactions": 200_000,
+    "stock_takes": 50_000,
+}
+
+
+def load(
+    spark: SparkSession,
+    root: str,
+    sizes: dict[str, int] | None = None,
+    seed: int = DEFAULT_SEED,
+    as_of=None,
+    now="1998-06-01 12:00:00",
+) -> dict[str, DataFrame]:
+    """Generate and write all ten tables under ``root``, parents first.
+
+    Each table is written, then read back before its children index it, so a
+    child never recomputes its parent's plan and a lost executor re-reads stored
+    files.  Returns the stored tables.
+    """
+    from stockroom.sources import tables as store  # local import: sources depend on schemas only
+
+    n = {**DEFAULT_LOAD, **(sizes or {})}
+    stored: dict[str, DataFrame] = {}
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        store.write_table(df, root, name, mode="overwrite")
+        stored[name] = store.read_table(spark, root, name)
+        return stored[name]
+
+    roles = put("user_roles", seed_user_roles(spark))
+    suppliers = put("suppliers", generate_suppliers(spark, n["suppliers"], seed))
+    products = put("products", generate_products(spark, n["products"], seed))
+    warehouses = put("warehouses", generate_warehouses(spark, n["warehouses"], seed))
+    zones = put("storage_zones", generate_storage_zones(warehouses, n["zones_per_warehouse"], seed))
+    employees = put("employees", generate_employees(roles, n["employees"], seed, as_of))
+    inventory = put("inventory", generate_inventory(products, zones, n["inventory"], as_of, seed))
+    put("purchase_orders", generate_purchase_orders(products, suppliers, n["purchase_orders"], as_of, seed))
+    put(
+        "inventory_transactions",
+        generate_inventory_transactions(inventory, employees, zones, n["inventory_transactions"], now, seed),
+    )
+    put("stock_takes", generate_stock_takes(employees, zones, n["stock_takes"], as_of, seed))
+    return stored

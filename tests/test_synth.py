@@ -151,3 +151,46 @@ def test_fixture_parents_with_duplicate_keys_draw_consistently(spark):
     b = synth.generate_inventory_transactions(inv.repartition(5), emp, zones, 500, "2024-01-01 00:00:00")
     assert a.collect() == b.orderBy("transaction_id").collect()
     assert a.filter(F.col("transaction_timestamp") > F.lit(dt.datetime(2024, 1, 1))).count() == 0
+
+
+def test_default_load_writes_all_tables_and_reports_run(spark, tmp_path):
+    from stockroom.operators import reports
+
+    sizes = {"inventory": 3000, "purchase_orders": 1500, "inventory_transactions": 4000, "stock_takes": 3000}
+    stored = synth.load(spark, str(tmp_path / "wh"), sizes, as_of="2024-06-01")
+    assert set(stored) == set(schemas.TABLES)
+    assert stored["storage_zones"].count() == 100 and stored["products"].count() == 500
+    r8 = reports.products_to_reorder(stored["products"], stored["inventory"], stored["purchase_orders"])
+    assert r8.count() == 500  # every product is active in generated data
+    r1 = reports.expiring_inventory(
+        stored["inventory"], stored["products"], stored["storage_zones"], stored["warehouses"], "2024-06-01"
+    )
+    # about 0.7 * 31/730 of batches expire within 30 days
+    assert 40 < r1.count() < 140
+
+
+def test_report_views_follow_create_semantics(spark):
+    import pytest as _pytest
+    from pyspark.errors import AnalysisException
+
+    from stockroom.operators import reports
+
+    sf = "/root/testdata/sf0.001"
+    tabs = fx.load_all(spark, sf)
+    for v in reports.VIEW_NAMES:
+        spark.catalog.dropTempView(v)
+    reports.register_report_views(tabs, fx.AS_OF)
+    assert spark.table("v_products_to_reorder").count() == 180
+    assert spark.sql("SELECT count(*) FROM vw_expiring_inventory WHERE days_until_expiration <= 7").first()[0] == 4
+    with _pytest.raises(AnalysisException):
+        reports.register_report_views(tabs, fx.AS_OF)  # CREATE VIEW of an existing name fails
+    for v in reports.VIEW_NAMES:
+        spark.catalog.dropTempView(v)
+
+
+def test_pick_fk_function(spark):
+    parent = spark.createDataFrame([(10,), (20,), (30,)], "k int")
+    draws = spark.range(1, 301)
+    out = synth.pick_fk(draws, parent, "k", F.rand(1))
+    values = {r.k for r in out.select("k").distinct().collect()}
+    assert values == {10, 20, 30}
