@@ -161,10 +161,11 @@ def cascade_delete_warehouses(
     doomed_ids = doomed_ids.withColumn("_doomed", F.lit(True))
     doomed_zones = zones.select("zone_id", "warehouse_id").join(broadcast_if_small(doomed_ids), "warehouse_id", "left_semi")
 
+    # one scan per referencing table; a transaction refers to up to two zones
+    moves = transactions.select(F.explode(F.array("source_zone_id", "destination_zone_id")).alias("zone_id"))
     references = (
         inventory.select("zone_id")
-        .unionByName(transactions.select(F.col("source_zone_id").alias("zone_id")))
-        .unionByName(transactions.select(F.col("destination_zone_id").alias("zone_id")))
+        .unionByName(moves)
         .unionByName(stock_takes.select("zone_id"))
         .filter(F.col("zone_id").isNotNull())
     )

@@ -12,7 +12,8 @@ Plan notes (checked with ``explain("formatted")``):
   size check; products are joined by whatever strategy the planner (and AQE, with
   run-time sizes) chooses, since the product table grows with the data.
 * Sorted reports add a unique tie-breaker, so the range partitioner of the global
-  sort can split a day (or a count) that holds a large share of the rows.
+  sort can split a day (or a count) that holds a large share of the rows.  NULLs
+  sort as in the original database: last when ascending, first when descending.
 * R5 and R8 aggregate the large tables before any join (partial aggregation on the
   map side), so a product or employee owning a third of all rows costs one row per
   map task in the shuffle, and no join fans out.
@@ -88,7 +89,7 @@ def expiring_inventory(
         )
     )
     if ordered:
-        out = out.orderBy("days_until_expiration", "inventory_id")
+        out = out.orderBy(F.asc_nulls_last("days_until_expiration"), F.asc_nulls_last("inventory_id"))
     return out
 
 
@@ -145,7 +146,7 @@ def secondary_discrepancy_listing(r3: DataFrame) -> DataFrame:
     """R3 without the flag, newest first, then by last name with NULLs last."""
     return r3.select(
         "employee_id", "username", "first_name", "last_name", "stock_take_id", "stock_take_date", "zone_id"
-    ).orderBy(F.desc("stock_take_date"), F.asc_nulls_last("last_name"), F.asc("stock_take_id"))
+    ).orderBy(F.desc_nulls_first("stock_take_date"), F.asc_nulls_last("last_name"), F.asc_nulls_last("stock_take_id"))
 
 
 def secondary_discrepancies_per_employee(employees: DataFrame, stock_takes: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def secondary_discrepancies_per_employee(employees: DataFrame, stock_takes: Data
     return (
         named.groupBy("username", "first_name", "last_name")
         .agg(F.sum("n").cast("bigint").alias("number_of_secondary_discrepancy_stock_takes"))
-        .orderBy(F.desc("number_of_secondary_discrepancy_stock_takes"), "username")
+        .orderBy(F.desc_nulls_first("number_of_secondary_discrepancy_stock_takes"), F.asc_nulls_last("username"))
     )
 
 
