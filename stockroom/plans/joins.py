@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Dimension tables (zones, warehouses, the candidate set of a delete) are hinted
-# up to this many bytes of estimated plan size.
+# up to this many bytes of estimated plan size; a session can lower or raise the
+# bound with the setting below (0 turns the hint off).
 DIMENSION_BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_CONF = "spark.stockroom.broadcastMaxBytes"
 
 
 def estimated_size(df: DataFrame) -> int | None:
@@ -28,9 +30,18 @@ def estimated_size(df: DataFrame) -> int | None:
         return None
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = DIMENSION_BROADCAST_BYTES) -> DataFrame:
-    """``F.broadcast(df)`` when its estimated size is at most ``max_bytes``, else ``df``."""
+def broadcast_limit(df: DataFrame) -> int:
+    """The hint bound for ``df``'s session: the setting if present, else the default."""
+    value = df.sparkSession.conf.get(BROADCAST_LIMIT_CONF, None)
+    return DIMENSION_BROADCAST_BYTES if value is None else int(value)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``F.broadcast(df)`` when its estimated size is at most the bound, else ``df``."""
+    limit = broadcast_limit(df) if max_bytes is None else max_bytes
+    if limit <= 0:
+        return df
     size = estimated_size(df)
-    if size is not None and size <= max_bytes:
+    if size is not None and size <= limit:
         return F.broadcast(df)
     return df
