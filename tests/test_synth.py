@@ -194,3 +194,22 @@ def test_pick_fk_function(spark):
     out = synth.pick_fk(draws, parent, "k", F.rand(1))
     values = {r.k for r in out.select("k").distinct().collect()}
     assert values == {10, 20, 30}
+
+
+def test_empty_parents_of_orders_and_transactions(spark):
+    products = synth.generate_products(spark, 20)
+    suppliers = synth.generate_suppliers(spark, 5)
+    no_suppliers = spark.createDataFrame([], schemas.struct_type("suppliers"))
+    assert synth.generate_purchase_orders(products, no_suppliers, 10).count() == 0
+    assert synth.generate_purchase_orders(products, suppliers, 10).count() == 10
+    employees = synth.generate_employees(synth.seed_user_roles(spark), 5)
+    zones = synth.generate_storage_zones(synth.generate_warehouses(spark, 1), 2)
+    no_inventory = spark.createDataFrame([], schemas.struct_type("inventory"))
+    assert synth.generate_inventory_transactions(no_inventory, employees, zones, 10).count() == 0
+    inventory = synth.generate_inventory(products, zones, 10)
+    no_employees = spark.createDataFrame([], schemas.struct_type("employees"))
+    assert synth.generate_inventory_transactions(inventory, no_employees, zones, 10).count() == 0
+    no_zones = spark.createDataFrame([], schemas.struct_type("storage_zones"))
+    tx = synth.generate_inventory_transactions(inventory, employees, no_zones, 50)
+    assert tx.count() == 50
+    assert tx.filter(F.col("source_zone_id").isNotNull() | F.col("destination_zone_id").isNotNull()).count() == 0
