@@ -38,7 +38,7 @@ from stockroom.functions.random import (
 )
 from stockroom.operators.reports import date_lit
 from stockroom.plans.indexing import with_dense_index
-from stockroom.plans.joins import broadcast_if_small
+from stockroom.plans.joins import broadcast_if_rows_fit
 
 DEFAULT_SEED = 42
 ROWS_PER_PARTITION = 2_000_000
@@ -93,7 +93,9 @@ class Parent:
             "_pick_idx", F.col(self.key).alias(out), *[F.col(c).alias(a) for c, a in carry_as.items()]
         )
         keyed = draws.withColumn("_pick_idx", F.floor(u * F.lit(self.n)).cast("bigint"))
-        return keyed.join(broadcast_if_small(right), "_pick_idx", "left").drop("_pick_idx")
+        # the exact row count is known, so a small parent is broadcast on a proven bound;
+        # a large one is joined by shuffle (draws are uniform over the index: no hot key)
+        return keyed.join(broadcast_if_rows_fit(right, self.n), "_pick_idx", "left").drop("_pick_idx")
 
 
 def pick_fk(draws: DataFrame, parent: DataFrame, key: str, u: Column, out: str | None = None) -> DataFrame:

@@ -36,6 +36,30 @@ def broadcast_limit(df: DataFrame) -> int:
     return DIMENSION_BROADCAST_BYTES if value is None else int(value)
 
 
+# Bytes per value used to bound a row: fixed-width types by their width, strings
+# generously (a bound for the short keys and codes carried here).
+_TYPE_BYTES = {"int": 4, "bigint": 8, "smallint": 2, "tinyint": 1, "date": 4, "timestamp": 8, "boolean": 1, "double": 8}
+_STRING_BYTES = 128
+_ROW_OVERHEAD = 16
+
+
+def row_bytes(df: DataFrame) -> int:
+    """An upper estimate of one row of ``df`` in the broadcast relation."""
+    return _ROW_OVERHEAD + sum(_TYPE_BYTES.get(t, _STRING_BYTES) for _, t in df.dtypes)
+
+
+def broadcast_if_rows_fit(df: DataFrame, rows: int, max_bytes: int | None = None) -> DataFrame:
+    """Hint a broadcast for a frame whose exact row count is known (``rows``).
+
+    For frames Catalyst cannot size (checkpointed or joined data without CBO), the
+    bound is ``rows * row_bytes(df)``.
+    """
+    limit = broadcast_limit(df) if max_bytes is None else max_bytes
+    if limit > 0 and rows * row_bytes(df) <= limit:
+        return F.broadcast(df)
+    return df
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``F.broadcast(df)`` when its estimated size is at most the bound, else ``df``."""
     limit = broadcast_limit(df) if max_bytes is None else max_bytes
