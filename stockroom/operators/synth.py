@@ -203,8 +203,9 @@ def generate_storage_zones(warehouses: DataFrame, zones_per_warehouse: int, seed
 
 
 def _position(role_name: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(None))
-    for name, position in schemas.POSITION_BY_ROLE:
+    (first_role, first_position), *rest = schemas.POSITION_BY_ROLE
+    out = F.when(role_name == first_role, F.lit(first_position))
+    for name, position in rest:
         out = out.when(role_name == name, F.lit(position))
     return out.otherwise(F.lit(schemas.DEFAULT_POSITION))
 

@@ -42,6 +42,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def recommended_settings(largest_input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Partition sizing for a cluster: shuffle partitions and input splits that fit in memory.
+
+    Initial shuffle partitions are sized so the largest table splits into pieces of
+    about ``target_partition_bytes`` (and at least three waves of tasks over all
+    cores); AQE then coalesces small ones down to the advisory size.
+    """
+    by_size = -(-largest_input_bytes // target_partition_bytes)
+    partitions = max(3 * total_cores, by_size)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }
+
+
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Apply :data:`SESSION_DEFAULTS` to an existing session (runtime SQL confs only)."""
     for key, value in SESSION_DEFAULTS.items():

@@ -15,6 +15,12 @@ Checks per micro-batch:
 * primary key and UNIQUE: duplicates inside the batch (an aggregation, combined on
   the map side) and clashes with rows already in the table.
 
+The key check reads the key column of the stored table once per micro-batch
+(column-pruned, semi-joined with the batch's keys), so its cost grows with the
+table; for very large targets run the stream with larger micro-batches.  A
+per-key state store would avoid the scan but would put a hot duplicated key —
+a third of a batch — into one task, which this design avoids.
+
 Exactly-once: each batch is written to its own ``_batch=<id>`` partition with
 dynamic overwrite, and earlier output of the same batch id is ignored by the key
 check, so a replayed batch replaces itself.  With ``atomic=True`` a batch with any

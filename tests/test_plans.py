@@ -108,3 +108,13 @@ def test_generated_ids_survive_recomputation(spark):
     first = df.select(F.sum(F.hash(*df.columns))).first()[0]
     second = df.select(F.sum(F.hash(*df.columns))).first()[0]
     assert first == second
+
+
+def test_recommended_settings_scale_with_input():
+    from stockroom.plans.session import recommended_settings
+
+    small = recommended_settings(1 << 30, 8)
+    big = recommended_settings(100 << 40, 8000)  # 100 TB on 8000 cores
+    assert int(small["spark.sql.shuffle.partitions"]) == 24
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    assert big["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
