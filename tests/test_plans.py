@@ -118,3 +118,36 @@ def test_recommended_settings_scale_with_input():
     assert int(small["spark.sql.shuffle.partitions"]) == 24
     assert int(big["spark.sql.shuffle.partitions"]) == 409600
     assert big["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
+
+
+def test_reorder_joins_reuse_the_aggregate_partitioning(spark):
+    """As on large tables (no broadcast): one shuffle per input, none above the aggregates."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        r8 = reports.products_to_reorder(
+            fx.products(spark, SF_SMALL), fx.inventory(spark, SF_SMALL), fx.purchase_orders(spark, SF_SMALL)
+        )
+        plan = executed_plan(r8)
+        assert plan.count("SortMergeJoin") == 2
+        assert plan.count("Exchange hashpartitioning") == 3  # inventory agg, orders agg, products
+        assert "BroadcastExchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_replenishment_adds_one_shuffle_to_the_reorder_plan(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        from stockroom.operators import replenish
+
+        po = fx.purchase_orders(spark, SF_SMALL)
+        r8 = reports.products_to_reorder(fx.products(spark, SF_SMALL), fx.inventory(spark, SF_SMALL), po)
+        plan = executed_plan(replenish.replenishment_proposals(r8, po, fx.AS_OF))
+        assert plan.count("SortMergeJoin") == 3
+        assert plan.count("Exchange hashpartitioning") == 4  # + the latest-supplier aggregate
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
