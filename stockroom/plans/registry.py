@@ -70,7 +70,10 @@ def r8_products_to_reorder(spark: SparkSession, sf: str) -> DataFrame:
 # D1, D2
 # ---------------------------------------------------------------------------
 def d1_replenishment_proposals(spark: SparkSession, sf: str) -> DataFrame:
-    return replenish.replenishment_proposals(r8_products_to_reorder(spark, sf), fx.purchase_orders(spark, sf), AS_OF)
+    # one pass over the orders serves both the on-order quantity and the supplier choice
+    return replenish.replenishment_from_tables(
+        fx.products(spark, sf), fx.inventory(spark, sf), fx.purchase_orders(spark, sf), AS_OF
+    )
 
 
 def d2_supplier_contacts(spark: SparkSession, sf: str) -> DataFrame:

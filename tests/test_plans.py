@@ -151,3 +151,21 @@ def test_replenishment_adds_one_shuffle_to_the_reorder_plan(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_fused_replenishment_shuffles_each_input_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        from stockroom.operators import replenish
+
+        d1 = replenish.replenishment_from_tables(
+            fx.products(spark, SF_SMALL), fx.inventory(spark, SF_SMALL), fx.purchase_orders(spark, SF_SMALL), fx.AS_OF
+        )
+        plan = executed_plan(d1)
+        assert plan.count("Exchange hashpartitioning") == 3  # inventory, orders (one pass), products
+        assert plan.count("orders.parquet") == 1
+        assert "partial_max_by" in plan and "SortAggregate" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

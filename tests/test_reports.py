@@ -199,3 +199,22 @@ def test_supplier_contacts_tolerates_bad_json(spark):
     assert rows[1].website == "w" and rows[1].notes == "n"
     assert rows[2].phone == "+2" and rows[2].email is None
     assert rows[3].phone is None and rows[4].phone is None
+
+
+def test_fused_replenishment_equals_composed(spark):
+    products, _, _ = _dims(spark)
+    inv = _inventory(spark, [(1, 1, 1, 2, "a", None), (2, 2, 1, 1, "b", None), (3, 4, 1, 1, "c", None)])
+    orders = _orders(
+        spark,
+        [
+            (10, 1, 3, D(2024, 1, 1), "Получен", 5),
+            (11, 1, 4, D(2024, 1, 1), "Получен", 5),
+            (12, 1, 5, D(2024, 2, 1), "Отменен", 5),
+            (13, 2, 6, D(2023, 1, 1), "Получен", 5),
+            (14, 4, 7, D(2023, 1, 1), "Новый", 1),  # open order: product 4 not proposed
+        ],
+    )
+    composed = replenish.replenishment_proposals(reports.products_to_reorder(products, inv, orders), orders, AS_OF)
+    fused = replenish.replenishment_from_tables(products, inv, orders, AS_OF)
+    assert sorted(composed.collect()) == sorted(fused.collect())
+    assert {r.product_id for r in fused.collect()} == {1, 2}
