@@ -9,7 +9,9 @@ on any partitioning, on recomputation after a lost executor, and in DuckDB::
     ('0x' || substr(md5('<seed>|<tag>|<id>'), 1, 13))::UBIGINT / 4503599627370496.0
 
 Each generated column uses its own tag, so draws are independent.  All helpers are
-built-in expressions and stay inside whole-stage code generation.
+built-in JVM expressions (no Python); they run inside whole-stage code generation,
+except that the higher-order ``transform`` of :func:`random_text` is evaluated
+interpreted within the generated stage.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ key by sorting the whole parent table per generated row.  Here each table is one
 plan over ``spark.range(1, n + 1)``: every column is a built-in expression of the
 row id and a seed (see :mod:`stockroom.functions.random`), and every foreign key is
 drawn by one equi-join against a densely indexed parent (H3, :class:`Parent`).
-Cost drops from O(n · m log m) to O(n + m), and the output is the same on any
-cluster size, after any task retry, and in the SQL oracle.
+Cost drops from O(n · m log m) to one distributed sort of the parent plus one
+join, O(m log m + n), and the output is the same on any cluster size, after any
+task retry, and in the SQL oracle.
 
 Generation rules (ranges, probabilities, texts) are those of the original
 procedures; only values, not the unseeded original draws, can be compared, so
