@@ -169,3 +169,25 @@ def test_fused_replenishment_shuffles_each_input_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_expiry_report_filters_products_with_a_runtime_bloom_filter(spark, tmp_path):
+    """On a product table above Spark's size threshold, the expiring batches' product ids
+    prune the product scan before its shuffle (the threshold is lowered to test size)."""
+    fx.inventory(spark, SF_SMALL).write.parquet(str(tmp_path / "inv"))
+    fx.products(spark, SF_SMALL).write.parquet(str(tmp_path / "prod"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1")
+    try:
+        r1 = reports.expiring_inventory(
+            spark.read.parquet(str(tmp_path / "inv")),
+            spark.read.parquet(str(tmp_path / "prod")),
+            fx.storage_zones(spark, SF_SMALL),
+            fx.warehouses(spark, SF_SMALL),
+            fx.AS_OF,
+        )
+        plan = formatted_plan(r1)
+        assert "might_contain" in plan and "bloom_filter_agg" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.unset("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")
