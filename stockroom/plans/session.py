@@ -24,8 +24,10 @@ SESSION_DEFAULTS = {
 }
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "stockroom") -> SparkSession:
-    """A local session for tests and the bench (UI off, UTC, AQE on)."""
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "stockroom", extra_conf: dict | None = None
+) -> SparkSession:
+    """A local session for tests and the bench (UI off, UTC, AQE on); ``extra_conf`` is applied last."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -34,7 +36,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
     )
-    for key, value in SESSION_DEFAULTS.items():
+    for key, value in {**SESSION_DEFAULTS, **(extra_conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
