@@ -19,11 +19,12 @@ def _lines(path: str):
     files = sorted(glob.glob(os.path.join(path, "**", "events_*"), recursive=True)) if os.path.isdir(path) else [path]
     for f in files:
         with open(f, "rb") as fh:
-            raw = fh.read()
-        if f.endswith(".zstd"):
-            import zstandard
+            if f.endswith(".zstd"):
+                import zstandard
 
-            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+                raw = zstandard.ZstdDecompressor().stream_reader(fh).read()
+            else:
+                raw = fh.read()
         yield from raw.decode().splitlines()
 
 
