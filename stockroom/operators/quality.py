@@ -53,6 +53,8 @@ def audit_unique(df: DataFrame, key: str | list[str]) -> DataFrame:
 def audit_not_null(df: DataFrame, cols: list[str], row_key: str | list[str]) -> DataFrame:
     """Q3: one row per (row, NULL column) → row key column(s), column_name."""
     keys = _as_list(row_key)
+    if not cols:
+        return df.select(*keys, F.lit(None).cast("string").alias("column_name")).limit(0)
     hits = F.filter(
         F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]),
         lambda name: name.isNotNull(),

@@ -113,3 +113,9 @@ def test_audit_table_collects_every_rule(spark):
         ("primary_key", "inventory_id"),
         ("varchar(100)", "batch_number"),
     ]
+
+
+def test_not_null_with_no_columns_is_empty(spark):
+    df = spark.createDataFrame([(1,)], "id int")
+    out = quality.audit_not_null(df, [], "id")
+    assert out.columns == ["id", "column_name"] and out.count() == 0
