@@ -191,3 +191,17 @@ def test_expiry_report_filters_products_with_a_runtime_bloom_filter(spark, tmp_p
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
         spark.conf.unset("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")
+
+
+def test_stocktake_filters_reach_the_scan_of_a_stored_table(spark, tmp_path):
+    from stockroom.sources import tables
+
+    root = str(tmp_path / "wh")
+    tables.write_table(fx.stock_takes(spark, SF_SMALL), root, "stock_takes")
+    stored = tables.read_table(spark, root, "stock_takes")
+    r3 = reports.secondary_discrepancy_stock_takes(fx.employees(spark, SF_SMALL), stored)
+    plan = formatted_plan(r3)
+    assert "EqualTo(status,Завершена)" in plan
+    assert "EqualTo(has_discrepancies,true)" in plan
+    assert "Not(EqualTo(is_initial_stock_take,true))" in plan
+    assert r3.count() == 62
