@@ -3,6 +3,7 @@
     python -m stockroom load ROOT [--scale X] [--seed S] [--as-of DATE]
     python -m stockroom report NAME ROOT [--as-of DATE] [--out PATH] [--show N]
     python -m stockroom audit ROOT [--out PATH]
+    python -m stockroom sql ROOT "SELECT ... FROM vw_ExpiringInventory ..." [--as-of DATE] [--out PATH]
 
 Tables live under ROOT as Parquet (``sources.tables``).  Under ``spark-submit``
 the cluster's master and settings are used; run directly, a local session starts.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stockroom import schemas
 from stockroom.operators import contacts, quality, replenish, reports, synth
 from stockroom.plans.session import apply_defaults, ensure_checkpoint_dir
-from stockroom.sources import tables
+from stockroom.sources import catalog, tables
 
 
 def _session() -> SparkSession:
@@ -56,7 +57,9 @@ def _report(name: str, t: dict[str, DataFrame], as_of) -> DataFrame:
         "stock": lambda: reports.product_stock(t["inventory"]),
         "on-order": lambda: reports.product_on_order(t["purchase_orders"]),
         "reorder": r8,
-        "replenishment": lambda: replenish.replenishment_proposals(r8(), t["purchase_orders"], as_of),
+        "replenishment": lambda: replenish.replenishment_from_tables(
+            t["products"], t["inventory"], t["purchase_orders"], as_of
+        ),
         "contacts": lambda: contacts.supplier_contacts(t["suppliers"]),
     }
     if name not in builders:
@@ -97,6 +100,12 @@ def main(argv: list[str] | None = None) -> None:
     audit.add_argument("root")
     audit.add_argument("--out", default=None)
     audit.add_argument("--show", type=int, default=20)
+    sql = sub.add_parser("sql", help="run SQL over the stored tables and views under their original names")
+    sql.add_argument("root")
+    sql.add_argument("query")
+    sql.add_argument("--as-of", default=None)
+    sql.add_argument("--out", default=None)
+    sql.add_argument("--show", type=int, default=20)
     args = parser.parse_args(argv)
 
     spark = _session()
@@ -107,8 +116,11 @@ def main(argv: list[str] | None = None) -> None:
             print(f"{name}: {df.count()} rows")
     elif args.command == "report":
         _emit(_report(args.name, _tables(spark, args.root), args.as_of), args.out, args.show)
-    else:
+    elif args.command == "audit":
         _emit(_audit(_tables(spark, args.root)), args.out, args.show)
+    else:
+        catalog.register_sql_names(_tables(spark, args.root), args.as_of)
+        _emit(spark.sql(args.query), args.out, args.show)
 
 
 if __name__ == "__main__":

@@ -16,3 +16,6 @@ def test_load_report_audit(spark, tmp_path):
     audit = str(tmp_path / "audit")
     main(["audit", root, "--out", audit])
     assert spark.read.parquet(audit).count() == 0
+    answer = str(tmp_path / "sql")
+    main(["sql", root, "SELECT COUNT(*) AS n FROM v_ProductsToReorder WHERE ReorderLevel >= 0", "--out", answer])
+    assert spark.read.parquet(answer).first().n == 25
