@@ -25,11 +25,19 @@ SESSION_DEFAULTS = {
 
 
 def local_session(
-    cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "stockroom", extra_conf: dict | None = None
+    cpus: int | str = "*",
+    shuffle_partitions: int = 8,
+    app: str = "stockroom",
+    extra_conf: dict | None = None,
+    master: str | None = None,
 ) -> SparkSession:
-    """A local session for tests and the bench (UI off, UTC, AQE on); ``extra_conf`` is applied last."""
+    """A local session for tests and the bench (UI off, UTC, AQE on); ``extra_conf`` is applied last.
+
+    ``master`` overrides ``local[cpus]``, e.g. ``local-cluster[2,2,2048]`` for separate
+    executor processes.
+    """
     builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
