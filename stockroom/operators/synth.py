@@ -75,6 +75,7 @@ class Parent:
         self.carry = carry
         cols = [key, *carry]
         self.indexed, self.n = with_dense_index(df.select(*cols).filter(F.col(key).isNotNull()), cols, "_pick_idx")
+        self._sides: dict[tuple, DataFrame] = {}
 
     @property
     def empty(self) -> bool:
@@ -90,13 +91,19 @@ class Parent:
         if self.empty:
             extra = [F.lit(None).alias(a) for a in carry_as.values()]
             return draws.select("*", F.lit(None).alias(out), *extra)
-        right = self.indexed.select(
-            "_pick_idx", F.col(self.key).alias(out), *[F.col(c).alias(a) for c, a in carry_as.items()]
-        )
         keyed = draws.withColumn("_pick_idx", F.floor(u * F.lit(self.n)).cast("bigint"))
-        # the exact row count is known, so a small parent is broadcast on a proven bound;
+        # a small parent is broadcast on a measured bound (decided once per output shape);
         # a large one is joined by shuffle (draws are uniform over the index: no hot key)
-        return keyed.join(broadcast_if_rows_fit(right, self.n), "_pick_idx", "left").drop("_pick_idx")
+        return keyed.join(self._side(out, carry_as), "_pick_idx", "left").drop("_pick_idx")
+
+    def _side(self, out: str, carry_as: dict[str, str]) -> DataFrame:
+        shape = (out, tuple(carry_as.items()))
+        if shape not in self._sides:
+            right = self.indexed.select(
+                "_pick_idx", F.col(self.key).alias(out), *[F.col(c).alias(a) for c, a in carry_as.items()]
+            )
+            self._sides[shape] = broadcast_if_rows_fit(right, self.n)
+        return self._sides[shape]
 
 
 def pick_fk(draws: DataFrame, parent: DataFrame, key: str, u: Column, out: str | None = None) -> DataFrame:

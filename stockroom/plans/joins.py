@@ -1,12 +1,12 @@
-"""Join helpers: a broadcast hint that is given only behind a size check.
+"""Join helpers: a broadcast hint that is given only behind a measured size bound.
 
 ``F.broadcast`` overrides Spark's own size test, so an unchecked hint on a table
-that grows with the data turns into an out-of-memory error at scale.  The helper
-below reads Catalyst's size estimate of the optimised plan (the same statistic the
-planner compares with ``spark.sql.autoBroadcastJoinThreshold``) and hints only when
-it is under the bound.  Above it the frame is returned as is: the planner then
-chooses a shuffled join, and AQE may still switch to a broadcast at run time when
-the measured shuffle output is small.
+that grows with the data turns into an out-of-memory error at scale.  The helpers
+below hint only when a measured upper bound of the frame's rows (row count and
+exact variable-length bytes, one small aggregation) is under the bound.  Catalyst's
+estimate screens out fact tables first, so they cost nothing.  Without a hint the
+planner chooses a shuffled join, and AQE may still switch to a broadcast at run
+time when the measured shuffle output is small.
 """
 
 from __future__ import annotations
@@ -36,36 +36,66 @@ def broadcast_limit(df: DataFrame) -> int:
     return DIMENSION_BROADCAST_BYTES if value is None else int(value)
 
 
-# Bytes per value used to bound a row: fixed-width types by their width, strings
-# generously (a bound for the short keys and codes carried here).
-_TYPE_BYTES = {"int": 4, "bigint": 8, "smallint": 2, "tinyint": 1, "date": 4, "timestamp": 8, "boolean": 1, "double": 8}
-_STRING_BYTES = 128
-_ROW_OVERHEAD = 16
+# Types stored inline in Spark's binary row (one 8-byte slot each).
+_INLINE_TYPES = ("int", "bigint", "smallint", "tinyint", "date", "timestamp", "timestamp_ntz", "boolean", "double", "float")
 
 
-def row_bytes(df: DataFrame) -> int:
-    """An upper estimate of one row of ``df`` in the broadcast relation."""
-    return _ROW_OVERHEAD + sum(_TYPE_BYTES.get(t, _STRING_BYTES) for _, t in df.dtypes)
+def _is_inline(dtype: str) -> bool:
+    if dtype in _INLINE_TYPES:
+        return True
+    if dtype.startswith("decimal("):
+        return int(dtype[len("decimal(") :].split(",")[0]) <= 18
+    return False
+
+
+def measured_size(df: DataFrame) -> int:
+    """An upper bound of ``df``'s rows in Spark's binary row format, measured by one aggregation.
+
+    Per row: the null bits, one 8-byte slot per field, and for each variable-length
+    field its exact UTF-8 bytes rounded up to a word (bounded by bytes + 8).  The
+    row count and byte sums are computed, not estimated.
+    """
+    variable = [c for c, t in df.dtypes if not _is_inline(t)]
+    aggs = [F.count(F.lit(1)).alias("_n")] + [
+        F.sum(F.octet_length(F.col(c).cast("string"))).alias(f"_b{i}") for i, c in enumerate(variable)
+    ]
+    row = df.agg(*aggs).first()
+    rows = row["_n"]
+    var_bytes = sum(row[f"_b{i}"] or 0 for i in range(len(variable)))
+    fields = len(df.columns)
+    per_row = 8 * ((fields + 63) // 64) + 8 * fields + 8 * len(variable)
+    return rows * per_row + var_bytes
 
 
 def broadcast_if_rows_fit(df: DataFrame, rows: int, max_bytes: int | None = None) -> DataFrame:
     """Hint a broadcast for a frame whose exact row count is known (``rows``).
 
-    For frames Catalyst cannot size (checkpointed or joined data without CBO), the
-    bound is ``rows * row_bytes(df)``.
+    Used for frames Catalyst cannot size (checkpointed or joined data without CBO).
+    If even the fixed part of ``rows`` rows exceeds the bound nothing is measured;
+    otherwise :func:`measured_size` decides.
     """
     limit = broadcast_limit(df) if max_bytes is None else max_bytes
-    if limit > 0 and rows * row_bytes(df) <= limit:
-        return F.broadcast(df)
-    return df
+    if limit <= 0 or rows * 8 * len(df.columns) > limit:
+        return df
+    return F.broadcast(df) if measured_size(df) <= limit else df
+
+
+# A frame whose Catalyst estimate exceeds the bound by this factor is not measured.
+ESTIMATE_SLACK = 8
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """``F.broadcast(df)`` when its estimated size is at most the bound, else ``df``."""
+    """``F.broadcast(df)`` when its measured size is at most the bound, else ``df``.
+
+    Catalyst's estimate screens first: a frame estimated far above the bound (a
+    fact table) is left to the planner without running anything.  Otherwise one
+    small aggregation measures the frame (:func:`measured_size`), so every hint
+    rests on counted rows and bytes, not on file sizes.
+    """
     limit = broadcast_limit(df) if max_bytes is None else max_bytes
     if limit <= 0:
         return df
-    size = estimated_size(df)
-    if size is not None and size <= limit:
-        return F.broadcast(df)
-    return df
+    estimate = estimated_size(df)
+    if estimate is not None and estimate > ESTIMATE_SLACK * limit:
+        return df
+    return F.broadcast(df) if measured_size(df) <= limit else df

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stockroom.operators import reports
-from stockroom.plans.joins import broadcast_if_small, estimated_size
+from stockroom.plans.joins import broadcast_if_small, estimated_size, measured_size
 from stockroom.sources import fixtures as fx
 from tests.conftest import SF_SMALL
 
@@ -69,8 +69,11 @@ def test_latest_supplier_is_hash_aggregated(spark):
 
 def test_broadcast_only_below_bound(spark):
     zones = fx.storage_zones(spark, SF_SMALL)
-    size = estimated_size(zones)
-    assert size is not None and size > 0
+    size = measured_size(zones)
+    # 25 rows x (null bits + 4 slots + 1 string word) + the names' bytes
+    names = sum(len(r.code.encode()) for r in zones.select("code").collect())
+    assert size == 25 * (8 + 8 * 4 + 8) + names
+    assert estimated_size(zones) is not None
     hinted = broadcast_if_small(zones, max_bytes=size)
     assert "strategy=broadcast" in analyzed_plan(hinted)
     unhinted = broadcast_if_small(zones, max_bytes=size - 1)
