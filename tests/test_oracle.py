@@ -76,3 +76,23 @@ def test_q10_counts(spark):
     zones = [r for r in rows if r.entity == "zone"]
     assert sum(r.outcome == "kept" for r in zones) == 20
     assert sum(r.outcome == "blocked" for r in zones) == 5
+
+
+SPARK_TO_DUCK = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
+    "double": "DOUBLE",
+    "timestamp": "TIMESTAMP",
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_column_types_match_oracle(spark, con, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    rel = con.sql(ORACLE[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for col, spark_type in df.dtypes:
+        assert duck_types[col] == SPARK_TO_DUCK.get(spark_type, spark_type.upper()), (name, col)
