@@ -160,8 +160,8 @@ def cascade_delete_warehouses(
         doomed_ids = ids.select(F.col(ids.columns[0]).cast("int").alias("warehouse_id")).distinct()
     else:
         doomed_ids = warehouses.select("warehouse_id").filter(F.col("warehouse_id").isin(*ids))
-    doomed_ids = doomed_ids.withColumn("_doomed", F.lit(True))
-    doomed_zones = zones.select("zone_id", "warehouse_id").join(broadcast_if_small(doomed_ids), "warehouse_id", "left_semi")
+    doomed_ids = broadcast_if_small(doomed_ids.withColumn("_doomed", F.lit(True)))  # measured once, reused
+    doomed_zones = zones.select("zone_id", "warehouse_id").join(doomed_ids, "warehouse_id", "left_semi")
 
     # one scan per referencing table; a transaction refers to up to two zones
     moves = transactions.select(F.explode(F.array("source_zone_id", "destination_zone_id")).alias("zone_id"))
@@ -180,7 +180,7 @@ def cascade_delete_warehouses(
 
     zone_rows = (
         zones.select("zone_id", "warehouse_id")
-        .join(broadcast_if_small(doomed_ids), "warehouse_id", "left")
+        .join(doomed_ids, "warehouse_id", "left")
         .join(blocked, "zone_id", "left")
         .select(
             F.lit("zone").alias("entity"),
@@ -197,7 +197,7 @@ def cascade_delete_warehouses(
     )
     warehouse_rows = (
         warehouses.select("warehouse_id")
-        .join(broadcast_if_small(doomed_ids), "warehouse_id", "left")
+        .join(doomed_ids, "warehouse_id", "left")
         .join(blocked_warehouses, "warehouse_id", "left")
         .select(
             F.lit("warehouse").alias("entity"),
