@@ -227,45 +227,71 @@ def _violations(df: DataFrame, table: str, rule: str, column: str, key: str) ->
     )
 
 
+def row_rules(df: DataFrame, table: str) -> list[tuple[str, str, Column]]:
+    """The declared row-level rules of ``table`` that ``df`` can be checked against.
+
+    Each is ``(rule, column, violated)`` where ``violated`` is TRUE exactly when the
+    row breaks the rule (NULL-safe: an unknown CHECK is not a violation).
+    """
+    cols = set(df.columns)
+    out: list[tuple[str, str, Column]] = []
+    for c in schemas.not_null_columns(table):
+        if c in cols:
+            out.append(("not_null", c, F.col(c).isNull()))
+    for name, t, predicate, needs in schemas.CHECKS:
+        if t == table and all(c in cols for c in needs):
+            out.append((name, ",".join(needs), F.coalesce(~F.expr(predicate), F.lit(False))))
+    for c, domain in schemas.enum_columns(table):
+        if c in cols:
+            out.append(("enum", c, F.col(c).isNotNull() & ~F.col(c).isin(*domain)))
+    for c, n in schemas.varchar_columns(table):
+        if c in cols:
+            out.append((f"varchar({n})", c, F.coalesce(F.length(F.rtrim(F.col(c))) > n, F.lit(False))))
+    for c, p, sc in schemas.numeric_columns(table):
+        if c in cols:
+            exact = F.col(c).try_cast("decimal(38,10)")
+            bad = (F.abs(F.round(exact, sc)) >= 10 ** (p - sc)) | (F.col(c).isNotNull() & exact.isNull())
+            out.append((f"numeric({p},{sc})", c, F.coalesce(bad, F.lit(False))))
+    return out
+
+
 def audit_table(df: DataFrame, table: str, parents: dict[str, DataFrame] | None = None) -> DataFrame:
     """Every declared rule of ``table`` that ``df`` can be checked against, as one frame.
 
-    Columns: table_name, rule, column_name, row_key.  Rules whose columns are absent
-    from ``df`` are skipped; foreign keys are checked for the parents given.
+    Columns: table_name, rule, column_name, row_key.  All row-level rules (NOT NULL,
+    CHECK, enum, VARCHAR, NUMERIC) are evaluated in one pass over ``df``: each row
+    gets the array of rules it breaks, and only rows with some violation are
+    exploded.  Key rules add one aggregation each and foreign keys one anti join
+    each (for the parents given).  Rules whose columns are absent are skipped.
     """
     cols = set(df.columns)
     pk = schemas.PRIMARY_KEYS[table]
+    key = pk if pk in cols else df.columns[0]
     parts: list[DataFrame] = []
+
+    rules = row_rules(df, table)
+    if rules:
+        hits = F.filter(
+            F.array(
+                *[F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(col).alias("column_name"))) for rule, col, bad in rules]
+            ),
+            lambda h: h.isNotNull(),
+        )
+        parts.append(
+            df.select(F.col(key).cast("string").alias("row_key"), hits.alias("_hits"))
+            .filter(F.size("_hits") > 0)
+            .select(F.lit(table).alias("table_name"), F.explode("_hits").alias("_h"), "row_key")
+            .select("table_name", "_h.rule", "_h.column_name", "row_key")
+        )
     if pk in cols:
         parts.append(_violations(audit_primary_key(df, pk), table, "primary_key", pk, pk))
     for t, col in schemas.UNIQUE_KEYS:
         if t == table and col in cols:
             parts.append(_violations(audit_unique(df, col), table, "unique", col, col))
-    key = pk if pk in cols else df.columns[0]
-    nn = [c for c in schemas.not_null_columns(table) if c in cols]
-    if nn:
-        parts.append(
-            audit_not_null(df, nn, key).select(
-                F.lit(table).alias("table_name"),
-                F.lit("not_null").alias("rule"),
-                "column_name",
-                F.col(key).cast("string").alias("row_key"),
-            )
-        )
-    for name, t, predicate, needs in schemas.CHECKS:
-        if t == table and all(c in cols for c in needs):
-            parts.append(_violations(audit_check(df, predicate), table, name, ",".join(needs), key))
-    for col, domain in schemas.enum_columns(table):
-        if col in cols:
-            parts.append(_violations(audit_enum(df, col, domain), table, "enum", col, key))
-    for col, n in schemas.varchar_columns(table):
-        if col in cols:
-            parts.append(_violations(audit_varchar(df, col, n), table, f"varchar({n})", col, key))
-    for col, p, s in schemas.numeric_columns(table):
-        if col in cols:
-            parts.append(_violations(audit_numeric(df, col, p, s), table, f"numeric({p},{s})", col, key))
     for fk in schemas.FOREIGN_KEYS:
         if fk.child == table and fk.column in cols and parents and fk.parent in parents:
             orphans = audit_foreign_key(df, parents[fk.parent], fk.column, fk.parent_key)
             parts.append(_violations(orphans, table, f"foreign_key:{fk.parent}", fk.column, key))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "table_name string, rule string, column_name string, row_key string")
     return reduce(DataFrame.unionByName, parts)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stockroom import schemas
+from stockroom.operators import quality
 from stockroom.plans.joins import broadcast_if_small
 from stockroom.plans.session import ensure_checkpoint_dir
 from stockroom.sources import tables
@@ -44,27 +45,14 @@ from stockroom.sources import tables
 REASONS = "_reasons"
 
 
+def _reason(rule: str, column: str) -> str:
+    # named CHECK constraints are reported by name, the other rules with their column
+    return rule if rule.startswith("ck_") else f"{rule}:{column}"
+
+
 def _row_rules(df: DataFrame, table: str) -> list[Column]:
-    cols = set(df.columns)
-    out: list[Column] = []
-    for c in schemas.not_null_columns(table):
-        if c in cols:
-            out.append(F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")))
-    for name, t, predicate, needs in schemas.CHECKS:
-        if t == table and all(c in cols for c in needs):
-            out.append(F.when(~F.expr(predicate), F.lit(name)))
-    for c, domain in schemas.enum_columns(table):
-        if c in cols:
-            out.append(F.when(F.col(c).isNotNull() & ~F.col(c).isin(*domain), F.lit(f"enum:{c}")))
-    for c, n in schemas.varchar_columns(table):
-        if c in cols:
-            out.append(F.when(F.length(F.rtrim(F.col(c))) > n, F.lit(f"varchar({n}):{c}")))
-    for c, p, s in schemas.numeric_columns(table):
-        if c in cols:
-            exact = F.col(c).try_cast("decimal(38,10)")
-            bad = (F.abs(F.round(exact, s)) >= 10 ** (p - s)) | (F.col(c).isNotNull() & exact.isNull())
-            out.append(F.when(bad, F.lit(f"numeric({p},{s}):{c}")))
-    return out
+    """One reason string per declared row rule, set when the row breaks it."""
+    return [F.when(bad, F.lit(_reason(rule, col))) for rule, col, bad in quality.row_rules(df, table)]
 
 
 def _flag_keys(batch: DataFrame, key: str, flag: str, existing: DataFrame | None, unique_nulls: bool) -> DataFrame:

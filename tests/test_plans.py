@@ -208,3 +208,18 @@ def test_stocktake_filters_reach_the_scan_of_a_stored_table(spark, tmp_path):
     assert "EqualTo(has_discrepancies,true)" in plan
     assert "Not(EqualTo(is_initial_stock_take,true))" in plan
     assert r3.count() == 62
+
+
+def test_audit_table_reads_the_table_once_for_all_row_rules(spark, tmp_path):
+    from stockroom.operators import quality
+
+    path = str(tmp_path / "inv")
+    fx.dirty_inventory(spark, SF_SMALL).write.parquet(path)
+    inv = spark.read.parquet(path)
+    parents = {"products": fx.products(spark, SF_SMALL), "storage_zones": fx.storage_zones(spark, SF_SMALL)}
+    audit = quality.audit_table(inv, "inventory", parents)
+    plan = executed_plan(audit)
+    # row rules in one pass + primary-key aggregation + two foreign-key anti joins
+    assert plan.count(f"{path}") == 4
+    rules = {r.rule for r in audit.select("rule").distinct().collect()}
+    assert {"ck_inventory_quantity", "primary_key"} <= rules
