@@ -96,3 +96,19 @@ def test_column_types_match_oracle(spark, con, name):
     duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
     for col, spark_type in df.dtypes:
         assert duck_types[col] == SPARK_TO_DUCK.get(spark_type, spark_type.upper()), (name, col)
+
+
+@pytest.fixture(scope="module")
+def con_medium():
+    from tests.conftest import SF_MEDIUM
+
+    return duck(SF_MEDIUM)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_oracle_at_gate_scale(spark, con_medium, name):
+    """The driver's correctness gate runs at sf0.01; check the same comparison here."""
+    from tests.conftest import SF_MEDIUM
+
+    srows, drows, same_cols, same_vals = compare(QUERIES[name](spark, SF_MEDIUM), con_medium, ORACLE[name])
+    assert same_cols and len(srows) == len(drows) and same_vals, name
