@@ -82,3 +82,20 @@ def test_write_table_layout_prunes_expiry(spark, tmp_path):
     )
     dated = [s for s in spans if s.lo is not None]
     assert all(a.hi <= b.lo for a, b in zip(dated, dated[1:]))
+
+
+def test_key_check_reads_only_the_batch_key_range(spark, tmp_path):
+    root, rejects = str(tmp_path / "w"), str(tmp_path / "r")
+    handle = enforce.batch_writer(root, "inventory", rejects)
+    first = spark.range(1, 1001).select(
+        F.col("id").alias("inventory_id"), F.lit(1).alias("product_id"), F.lit(1).alias("zone_id"),
+        F.lit(5).alias("quantity"), F.lit("b").alias("batch_number"), F.lit(None).cast("date").alias("expiration_date"),
+    )
+    handle(tables.conform(first, "inventory"), 0)
+    later = spark.createDataFrame([(2000, 1, 1, 5, "c", None), (500, 1, 1, 5, "d", None)], schemas.struct_type("inventory"))
+    existing = enforce._existing(spark, root, "inventory", 1)
+    checked = enforce.check_batch(later, "inventory", None, existing)
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(checked._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(inventory_id,500)" in plan and "LessThanOrEqual(inventory_id,2000)" in plan
+    reasons = {r.inventory_id: r._reasons for r in checked.collect()}
+    assert reasons[2000] == [] and reasons[500] == ["primary_key:inventory_id"]
