@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stockroom.llm import decontaminate
+from stockroom.llm import decontaminate, simhash
 
 QUERIES = {
+    "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
