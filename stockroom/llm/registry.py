@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stockroom.llm import decontaminate, simhash
+from stockroom.llm import decontaminate, quality_rules, simhash
 
 QUERIES = {
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
