@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stockroom.llm import decontaminate, html_extract, language_id, quality_rules, secret_scan, simhash, token_counts
+from stockroom.llm import decontaminate, html_extract, language_id, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
 
 QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_secret_scans": secret_scan.op4_secret_scans,
+    "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_html_extraction": html_extract.op8_html_extraction,
