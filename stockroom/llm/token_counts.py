@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
 
 import pandas as pd
@@ -33,6 +34,7 @@ from stockroom.plans.session import ensure_checkpoint_dir
 SCHEMA = "version string, digest binary, n_tokens bigint"
 LIMIT = 2048
 PIECES_REMEMBERED = 400_000
+TEXTS_AT_ONCE = 500
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -60,6 +62,7 @@ def content(text: Column, normalise: bool) -> Column:
 
 def _counter(definition: str, by_piece: bool):
     def count(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core; Spark runs many tasks
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(definition)
@@ -67,24 +70,24 @@ def _counter(definition: str, by_piece: bool):
         tokenizer.no_padding()
 
         def encode(texts):
-            done = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [len(e) for e in done]
+            return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
         known: dict[bytes, int] = {}
+
+        def totals(texts):
+            if not by_piece:
+                return encode(texts)
+            pieces = [t.encode("utf-8").split() for t in texts]  # ASCII white space only
+            if len(known) > PIECES_REMEMBERED:
+                known.clear()
+            new = list(set().union(*pieces).difference(known))
+            known.update(zip(new, encode([p.decode("utf-8") for p in new]), strict=True))
+            return [sum(map(known.__getitem__, ps)) for ps in pieces]
+
         for batch in batches:
-            totals = []
-            for text in batch["content"]:
-                if not by_piece:
-                    totals += encode([text])
-                    continue
-                pieces = text.encode("utf-8").split()  # ASCII white space only
-                if len(known) > PIECES_REMEMBERED:
-                    known.clear()
-                new = list(set(pieces).difference(known))
-                if new:
-                    known.update(zip(new, encode([p.decode("utf-8") for p in new]), strict=True))
-                totals.append(sum(map(known.__getitem__, pieces)))
-            yield pd.DataFrame({"digest": batch["digest"], "n_tokens": totals})
+            texts = batch["content"].tolist()
+            counts = [n for at in range(0, len(texts), TEXTS_AT_ONCE) for n in totals(texts[at : at + TEXTS_AT_ONCE])]
+            yield pd.DataFrame({"digest": batch["digest"], "n_tokens": counts})
 
     return count
 
