@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stockroom.llm import decontaminate, html_extract, language_id, quality_rules, secret_scan, sentencepiece_lattice, simhash, suffix_dedup, token_counts
+from stockroom.llm import chat_format, decontaminate, html_extract, language_id, quality_rules, secret_scan, sentencepiece_lattice, simhash, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_chat_formatting": chat_format.op1_chat_formatting,
     "op2_sentencepiece": sentencepiece_lattice.op2_sentencepiece,
     "op3_language_id": language_id.op3_language_id,
     "op4_secret_scans": secret_scan.op4_secret_scans,
