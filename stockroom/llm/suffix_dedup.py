@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockroom.llm.common import checkpointed, only, read
-from stockroom.plans.joins import broadcast_if_small
+from stockroom.plans.joins import broadcast_if_rows_fit
 
 LENGTH = 400
 GRAM = 128
@@ -113,26 +114,66 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching (start, end) spans as maximal runs."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _once_per_text(data: bytes, positions: list[int], hashes: list[int], length: int, reach: int):
+    """Anchors with segments that are new in this text, and the runs under segments seen twice in it.
+
+    Equal segments of one text mark each other whole, so one of them stands for all
+    (a long run of one repeated word has an anchor in every period).
+    """
+    times = Counter(hashes)
+    first_seen: dict[tuple, tuple[int, int]] = {}
+    kept, marks = [], []
+    for p, h in zip(positions, hashes, strict=True):
+        if times[h] > 1:
+            start, end = max(0, p - reach), min(len(data), p + length)
+            name = (h, p - start, _digest(data[start:end]))
+            if name in first_seen:
+                if end - start >= length:
+                    marks += [first_seen[name], (start, end)]
+                continue
+            first_seen[name] = (start, end)
+        kept.append((p, h))
+    return kept, _merged(marks)
+
+
+ANCHOR_SCHEMA = (
+    "text_key binary, positions array<bigint>, hashes array<bigint>, starts array<bigint>, ends array<bigint>"
+)
+
+
 def _anchor_rows(length: int, gram: int):
+    lists = pa.list_(pa.int64())
+
     def rows(batches):
         finder = Anchors(length, gram)
         for batch in batches:
-            keys, positions, hashes = [], [], []
+            out: list[list] = [[], [], [], [], []]
             for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = np.frombuffer(_bytes(text), dtype=np.uint8)
-                if len(data) >= length:
-                    p, h = finder.find(data)
-                    keys.append(key)
-                    positions.append(p)
-                    hashes.append(h)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.binary()),
-                    pa.array(positions, pa.list_(pa.int64())),
-                    pa.array(hashes, pa.list_(pa.int64())),
-                ],
-                names=["text_key", "positions", "hashes"],
-            )
+                data = _bytes(text)
+                if len(data) < length:
+                    continue
+                positions, hashes = finder.find(np.frombuffer(data, dtype=np.uint8))
+                kept, marks = _once_per_text(data, positions.tolist(), hashes.tolist(), length, length - gram)
+                row = (key, [p for p, _ in kept], [h for _, h in kept], [m[0] for m in marks], [m[1] for m in marks])
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            arrays = [pa.array(out[0], pa.binary()), *[pa.array(c, lists) for c in out[1:]]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["text_key", "positions", "hashes", "starts", "ends"])
 
     return rows
 
@@ -140,51 +181,54 @@ def _anchor_rows(length: int, gram: int):
 SEGMENT_SCHEMA = (
     "hash bigint, text_key binary, first bigint, before int, segment binary, digest binary, cover_end bigint"
 )
+ROWS_AT_ONCE = 4096
 
 
 def _segment_rows(length: int, gram: int):
-    """Per text: segments (hash set), window digests of oversized groups (digest set), marked covers (cover_end set)."""
+    """Per text: segments (hash set), window digests of oversized groups (digest set), marked runs (cover_end set)."""
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+    names = [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")]
+    reach = length - gram
+
+    def of_text(key, data, anchors):
+        windows: dict[bytes, int] = {}
+        marks = []
+        done = 0  # windows before this start are digested
+        for a in sorted(anchors, key=lambda x: x["position"]):
+            p = a["position"]
+            start, end = max(0, p - reach), min(len(data), p + length)
+            if end - start < length:
+                continue
+            if not a["oversized"]:
+                yield a["hash"], key, start, p - start, data[start:end], None, None
+                continue
+            for s in range(max(start, done), end - length + 1):
+                digest = _digest(data[s : s + length])
+                if digest in windows:  # twice in this text: marked here, sent once
+                    marks += [(windows[digest], windows[digest] + length), (s, s + length)]
+                else:
+                    windows[digest] = s
+                    yield None, key, s, None, None, digest, None
+            done = max(done, end - length + 1)
+        for start, end in _merged(marks):
+            yield None, key, start, None, None, None, end
+
+    def batch_of(rows):
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     def rows(batches):
-        reach = length - gram
+        held = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("text_key", "text", "anchors")]
-            for key, text, anchors in zip(*columns, strict=True):
-                data = _bytes(text)
-                out: dict[str, list] = {c.split()[0]: [] for c in SEGMENT_SCHEMA.split(", ")}
-
-                def add(hash=None, first=None, before=None, segment=None, digest=None, cover_end=None):
-                    for name, value in zip(
-                        out, (hash, key, first, before, segment, digest, cover_end), strict=True  # noqa: B023
-                    ):
-                        out[name].append(value)  # noqa: B023
-
-                seen: dict[tuple, tuple] = {}
-                counted: set[int] = set()
-                for a in sorted(anchors, key=lambda x: x["position"]):
-                    p = a["position"]
-                    first, end = max(0, p - reach), min(len(data), p + length)
-                    if end - first < length:
-                        continue
-                    if a["oversized"]:
-                        for s in range(first, end - length + 1):
-                            if s not in counted:
-                                counted.add(s)
-                                add(first=s, digest=hashlib.blake2b(data[s : s + length], digest_size=16).digest())
-                        continue
-                    segment = data[first:end]
-                    name = (a["hash"], p - first, hashlib.blake2b(segment, digest_size=16).digest())
-                    if name in seen:  # the same bytes elsewhere in this text: every window starts twice
-                        add(first=first, cover_end=end)
-                        if seen[name]:
-                            add(first=seen[name][0], cover_end=seen[name][1])
-                            seen[name] = ()
-                    else:
-                        seen[name] = (first, end)
-                        add(a["hash"], first, p - first, segment)
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-                arrays = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=list(out))
+            for i in range(batch.num_rows):
+                key, text, anchors = (batch.column(c)[i].as_py() for c in ("text_key", "text", "anchors"))
+                for row in of_text(key, _bytes(text), anchors):
+                    held.append(row)
+                    if len(held) == ROWS_AT_ONCE:
+                        yield batch_of(held)
+                        held = []
+        if held:
+            yield batch_of(held)
 
     return rows
 
@@ -288,9 +332,7 @@ def covers(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit:
     texts = only(docs, "text").select(content_key(F.col("text")).alias("text_key"), "text")
     texts = texts.filter(F.octet_length("text") >= length)
     anchors = checkpointed(
-        texts.mapInArrow(
-            _anchor_rows(length, gram), "text_key binary, positions array<bigint>, hashes array<bigint>"
-        ).dropDuplicates(["text_key"])
+        texts.mapInArrow(_anchor_rows(length, gram), ANCHOR_SCHEMA).dropDuplicates(["text_key"])
     )
     flat = anchors.select("text_key", F.explode(F.arrays_zip("positions", "hashes")).alias("a")).select(
         "text_key", F.col("a.positions").alias("position"), F.col("a.hashes").alias("hash")
@@ -301,7 +343,7 @@ def covers(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit:
         .groupBy("text_key")
         .agg(F.collect_list(F.struct("position", "hash", (F.col("n") > group_limit).alias("oversized"))).alias("anchors"))
     )
-    # segments, digests and marks of the texts; read three times below
+    # segments, digests and marks of oversized groups; read three times below
     pieces = checkpointed(
         texts.dropDuplicates(["text_key"]).join(wanted, "text_key").mapInArrow(_segment_rows(length, gram), SEGMENT_SCHEMA)
     )
@@ -316,7 +358,10 @@ def covers(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit:
     start = F.col("first").alias("start")
     counted = digests.join(twice, "digest").select("text_key", start, (F.col("first") + length).alias("end"))
     marked = pieces.filter("cover_end is not null").select("text_key", start, F.col("cover_end").alias("end"))
-    return built.unionByName(counted).unionByName(marked)
+    own = anchors.select("text_key", F.explode(F.arrays_zip("starts", "ends")).alias("m")).select(
+        "text_key", F.col("m.starts").alias("start"), F.col("m.ends").alias("end")
+    )
+    return built.unionByName(counted).unionByName(marked).unionByName(own)
 
 
 def removed_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -352,7 +397,8 @@ def remove_repeats(
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))
     runs = checkpointed(removed_runs(docs, length, gram, group_limit))
     twice = checkpointed(copies.filter("n > 1").select("text_key", F.lit(True).alias("copied")))
-    joined = slim.join(broadcast_if_small(twice), "text_key", "left").join(broadcast_if_small(runs), "text_key", "left")
+    for_rows = [broadcast_if_rows_fit(df, df.count()) for df in (twice, runs)]
+    joined = slim.join(for_rows[0], "text_key", "left").join(for_rows[1], "text_key", "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     chosen = joined.withColumn("runs", F.when(F.col("copied"), whole).otherwise(F.coalesce("runs", none)))
     raw = F.encode("text", "UTF-8")
