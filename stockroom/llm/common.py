@@ -6,6 +6,9 @@ row by its own content, and cutting lineage into the shared checkpoint folder.
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,9 @@ def let(value: Column, body) -> Column:
     a value bound as a lambda variable is evaluated once.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def worker_memory(name: str) -> dict:
+    """A dict that lives as long as the Python worker, shared by the tasks it runs one after another."""
+    holder = sys.modules.setdefault("_stockroom_worker_memory", types.ModuleType("_stockroom_worker_memory"))
+    return holder.__dict__.setdefault(name, {})

@@ -28,12 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.llm.common import only, read
+from stockroom.llm.common import only, read, worker_memory
 from stockroom.plans.session import ensure_checkpoint_dir
 
 SCHEMA = "version string, digest binary, n_tokens bigint"
 LIMIT = 2048
-PIECES_REMEMBERED = 400_000
+PIECES_REMEMBERED = 800_000
 TEXTS_AT_ONCE = 500
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -60,7 +60,7 @@ def content(text: Column, normalise: bool) -> Column:
     return F.trim(F.regexp_replace(filled, SPACES, " ")) if normalise else filled
 
 
-def _counter(definition: str, by_piece: bool):
+def _counter(definition: str, version: str, by_piece: bool):
     def count(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core; Spark runs many tasks
         from tokenizers import Tokenizer
@@ -72,7 +72,7 @@ def _counter(definition: str, by_piece: bool):
         def encode(texts):
             return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        known: dict[bytes, int] = {}
+        known = worker_memory(f"pieces of {version}")  # a piece's count never changes: any task may use it
 
         def totals(texts):
             if not by_piece:
@@ -114,7 +114,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer_file: str) -> DataFrame:
     named = named.withColumn("digest", F.unhex(F.sha2("content", 256)))
     distinct = named.select("digest", "content").dropDuplicates(["digest"])  # combined before the shuffle
     missing = distinct.join(stored(), "digest", "left_anti")
-    counted = missing.mapInPandas(_counter(definition, by_piece), "digest binary, n_tokens bigint")
+    counted = missing.mapInPandas(_counter(definition, version, by_piece), "digest binary, n_tokens bigint")
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     return named.drop("content").join(stored(), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
