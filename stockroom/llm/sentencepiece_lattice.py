@@ -42,7 +42,11 @@ from stockroom.plans.joins import broadcast_if_small
 
 SPACE = "▁"
 MASK_SYMBOLS = 62
+# An edge is one long: rank, start, end and id of its piece.  Longs sort by rank, then start.
+END_SHIFT = 16
+START_SHIFT, RANK_SHIFT = 22, 28
 UNITS_HELD = 1_000_000
+LATTICE_SPREAD = 4
 GROUP_BYTES = 64 << 20  # input bytes whose units share one dictionary
 
 
@@ -74,8 +78,8 @@ class Pieces:
             else:
                 ids[piece], scores[piece] = i, model.get_score(i)
                 bytes_of.append(piece.replace(SPACE, " ").encode("utf-8"))
-        if len(bytes_of) > 1 << 16:
-            raise ValueError("ids are packed in two bytes")
+        if len(bytes_of) > 1 << END_SHIFT:
+            raise ValueError(f"ids are packed in {END_SHIFT} bits")
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in ids):
             raise ValueError("pieces cross word borders: units cannot be cut at spaces")
         cut = not any(a.isalpha() and b.isascii() and not b.isalpha() for p in ids for a, b in zip(p, p[1:], strict=False))
@@ -91,8 +95,13 @@ class Pieces:
         return re.compile(rf"\n|{SPACE}*(?:(?!{letter})[^{SPACE}\n])*{tail}|{SPACE}*(?:(?!{letter})[^{SPACE}\n])+|{SPACE}+")
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(p, i, float(self.scores[p])) for p, i in self.ids.items()]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        """(piece, code): the code holds rank and id; pieces of equal score share a rank, the best score has rank 0."""
+        ranks = {score: r for r, score in enumerate(self.ranked_scores())}
+        rows = [(p, (ranks[self.scores[p]] << RANK_SHIFT) | i) for p, i in self.ids.items()]
+        return spark.createDataFrame(rows, "piece string, code bigint")
+
+    def ranked_scores(self) -> list[float]:
+        return sorted(set(self.scores.values()), reverse=True)
 
 
 def escape(text: str | None) -> str:
@@ -161,20 +170,38 @@ def distinct_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
             yield rows(units[at : at + 50_000])
 
     found = texts.select("text").mapInArrow(gather, "unit string, simple boolean, group int")
+    # a unit's lattice is some 50 times its bytes: more and smaller partitions than the shuffled bytes ask for
+    parts = LATTICE_SPREAD * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.repartition(parts, "unit")
     return found.groupBy("unit", "simple").agg(F.collect_set("group").alias("groups"))
 
 
 def lattice(units: DataFrame, piece_table: DataFrame, longest: int, carry: str) -> DataFrame:
-    """(unit, edges, carry): edges (cost, s, e, id) in order of cost and start; cost is minus the score."""
+    """(unit, edges, carry): the edges of every unit as sorted longs."""
     starts = units.select("unit", carry, F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
     ends = F.explode(F.sequence(F.col("s") + 1, F.least(F.length("unit"), F.col("s") + longest))).alias("e")
     spans = starts.select("unit", carry, "s", ends)
     text = F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s"))
     edges = spans.withColumn("piece", text).join(broadcast_if_small(piece_table), "piece")
-    edge = F.struct((-F.col("score")).alias("cost"), "s", "e", "id")
+    place = F.shiftleft(F.col("s").cast("bigint"), START_SHIFT).bitwiseOR(
+        F.shiftleft(F.col("e").cast("bigint"), END_SHIFT)
+    )
+    edge = F.col("code").bitwiseOR(place)
     return edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first(carry).alias(carry))
 
 
+def _field(edge: Column, shift: int, bits: int) -> Column:
+    return F.shiftright(edge, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def _edge(edge: Column) -> dict[str, Column]:
+    return {
+        "s": _field(edge, START_SHIFT, 6),
+        "e": _field(edge, END_SHIFT, 6),
+        "id": edge.bitwiseAND(F.lit((1 << END_SHIFT) - 1)).cast("int"),
+    }
+
+
 def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
 
@@ -182,7 +209,8 @@ def _bit(at: Column) -> Column:
 def fold_merges(n: Column, edges: Column) -> Column:
     """Ids by BPE merge order: borders are bits; the best merge with one border inside is applied, up to n - 1 times."""
 
-    def masks(e):
+    def masks(edge):
+        e = _edge(edge)
         need = _bit(e["s"]).bitwiseOR(_bit(e["e"]))
         inner = (_bit(e["e"]) - 1).bitwiseAND(F.bitwise_not(_bit(e["s"] + 1) - 1))
         return F.struct(need.alias("need"), inner.alias("inner"), e["s"].alias("s"), e["id"].alias("id"))
@@ -217,32 +245,41 @@ def fold_merges(n: Column, edges: Column) -> Column:
     return let(F.transform(edges, masks), fold)
 
 
-def fold_viterbi(n: Column, edges: Column) -> Column:
+def fold_viterbi(n: Column, edges: Column, scores: list[float]) -> Column:
     """Ids of the path of highest total score (ties: the larger id sequence); null if no path spans the unit."""
+    by_rank = F.array(*[F.lit(x) for x in scores])  # bounded by the model
+
+    def unpacked(edge):
+        score = F.get(by_rank, F.shiftright(edge, RANK_SHIFT).cast("int")).alias("score")
+        return F.struct(score, *[c.alias(k) for k, c in _edge(edge).items()])
+
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
 
-    def step(best, end):
-        arriving = F.filter(edges, lambda e: (e["e"] == end) & F.get(best, e["s"])["ids"].isNotNull())
-        paths = F.transform(
-            arriving,
-            lambda e: F.struct(
-                (best[e["s"]]["score"] - e["cost"]).alias("score"),
-                F.concat(best[e["s"]]["ids"], F.array(e["id"])).alias("ids"),
-            ),
-        )
-        none = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("array<int>").alias("ids"))
-        return F.concat(best, F.array(F.coalesce(F.array_max(paths), none)))
+    def fold(all_edges):
+        def step(best, end):
+            arriving = F.filter(all_edges, lambda e: (e["e"] == end) & F.get(best, e["s"])["ids"].isNotNull())
+            paths = F.transform(
+                arriving,
+                lambda e: F.struct(
+                    (best[e["s"]]["score"] + e["score"]).alias("score"),
+                    F.concat(best[e["s"]]["ids"], F.array(e["id"])).alias("ids"),
+                ),
+            )
+            none = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("array<int>").alias("ids"))
+            return F.concat(best, F.array(F.coalesce(F.array_max(paths), none)))
+
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.element_at(best, -1)["ids"])
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.element_at(best, -1)["ids"])
+    return let(F.transform(edges, unpacked), fold)
 
 
 def encode_units(units: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFrame:
     """(unit, ids, groups) for every row of ``units`` (unit, simple, groups)."""
     spark = units.sparkSession
-    fold = {"bpe": fold_merges, "unigram": fold_viterbi}[model_type]
-    folded = lattice(units.filter("simple"), pieces.frame(spark), pieces.longest, "groups").select(
-        "unit", fold(F.length("unit"), F.col("edges")).alias("ids"), "groups"
-    )
+    edges = lattice(units.filter("simple"), pieces.frame(spark), pieces.longest, "groups")
+    arguments = (F.length("unit"), F.col("edges"))
+    ids = fold_merges(*arguments) if model_type == "bpe" else fold_viterbi(*arguments, pieces.ranked_scores())
+    folded = edges.select("unit", ids.alias("ids"), "groups")
 
     @F.pandas_udf("array<int>")
     def merged(found):
