@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from stockroom import schemas
 from stockroom.plans.joins import broadcast_if_small
+from stockroom.plans.session import cut_lineage
 
 
 def _as_list(cols: str | list[str] | tuple[str, ...]) -> list[str]:
@@ -51,28 +52,50 @@ def audit_unique(df: DataFrame, key: str | list[str]) -> DataFrame:
 # Q3: NOT NULL
 # ---------------------------------------------------------------------------
 def audit_not_null(df: DataFrame, cols: list[str], row_key: str | list[str]) -> DataFrame:
-    """Q3: one row per (row, NULL column) → row key column(s), column_name."""
+    """Q3: one row per (row, NULL column) → row key column(s), column_name.
+
+    A column of ``cols`` that ``df`` lacks is reported once, with a NULL row key.
+    """
     keys = _as_list(row_key)
+    absent = [c for c in cols if c not in df.columns]
+    cols = [c for c in cols if c in df.columns]
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", column_name string"
+    missing = df.sparkSession.createDataFrame([(*[None] * len(keys), c) for c in absent], schema)
     if not cols:
-        return df.select(*keys, F.lit(None).cast("string").alias("column_name")).limit(0)
+        return missing
     hits = F.filter(
         F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]),
         lambda name: name.isNotNull(),
     )
-    return (
-        df.filter(_any([F.col(c).isNull() for c in cols]))
-        .select(*keys, F.explode(hits).alias("column_name"))
-    )
+    found = df.filter(_any([F.col(c).isNull() for c in cols])).select(*keys, F.explode(hits).alias("column_name"))
+    return found.unionByName(missing) if absent else found
 
 
 # ---------------------------------------------------------------------------
 # Q4: FOREIGN KEY
 # ---------------------------------------------------------------------------
-def audit_foreign_key(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
-    """Q4: child rows whose non-NULL ``fk`` has no parent row with ``pk == fk``."""
+class ParentKeys:
+    """The keys of a parent table, measured once for any number of child columns.
+
+    Not made distinct here: an anti join does not mind repeated keys, and an aggregation
+    between shuffle and join would keep AQE from splitting a hot key.
+    """
+
+    def __init__(self, parent: DataFrame, pk: str):
+        keys = parent.select(F.col(pk).alias("_sr_pk")).filter(F.col("_sr_pk").isNotNull())
+        self.keys = broadcast_if_small(keys)
+        self.small = self.keys is not keys  # hinted: the keys fit the broadcast bound
+
+
+def audit_foreign_key(child: DataFrame, parent: DataFrame | ParentKeys, fk: str, pk: str) -> DataFrame:
+    """Q4: child rows whose non-NULL ``fk`` has no parent row with ``pk == fk``.
+
+    Give a :class:`ParentKeys` to audit several children of one parent with one measurement.
+    """
+    keys = (parent if isinstance(parent, ParentKeys) else ParentKeys(parent, pk)).keys
     refs = child.filter(F.col(fk).isNotNull())
-    keys = parent.select(F.col(pk).alias("_sr_pk")).filter(F.col("_sr_pk").isNotNull())
-    return refs.join(broadcast_if_small(keys), refs[fk] == keys["_sr_pk"], "left_anti")
+    return refs.join(keys, refs[fk] == keys["_sr_pk"], "left_anti")
 
 
 # ---------------------------------------------------------------------------
@@ -147,21 +170,21 @@ def cascade_delete_warehouses(
     stock_takes: DataFrame,
     ids: list[int] | DataFrame,
 ) -> DataFrame:
-    """Q10: the effect of deleting warehouses ``ids``.
-
-    Deleting a warehouse deletes its zones (cascade), but a zone still referenced by
-    a batch, a transaction (source or destination) or a stocktake blocks the delete,
-    because those references have no cascade.  Returns one row per warehouse and per
-    zone: entity ('warehouse' | 'zone'), id, warehouse_id, outcome ('kept' |
-    'deleted' | 'blocked').  A warehouse is blocked when any of its zones is.  A
-    single DELETE naming several warehouses fails as a whole if any row is blocked.
+    """Q10: the effect of one DELETE of the warehouses ``ids``.
+
+    Deleting a warehouse deletes its zones (cascade), but a zone still referenced by a batch,
+    a transaction (source or destination) or a stocktake has no cascade, and then the
+    statement fails whole: nothing is deleted.  Returns one row per warehouse and per zone:
+    entity ('warehouse' | 'zone'), id, warehouse_id, outcome.  ``deleted`` is only given when
+    no doomed zone is referenced; otherwise the referenced zones and their warehouses are
+    ``blocked`` and everything else is ``kept``.
     """
     if isinstance(ids, DataFrame):
-        doomed_ids = ids.select(F.col(ids.columns[0]).cast("int").alias("warehouse_id")).distinct()
+        doomed_ids = ids.select(F.col(ids.columns[0]).alias("warehouse_id")).distinct()
     else:
-        doomed_ids = warehouses.select("warehouse_id").filter(F.col("warehouse_id").isin(*ids))
-    doomed_ids = broadcast_if_small(doomed_ids.withColumn("_doomed", F.lit(True)))  # measured once, reused
+        doomed_ids = warehouses.select("warehouse_id").filter(F.col("warehouse_id").isin(*ids)).distinct()
     doomed_zones = zones.select("zone_id", "warehouse_id").join(doomed_ids, "warehouse_id", "left_semi")
+    doomed_zones = broadcast_if_small(doomed_zones)  # measured once, used for the references and the outcome
 
     # one scan per referencing table; a transaction refers to up to two zones
     moves = transactions.select(F.explode(F.array("source_zone_id", "destination_zone_id")).alias("zone_id"))
@@ -172,44 +195,38 @@ def cascade_delete_warehouses(
         .filter(F.col("zone_id").isNotNull())
     )
     # keep only references to doomed zones (map side), then one row per zone
-    blocked = (
-        references.join(broadcast_if_small(doomed_zones.select("zone_id")), "zone_id", "left_semi")
-        .distinct()
-        .withColumn("_blocked", F.lit(True))
-    )
-
-    zone_rows = (
-        zones.select("zone_id", "warehouse_id")
-        .join(doomed_ids, "warehouse_id", "left")
-        .join(blocked, "zone_id", "left")
-        .select(
-            F.lit("zone").alias("entity"),
-            F.col("zone_id").alias("id"),
-            "warehouse_id",
-            F.when(F.col("_doomed").isNull(), "kept")
-            .when(F.col("_blocked").isNotNull(), "blocked")
-            .otherwise("deleted")
-            .alias("outcome"),
+    # (at most the doomed zones); kept, so that the facts are read once for the flag and the outcome
+    blocked = cut_lineage(references.join(doomed_zones, "zone_id").select("zone_id", "warehouse_id").distinct())
+    fails = bool(blocked.limit(1).count())  # one flag for the whole statement
+
+    def outcome(rows: DataFrame, entity: str, key: str, doomed: DataFrame, stopped: DataFrame) -> DataFrame:
+        stopped = stopped.select(key).distinct().withColumn("_blocked", F.lit(True))
+        return (
+            rows.join(doomed.select(key).distinct().withColumn("_doomed", F.lit(True)), key, "left")
+            .join(stopped, key, "left")
+            .select(
+                F.lit(entity).alias("entity"),
+                F.col(key).alias("id"),
+                "warehouse_id",
+                F.when(F.col("_doomed").isNull(), "kept")
+                .when(F.col("_blocked").isNotNull(), "blocked")
+                .when(F.lit(fails), "kept")
+                .otherwise("deleted")
+                .alias("outcome"),
+            )
         )
+
+    own = F.col("warehouse_id").alias("_key")
+    warehouse_rows = outcome(
+        warehouses.select(own, "warehouse_id"),
+        "warehouse",
+        "_key",
+        doomed_ids.select(own),
+        blocked.select(own),
     )
-    blocked_warehouses = (
-        zone_rows.filter(F.col("outcome") == "blocked").select("warehouse_id").distinct().withColumn("_wb", F.lit(True))
-    )
-    warehouse_rows = (
-        warehouses.select("warehouse_id")
-        .join(doomed_ids, "warehouse_id", "left")
-        .join(blocked_warehouses, "warehouse_id", "left")
-        .select(
-            F.lit("warehouse").alias("entity"),
-            F.col("warehouse_id").alias("id"),
-            "warehouse_id",
-            F.when(F.col("_doomed").isNull(), "kept")
-            .when(F.col("_wb").isNotNull(), "blocked")
-            .otherwise("deleted")
-            .alias("outcome"),
-        )
+    return warehouse_rows.unionByName(
+        outcome(zones.select("zone_id", "warehouse_id"), "zone", "zone_id", doomed_zones, blocked)
     )
-    return warehouse_rows.unionByName(zone_rows)
 
 
 # ---------------------------------------------------------------------------
@@ -255,21 +272,44 @@ def row_rules(df: DataFrame, table: str) -> list[tuple[str, str, Column]]:
     return out
 
 
-def audit_table(df: DataFrame, table: str, parents: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Every declared rule of ``table`` that ``df`` can be checked against, as one frame.
+def audit_table(
+    df: DataFrame, table: str, parents: dict[str, DataFrame | ParentKeys] | None = None
+) -> DataFrame:
+    """Every declared rule of ``table`` as one frame: table_name, rule, column_name, row_key.
+
+    One pass over ``df`` evaluates all row-level rules (NOT NULL, CHECK, enum, VARCHAR, NUMERIC)
+    and the foreign keys whose parent fits the broadcast bound: each row gets the array of
+    rules it breaks, and only rows with some violation are exploded.  Every other foreign
+    key (for the parents given) adds one anti join, every key rule one aggregation.  A
+    parent is measured once, however many columns refer to it.
 
-    Columns: table_name, rule, column_name, row_key.  All row-level rules (NOT NULL,
-    CHECK, enum, VARCHAR, NUMERIC) are evaluated in one pass over ``df``: each row
-    gets the array of rules it breaks, and only rows with some violation are
-    exploded.  Key rules add one aggregation each and foreign keys one anti join
-    each (for the parents given).  Rules whose columns are absent are skipped.
+    NOT NULL columns that ``df`` lacks are reported with a NULL row key, unless the table has
+    a default for them.  Other rules on absent columns have nothing to check.
     """
     cols = set(df.columns)
-    pk = schemas.PRIMARY_KEYS[table]
-    key = pk if pk in cols else df.columns[0]
+    key = schemas.PRIMARY_KEYS[table]
+    if key not in cols:
+        raise ValueError(f"{table}: the key column {key} is needed to name the violations")
     parts: list[DataFrame] = []
+    rules = [(rule, col, bad) for rule, col, bad in row_rules(df, table)]
+
+    measured: dict[str, ParentKeys] = {}
+    marked = df
+    for i, fk in enumerate(schemas.FOREIGN_KEYS):
+        if fk.child != table or fk.column not in cols or fk.parent not in (parents or {}):
+            continue
+        if fk.parent not in measured:
+            given = parents[fk.parent]
+            measured[fk.parent] = given if isinstance(given, ParentKeys) else ParentKeys(given, fk.parent_key)
+        found = measured[fk.parent]
+        rule = f"foreign_key:{fk.parent}"
+        if found.small:
+            known = found.keys.select(F.col("_sr_pk").alias(f"_sr_fk{i}")).distinct()  # a repeated key adds no row
+            marked = marked.join(F.broadcast(known), F.col(fk.column) == F.col(f"_sr_fk{i}"), "left")
+            rules.append((rule, fk.column, F.col(fk.column).isNotNull() & F.col(f"_sr_fk{i}").isNull()))
+        else:
+            parts.append(_violations(audit_foreign_key(df, found, fk.column, fk.parent_key), table, rule, fk.column, key))
 
-    rules = row_rules(df, table)
     if rules:
         hits = F.filter(
             F.array(
@@ -278,20 +318,18 @@ def audit_table(df: DataFrame, table: str, parents: dict[str, DataFrame] | None
             lambda h: h.isNotNull(),
         )
         parts.append(
-            df.select(F.col(key).cast("string").alias("row_key"), hits.alias("_hits"))
+            marked.select(F.col(key).cast("string").alias("row_key"), hits.alias("_hits"))
             .filter(F.size("_hits") > 0)
             .select(F.lit(table).alias("table_name"), F.explode("_hits").alias("_h"), "row_key")
             .select("table_name", "_h.rule", "_h.column_name", "row_key")
         )
-    if pk in cols:
-        parts.append(_violations(audit_primary_key(df, pk), table, "primary_key", pk, pk))
+    parts.append(_violations(audit_primary_key(df, key), table, "primary_key", key, key))
     for t, col in schemas.UNIQUE_KEYS:
         if t == table and col in cols:
             parts.append(_violations(audit_unique(df, col), table, "unique", col, col))
-    for fk in schemas.FOREIGN_KEYS:
-        if fk.child == table and fk.column in cols and parents and fk.parent in parents:
-            orphans = audit_foreign_key(df, parents[fk.parent], fk.column, fk.parent_key)
-            parts.append(_violations(orphans, table, f"foreign_key:{fk.parent}", fk.column, key))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "table_name string, rule string, column_name string, row_key string")
+    absent = [c for c in schemas.not_null_columns(table) if c not in cols and c not in schemas.defaults(table)]
+    if absent:
+        rows = [(table, "not_null", c, None) for c in absent]
+        schema = "table_name string, rule string, column_name string, row_key string"
+        parts.append(df.sparkSession.createDataFrame(rows, schema))
     return reduce(DataFrame.unionByName, parts)

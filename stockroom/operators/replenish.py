@@ -11,6 +11,8 @@ the order date is ``as_of``.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +21,23 @@ from stockroom.schemas import CANCELLED_ORDER_STATUS, NEW_ORDER_STATUS, OPEN_ORD
 
 
 def _recency():
-    return F.unix_date(F.col("order_date")).cast("bigint") * F.lit(1 << 32) + (
-        F.col("purchase_order_id").cast("bigint") + F.lit(1 << 31)
-    )
+    """The order "date, then id" as one exact number: days * 10^20 + (id + 2^63), at most 33 digits.
+
+    A wide decimal keeps ``max_by`` in a hash aggregation (its buffer is of fixed width), where a
+    (date, id) struct would fall back to a sort, and it holds any 64-bit order id.
+    """
+    days = F.unix_date(F.col("order_date")).cast("decimal(10,0)")
+    order = F.col("purchase_order_id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
+    return days * F.lit(Decimal(10**20)) + order
 
 
 def latest_supplier(purchase_orders: DataFrame) -> DataFrame:
     """Supplier of each product's latest non-cancelled order: product_id, supplier_id.
 
-    ``max_by`` over a single 64-bit recency key (days since epoch in the high bits,
-    the order id shifted to non-negative in the low 32 bits — an exact encoding of
-    the order "date, then id") keeps the aggregation hash-based with a fixed-width
-    buffer and combined on the map side, so a product with a third of all orders
-    still sends one row per map task through the shuffle.  A window with
-    ``row_number`` would sort each product's orders in one task instead.
+    ``max_by`` over one recency number keeps the aggregation hash-based and combined on
+    the map side, so a product with a third of all orders still sends one row per map
+    task through the shuffle.  A window with ``row_number`` would sort each product's
+    orders in one task instead.
     """
     return (
         purchase_orders.filter(F.col("status") != CANCELLED_ORDER_STATUS)

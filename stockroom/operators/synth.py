@@ -21,6 +21,7 @@ NULL keys instead.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,14 +68,53 @@ def _conform(df: DataFrame, table: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # H3: uniform foreign-key draw
 # ---------------------------------------------------------------------------
+def _measure_keys(parents: list[tuple[DataFrame, str]]) -> list:
+    """Per parent: n, low, high and distinct of its non-NULL integer keys, all in one aggregation."""
+    keys = [df.select(F.lit(i).alias("parent"), F.col(key).cast("bigint").alias("key")) for i, (df, key) in enumerate(parents)]
+    measured = (
+        reduce(DataFrame.unionByName, keys)
+        .filter(F.col("key").isNotNull())
+        .groupBy("parent")
+        .agg(
+            F.count("key").alias("n"),
+            F.min("key").alias("low"),
+            F.max("key").alias("high"),
+            F.count_distinct("key").alias("distinct"),
+        )
+    )
+    found = {r["parent"]: r for r in measured.collect()}  # one row per parent
+    none = {"n": 0, "low": None, "high": None, "distinct": 0}
+    return [found.get(i, none) for i in range(len(parents))]
+
+
+def plain_parents(*parents: tuple[DataFrame, str]) -> list[Parent]:
+    """Several parents without carried columns, measured together."""
+    return [Parent(df, key, seen=seen) for (df, key), seen in zip(parents, _measure_keys(list(parents)), strict=True)]
+
+
 class Parent:
-    """A parent table indexed 0..n-1 by ``ORDER BY key, carry...`` for uniform draws."""
+    """A parent table for uniform draws: row ``floor(u * n)`` in ``ORDER BY key, carry...``.
+
+    One aggregation shows whether the keys are contiguous (as many distinct keys as rows and
+    as values between the smallest and the largest).  Then the drawn key is ``min + floor(u * n)``
+    and no index, checkpoint or join is needed.  Other keys, and draws that carry
+    further columns, use a dense index.
+    """
 
-    def __init__(self, df: DataFrame, key: str, carry: tuple[str, ...] = ()):
+    def __init__(self, df: DataFrame, key: str, carry: tuple[str, ...] = (), seen=None):
         self.key = key
         self.carry = carry
         cols = [key, *carry]
-        self.indexed, self.n = with_dense_index(df.select(*cols).filter(F.col(key).isNotNull()), cols, "_pick_idx")
+        keys = df.select(*cols).filter(F.col(key).isNotNull())
+        self.low: int | None = None
+        self.indexed: DataFrame | None = None
+        if not carry:
+            seen = seen or _measure_keys([(df, key)])[0]
+            self.n = seen["n"]
+            if self.n and seen["n"] == seen["distinct"] == seen["high"] - seen["low"] + 1:
+                self.low = seen["low"]
+        if self.low is None and (carry or self.n):
+            self.indexed, self.n = with_dense_index(keys, cols, "_pick_idx")
         self._sides: dict[tuple, DataFrame] = {}
 
     @property
@@ -91,9 +131,12 @@ class Parent:
         if self.empty:
             extra = [F.lit(None).alias(a) for a in carry_as.values()]
             return draws.select("*", F.lit(None).alias(out), *extra)
-        keyed = draws.withColumn("_pick_idx", F.floor(u * F.lit(self.n)).cast("bigint"))
+        drawn = F.floor(u * F.lit(self.n)).cast("bigint")
+        if self.low is not None:
+            return draws.withColumn(out, drawn + F.lit(self.low))
         # a small parent is broadcast on a measured bound (decided once per output shape);
         # a large one is joined by shuffle (draws are uniform over the index: no hot key)
+        keyed = draws.withColumn("_pick_idx", drawn)
         return keyed.join(self._side(out, carry_as), "_pick_idx", "left").drop("_pick_idx")
 
     def _side(self, out: str, carry_as: dict[str, str]) -> DataFrame:
@@ -134,7 +177,7 @@ def seed_user_roles(spark: SparkSession, existing: DataFrame | None = None) -> D
     top = existing.agg(F.coalesce(F.max("role_id"), F.lit(0)).alias("m")).first()["m"]
     # at most three rows: the single-partition window is bounded by the seed list
     added = missing.select(
-        (F.lit(top) + F.row_number().over(Window.orderBy("_ord"))).cast("int").alias("role_id"),
+        (F.lit(top) + F.row_number().over(Window.orderBy("_ord"))).cast("bigint").alias("role_id"),
         "role_name",
         "description",
     )
@@ -144,6 +187,27 @@ def seed_user_roles(spark: SparkSession, existing: DataFrame | None = None) -> D
 # ---------------------------------------------------------------------------
 # Tables without parents
 # ---------------------------------------------------------------------------
+# The texts and ranges of G2-G10 (``Supplier i``, ``ZONE-i-r``, 730 days and so on) are fixed values
+# of the original load.
+def append_generated(existing: DataFrame, table: str, generate, n: int | None = None) -> DataFrame:
+    """``existing`` plus ``n`` generated rows (default: as many again), as an INSERT into a filled table.
+
+    Serial keys go on after the largest existing one; ``generate(n)`` gives keys 1..n.
+    Columns that ``existing`` lacks are NULL in its rows.
+    """
+    key = schemas.PRIMARY_KEYS[table]
+    seen = existing.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(key), F.lit(0)).alias("top")).first()
+    added = generate(seen["n"] if n is None else n).withColumn(key, F.col(key) + F.lit(seen["top"]))
+    present = set(existing.columns)
+    filled = existing.select(
+        *[
+            (F.col(c.name) if c.name in present else F.lit(None)).cast(c.dtype).alias(c.name)
+            for c in schemas.columns(table)
+        ]
+    )
+    return filled.unionByName(_conform(added, table))
+
+
 def generate_suppliers(spark: SparkSession, n: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """``Supplier i``, ``Address i, City c`` (c in 1..100) and contact JSON (H2)."""
     i = _id().cast("string")
@@ -255,7 +319,7 @@ def generate_inventory(
     expiry ``as_of + 0..729`` days with probability 0.7, else NULL.
     """
     spark = products.sparkSession
-    prod, zone = Parent(products, "product_id"), Parent(zones, "zone_id")
+    prod, zone = plain_parents((products, "product_id"), (zones, "zone_id"))
     if prod.empty or zone.empty:
         return _empty(spark, "inventory")
     day = date_lit(as_of)
@@ -286,7 +350,7 @@ def generate_purchase_orders(
     cancelled order may carry a delivery date, as in the original.
     """
     spark = products.sparkSession
-    prod, supp = Parent(products, "product_id"), Parent(suppliers, "supplier_id")
+    prod, supp = plain_parents((products, "product_id"), (suppliers, "supplier_id"))
     if prod.empty or supp.empty:
         return _empty(spark, "purchase_orders")
     day = date_lit(as_of)
@@ -330,8 +394,7 @@ def generate_inventory_transactions(
     """
     spark = inventory.sparkSession
     inv = Parent(inventory, "inventory_id", ("product_id",))
-    emp = Parent(employees, "employee_id")
-    zone = Parent(zones, "zone_id")
+    emp, zone = plain_parents((employees, "employee_id"), (zones, "zone_id"))
     if inv.empty or emp.empty:
         return _empty(spark, "inventory_transactions")
     draws = inv.pick(_ids(spark, n), uniform(seed, "tx.inventory", _id()), "inventory_id", {"product_id": "product_id"})
@@ -362,7 +425,7 @@ def generate_stock_takes(
     """Stocktakes 0..364 days back, any status, a drawn zone (50 %), discrepancies
     (30 %), initial (10 %) and a drawn employee (80 %)."""
     spark = employees.sparkSession
-    emp, zone = Parent(employees, "employee_id"), Parent(zones, "zone_id")
+    emp, zone = plain_parents((employees, "employee_id"), (zones, "zone_id"))
     if emp.empty:
         return _empty(spark, "stock_takes")
     day = date_lit(as_of)

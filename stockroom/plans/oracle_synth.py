@@ -81,14 +81,14 @@ def _with(*ctes: str) -> str:
 # ---------------------------------------------------------------------------
 _seed_values = ", ".join(f"({i}, '{n}', '{d}')" for i, (n, d) in enumerate(schemas.ROLES))
 G1 = _with(
-    "existing AS (SELECT CAST(min(c_custkey) AS INTEGER) AS role_id, c_mktsegment AS role_name, "
+    "existing AS (SELECT CAST(min(c_custkey) AS BIGINT) AS role_id, c_mktsegment AS role_name, "
     "CAST(NULL AS VARCHAR) AS description FROM customer GROUP BY c_mktsegment)",
     f"seeds AS (SELECT * FROM (VALUES {_seed_values}) t(ord, role_name, description))",
     "missing AS (SELECT * FROM seeds s WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.role_name = s.role_name))",
 ) + """
 SELECT role_id, role_name, description FROM existing
 UNION ALL
-SELECT CAST((SELECT coalesce(max(role_id), 0) FROM existing) + row_number() OVER (ORDER BY ord) AS INTEGER),
+SELECT CAST((SELECT coalesce(max(role_id), 0) FROM existing) + row_number() OVER (ORDER BY ord) AS BIGINT),
        role_name, description
 FROM missing"""
 
@@ -102,14 +102,19 @@ def _contact(tag: str) -> str:
     )
 
 
-G2 = _with(ids("SELECT count(*) FROM supplier")) + f"""
-SELECT CAST(i AS INTEGER) AS supplier_id, 'Supplier ' || CAST(i AS VARCHAR) AS name,
+G2 = _with(FIXTURE_CTES["suppliers"], ids("SELECT count(*) FROM supplier")) + f"""
+SELECT supplier_id, name, CAST(NULL AS VARCHAR) AS address, contact_info FROM suppliers
+UNION ALL
+SELECT CAST(i AS BIGINT) + (SELECT max(supplier_id) FROM suppliers) AS supplier_id, 'Supplier ' || CAST(i AS VARCHAR) AS name,
        'Address ' || CAST(i AS VARCHAR) || ', City ' || CAST({uint('suppliers.city', 1, 100)} AS VARCHAR) AS address,
        {_contact('suppliers.contact')} AS contact_info
 FROM ids"""
 
-G3 = _with(ids("SELECT count(*) FROM part")) + f"""
-SELECT CAST(i AS INTEGER) AS product_id, 'Product ' || CAST(i AS VARCHAR) AS name,
+G3 = _with(FIXTURE_CTES["products"], ids("SELECT count(*) FROM part")) + f"""
+SELECT product_id, name, CAST(NULL AS VARCHAR) AS description, category, CAST(NULL AS VARCHAR) AS unit_of_measure,
+       CAST(NULL AS DECIMAL(5,2)) AS markup_percentage, reorder_level, max_stock_level, is_active FROM products
+UNION ALL
+SELECT CAST(i AS BIGINT) + (SELECT max(product_id) FROM products) AS product_id, 'Product ' || CAST(i AS VARCHAR) AS name,
        {text('products.description', 20, 100)} AS description,
        {enum('products.category', schemas.PRODUCT_CATEGORY)} AS category,
        {enum('products.unit', schemas.UNIT_OF_MEASURE)} AS unit_of_measure,
@@ -119,23 +124,21 @@ SELECT CAST(i AS INTEGER) AS product_id, 'Product ' || CAST(i AS VARCHAR) AS nam
        TRUE AS is_active
 FROM ids"""
 
-_WAREHOUSES_SELECT = f"""
-SELECT CAST(i AS INTEGER) AS warehouse_id, 'Warehouse ' || CAST(i AS VARCHAR) AS name,
+G4 = _with(FIXTURE_CTES["warehouses"], ids("SELECT count(*) FROM region")) + f"""
+SELECT warehouse_id, name, location FROM warehouses
+UNION ALL
+SELECT CAST(i AS BIGINT) + (SELECT max(warehouse_id) FROM warehouses), 'Warehouse ' || CAST(i AS VARCHAR),
        'Warehouse Address ' || CAST(i AS VARCHAR) || ', City ' || CAST({uint('warehouses.city', 1, 100)} AS VARCHAR)
-         AS location
 FROM ids"""
 
-G4 = _with(ids("SELECT count(*) FROM supplier")) + _WAREHOUSES_SELECT
-
 G5 = (
     _with(
-        "wh_ids AS (SELECT unnest(generate_series(1, (SELECT count(*) FROM supplier))) AS wid)",
-        "gen_warehouses AS (SELECT CAST(wid AS INTEGER) AS warehouse_id FROM wh_ids)",
-        indexed("pw", "gen_warehouses", "warehouse_id"),
-        ids("SELECT count(*) * 20 FROM gen_warehouses"),
+        FIXTURE_CTES["warehouses"],
+        indexed("pw", "warehouses", "warehouse_id"),
+        ids("SELECT count(*) * 20 FROM warehouses"),
     )
     + f"""
-SELECT CAST(i AS INTEGER) AS zone_id, pw.warehouse_id,
+SELECT CAST(i AS BIGINT) AS zone_id, pw.warehouse_id,
        'ZONE-' || CAST(i AS VARCHAR) || '-' || CAST({uint('zones.code', 0, 1000)} AS VARCHAR) AS code,
        {dec('zones.capacity', 500, 100, 18)} AS storage_capacity
 FROM ids LEFT JOIN pw ON {draw('pw', 'zones.warehouse')}"""
@@ -144,12 +147,12 @@ FROM ids LEFT JOIN pw ON {draw('pw', 'zones.warehouse')}"""
 _positions = " ".join(f"WHEN '{r}' THEN '{p}'" for r, p in schemas.POSITION_BY_ROLE)
 G6 = (
     _with(
-        FIXTURE_CTES["user_roles"],
-        indexed("pr", "user_roles", "role_id", ("role_name",)),
+        f"roles AS ({G1})",
+        indexed("pr", "roles", "role_id", ("role_name",)),
         ids("SELECT count(*) FROM customer"),
     )
     + f"""
-SELECT CAST(i AS INTEGER) AS employee_id, 'emp_' || CAST(i AS VARCHAR) AS username,
+SELECT CAST(i AS BIGINT) AS employee_id, 'emp_' || CAST(i AS VARCHAR) AS username,
        md5('password' || CAST(i AS VARCHAR)) AS password_hash,
        'FirstName' || CAST(i AS VARCHAR) AS first_name, 'LastName' || CAST(i AS VARCHAR) AS last_name,
        pr.role_id, {AS_OF} AS hire_date,
@@ -186,7 +189,7 @@ G8 = (
         ids("SELECT count(*) FROM orders"),
     )
     + f"""
-SELECT CAST(i AS INTEGER) AS purchase_order_id, pp.product_id, ps.supplier_id,
+SELECT CAST(i AS BIGINT) AS purchase_order_id, pp.product_id, ps.supplier_id,
        {AS_OF} - {uint('orders.order_days', 0, 180)} AS order_date,
        {maybe('orders.has_expected', f"{AS_OF} + {uint('orders.expected_days', 0, 30)}", 0.8)} AS expected_delivery_date,
        {maybe('orders.has_actual', f"{AS_OF} - {uint('orders.actual_days', 0, 90)}", 0.6)} AS actual_delivery_date,
@@ -237,7 +240,7 @@ G10 = (
         ids("SELECT count(*) FROM orders"),
     )
     + f"""
-SELECT CAST(i AS INTEGER) AS stock_take_id,
+SELECT CAST(i AS BIGINT) AS stock_take_id,
        {AS_OF} - {uint('st.days_back', 0, 365)} AS stock_take_date,
        {enum('st.status', schemas.STOCKTAKE_STATUS)} AS status,
        {maybe('st.has_zone', 'pz.zone_id', 0.5)} AS zone_id,

@@ -1,7 +1,9 @@
 """Registered queries: one per job, each ``(spark, sf_dir) -> DataFrame``, with oracle SQL.
 
-Inputs are the fixture tables of :mod:`stockroom.sources.fixtures` (whole tables,
-no subsets); every computed column is aliased to the name its oracle uses.
+Inputs are the fixture tables of :mod:`stockroom.sources.fixtures`: every row of the source
+table is mapped to a row (audit Q4 alone has a parent table from which rows are missing, and
+R1 and R2 hand their date bound to the scan).  Every computed column is aliased to the name
+its oracle uses.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from stockroom.plans import oracle, oracle_synth
 from stockroom.sources import fixtures as fx
 
 AS_OF = fx.AS_OF
+NOW = "1998-06-01 12:00:00"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,22 +27,28 @@ Query = Callable[[SparkSession, str], DataFrame]
 # ---------------------------------------------------------------------------
 # Reports R1-R8
 # ---------------------------------------------------------------------------
-def r1_expiring_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.expiring_inventory(
-        fx.inventory(spark, sf), fx.products(spark, sf), fx.storage_zones(spark, sf), fx.warehouses(spark, sf), AS_OF
-    )
+HORIZON_DAYS = 30
+SPARE_WAREHOUSE = fx.SPARE_WAREHOUSE
 
 
-def r2_expiring_within_7_days(spark: SparkSession, sf: str) -> DataFrame:
-    r1 = reports.expiring_inventory(
-        fx.inventory(spark, sf),
+def _expiring(spark: SparkSession, sf: str, ordered: bool) -> DataFrame:
+    return reports.expiring_inventory(
+        fx.inventory(spark, sf, shipped=fx.shipped_between(AS_OF, HORIZON_DAYS)),
         fx.products(spark, sf),
         fx.storage_zones(spark, sf),
         fx.warehouses(spark, sf),
         AS_OF,
-        ordered=False,
+        HORIZON_DAYS,
+        ordered=ordered,
     )
-    return reports.expiring_within(r1, 7)
+
+
+def r1_expiring_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    return _expiring(spark, sf, ordered=True)
+
+
+def r2_expiring_within_7_days(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.expiring_within(_expiring(spark, sf, ordered=False), 7)
 
 
 def r3_secondary_discrepancy_stock_takes(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,12 +102,12 @@ def q2_duplicate_usernames(spark: SparkSession, sf: str) -> DataFrame:
 
 def q3_null_product_columns(spark: SparkSession, sf: str) -> DataFrame:
     products = fx.dirty_products(spark, sf)
-    required = [c for c in schemas.not_null_columns("products") if c in products.columns]
+    required = [c for c in schemas.not_null_columns("products") if c not in schemas.defaults("products")]
     return quality.audit_not_null(products, required, "product_id")
 
 
 def q4_foreign_key_orphans(spark: SparkSession, sf: str) -> DataFrame:
-    parents = fx.dirty_products(spark, sf)
+    parents = quality.ParentKeys(fx.partial_products(spark, sf), "product_id")  # measured once for both children
     parts = []
     for child_table, child, child_key in (
         ("inventory", fx.inventory(spark, sf), "inventory_id"),
@@ -153,22 +162,58 @@ def q9_stock_take_defaults(spark: SparkSession, sf: str) -> DataFrame:
     return quality.apply_defaults(bare, "stock_takes", as_of=AS_OF)
 
 
-def q10_delete_warehouse_1(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.cascade_delete_warehouses(
-        fx.warehouses(spark, sf),
-        fx.storage_zones(spark, sf),
-        fx.inventory(spark, sf),
-        fx.inventory_transactions(spark, sf),
-        fx.stock_takes(spark, sf),
-        [1],
-    )
+def _defaults(table: str, frame: Query) -> Query:
+    """Q9 on one table: its rows without their defaulted columns, filled in again."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        bare = frame(spark, sf).drop(*schemas.defaults(table))
+        return quality.apply_defaults(bare, table, as_of=AS_OF, now=NOW)
+
+    query.__doc__ = f"Q9: the declared defaults of {table}."
+    return query
+
+
+def _delete(ids: list[int]) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return quality.cascade_delete_warehouses(
+            fx.warehouses(spark, sf),
+            fx.storage_zones_with_spare(spark, sf),
+            fx.inventory(spark, sf),
+            fx.inventory_transactions(spark, sf),
+            fx.stock_takes(spark, sf),
+            ids,
+        )
+
+    query.__doc__ = f"Q10: the outcome of deleting warehouses {ids}."
+    return query
+
+
+# ---------------------------------------------------------------------------
+# Every declared rule of a table in one audit, with all its parents
+# ---------------------------------------------------------------------------
+AUDITED: dict[str, Query] = {
+    "inventory": fx.dirty_inventory,
+    "purchase_orders": fx.dirty_purchase_orders,
+    "stock_takes": fx.dirty_stock_takes,
+    "inventory_transactions": fx.dirty_transactions,
+    "employees": fx.dirty_employees,
+}
+
+
+def _audit(table: str) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        wanted = {fk.parent for fk in schemas.FOREIGN_KEYS if fk.child == table}
+        tables = {**fx.CLEAN_TABLES, "products": fx.partial_products, "user_roles": lambda s, _: fx.user_roles(s)}
+        return quality.audit_table(AUDITED[table](spark, sf), table, {t: tables[t](spark, sf) for t in sorted(wanted)})
+
+    query.__doc__ = f"All declared rules of {table} at once."
+    return query
 
 
 # ---------------------------------------------------------------------------
 # Generators G1-G10: sizes follow the source tables, parents are the fixtures
 # ---------------------------------------------------------------------------
 SEED = synth.DEFAULT_SEED
-NOW = "1998-06-01 12:00:00"
 
 
 def _rows(spark: SparkSession, sf: str, table: str) -> int:
@@ -180,30 +225,38 @@ def g1_seed_user_roles(spark: SparkSession, sf: str) -> DataFrame:
     existing = (
         fx.read(spark, sf, "customer")
         .groupBy(F.col("c_mktsegment").alias("role_name"))
-        .agg(F.min("c_custkey").cast("int").alias("role_id"))
+        .agg(F.min("c_custkey").cast("bigint").alias("role_id"))
         .select("role_id", "role_name", F.lit(None).cast("string").alias("description"))
     )
     return synth.seed_user_roles(spark, existing)
 
 
 def g2_generate_suppliers(spark: SparkSession, sf: str) -> DataFrame:
-    return synth.generate_suppliers(spark, _rows(spark, sf, "supplier"), SEED)
+    """As many generated suppliers as there are, appended to the supplier table."""
+    existing = fx.suppliers(spark, sf)
+    return synth.append_generated(existing, "suppliers", lambda n: synth.generate_suppliers(spark, n, SEED))
 
 
 def g3_generate_products(spark: SparkSession, sf: str) -> DataFrame:
-    return synth.generate_products(spark, _rows(spark, sf, "part"), SEED)
+    """As many generated products as there are, appended to the product table."""
+    existing = fx.products(spark, sf)
+    return synth.append_generated(existing, "products", lambda n: synth.generate_products(spark, n, SEED))
 
 
 def g4_generate_warehouses(spark: SparkSession, sf: str) -> DataFrame:
-    return synth.generate_warehouses(spark, _rows(spark, sf, "supplier"), SEED)
+    """As many generated warehouses as there are, appended to the warehouse table."""
+    existing = fx.warehouses(spark, sf)
+    return synth.append_generated(existing, "warehouses", lambda n: synth.generate_warehouses(spark, n, SEED))
 
 
 def g5_generate_storage_zones(spark: SparkSession, sf: str) -> DataFrame:
-    return synth.generate_storage_zones(g4_generate_warehouses(spark, sf), 20, SEED)
+    """20 zones per warehouse of the warehouse table."""
+    return synth.generate_storage_zones(fx.warehouses(spark, sf), 20, SEED)
 
 
 def g6_generate_employees(spark: SparkSession, sf: str) -> DataFrame:
-    return synth.generate_employees(fx.user_roles(spark), _rows(spark, sf, "customer"), SEED, AS_OF)
+    """Employees with roles drawn from the role table that G1 leaves behind."""
+    return synth.generate_employees(g1_seed_user_roles(spark, sf), _rows(spark, sf, "customer"), SEED, AS_OF)
 
 
 def g7_generate_inventory(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,7 +308,15 @@ QUERIES: dict[str, Query] = {
     "q7_product_name_too_long": q7_product_name_too_long,
     "q8_markup_overflow": q8_markup_overflow,
     "q9_stock_take_defaults": q9_stock_take_defaults,
-    "q10_delete_warehouse_1": q10_delete_warehouse_1,
+    "q9_product_defaults": _defaults("products", fx.products),
+    "q9_purchase_order_defaults": _defaults("purchase_orders", fx.purchase_orders),
+    "q9_inventory_defaults": _defaults("inventory", fx.inventory),
+    "q9_employee_defaults": _defaults("employees", fx.employees),
+    "q9_transaction_defaults": _defaults("inventory_transactions", fx.inventory_transactions),
+    "q10_delete_warehouse_1": _delete([1]),
+    "q10_delete_warehouses_1_and_2": _delete([1, 2]),
+    "q10_delete_spare_warehouse": _delete([SPARE_WAREHOUSE]),
+    **{f"audit_{table}": _audit(table) for table in AUDITED},
     "g1_seed_user_roles": g1_seed_user_roles,
     "g2_generate_suppliers": g2_generate_suppliers,
     "g3_generate_products": g3_generate_products,
@@ -288,7 +349,15 @@ ORACLE_SQL: dict[str, str] = {
     "q7_product_name_too_long": oracle.Q7,
     "q8_markup_overflow": oracle.Q8,
     "q9_stock_take_defaults": oracle.Q9,
-    "q10_delete_warehouse_1": oracle.Q10,
+    "q9_product_defaults": oracle.Q9_PRODUCTS,
+    "q9_purchase_order_defaults": oracle.Q9_PURCHASE_ORDERS,
+    "q9_inventory_defaults": oracle.Q9_INVENTORY,
+    "q9_employee_defaults": oracle.Q9_EMPLOYEES,
+    "q9_transaction_defaults": oracle.Q9_TRANSACTIONS,
+    "q10_delete_warehouse_1": oracle.delete_warehouses(1),
+    "q10_delete_warehouses_1_and_2": oracle.delete_warehouses(1, 2),
+    "q10_delete_spare_warehouse": oracle.delete_warehouses(SPARE_WAREHOUSE),
+    **{f"audit_{table}": oracle.AUDITS[table] for table in AUDITED},
     "g1_seed_user_roles": oracle_synth.G1,
     "g2_generate_suppliers": oracle_synth.G2,
     "g3_generate_products": oracle_synth.G3,

@@ -71,6 +71,11 @@ def _int(name, **kw):
     return Column(name, T.IntegerType(), **kw)
 
 
+def _id(name, **kw):
+    """A key column: int4 in the original, 64-bit here because keys at scale pass 2^31."""
+    return Column(name, T.LongType(), **kw)
+
+
 def _str(name, n=None, **kw):
     return Column(name, T.StringType(), max_length=n, **kw)
 
@@ -81,18 +86,18 @@ def _dec(name, p, s, **kw):
 
 TABLES: dict[str, tuple[Column, ...]] = {
     "user_roles": (
-        _int("role_id", nullable=False),
+        _id("role_id", nullable=False),
         _str("role_name", 50, nullable=False),
         _str("description", 255),
     ),
     "suppliers": (
-        _int("supplier_id", nullable=False),
+        _id("supplier_id", nullable=False),
         _str("name", 150, nullable=False),
         _str("address", 255),
         _str("contact_info"),  # JSON text {phone, email, website, notes}
     ),
     "products": (
-        _int("product_id", nullable=False),
+        _id("product_id", nullable=False),
         _str("name", 150, nullable=False),
         _str("description"),
         _str("category", nullable=False, enum="product_category_enum"),
@@ -103,9 +108,9 @@ TABLES: dict[str, tuple[Column, ...]] = {
         Column("is_active", T.BooleanType(), nullable=False, default="true"),
     ),
     "purchase_orders": (
-        _int("purchase_order_id", nullable=False),
-        _int("product_id", nullable=False),
-        _int("supplier_id", nullable=False),
+        _id("purchase_order_id", nullable=False),
+        _id("product_id", nullable=False),
+        _id("supplier_id", nullable=False),
         Column("order_date", T.DateType(), nullable=False, default="today"),
         Column("expected_delivery_date", T.DateType()),
         Column("actual_delivery_date", T.DateType()),
@@ -114,55 +119,54 @@ TABLES: dict[str, tuple[Column, ...]] = {
         _int("quantity_ordered", nullable=False),
     ),
     "warehouses": (
-        _int("warehouse_id", nullable=False),
+        _id("warehouse_id", nullable=False),
         _str("name", 100, nullable=False),
         _str("location", 255),
     ),
     "storage_zones": (
-        _int("zone_id", nullable=False),
-        _int("warehouse_id", nullable=False),
+        _id("zone_id", nullable=False),
+        _id("warehouse_id", nullable=False),
         _str("code", 50, nullable=False),
         _dec("storage_capacity", 18, 2, nullable=False),
     ),
     "inventory": (
-        # int4 serial in the original; 64-bit here because batch counts at scale pass 2^31
-        Column("inventory_id", T.LongType(), nullable=False),
-        _int("product_id", nullable=False),
-        _int("zone_id", nullable=False),
+        _id("inventory_id", nullable=False),
+        _id("product_id", nullable=False),
+        _id("zone_id", nullable=False),
         _int("quantity", nullable=False, default="0"),
         _str("batch_number", 100),
         Column("expiration_date", T.DateType()),
     ),
     "employees": (
-        _int("employee_id", nullable=False),
+        _id("employee_id", nullable=False),
         _str("username", 50, nullable=False),
         _str("password_hash", 255, nullable=False),
         _str("first_name", 50),
         _str("last_name", 50),
-        _int("role_id", nullable=False),
+        _id("role_id", nullable=False),
         Column("hire_date", T.DateType(), default="today"),
         _str("phone", 20),
         _str("email", 100),
         _str("position", 100),
     ),
     "inventory_transactions": (
-        Column("transaction_id", T.LongType(), nullable=False),
+        _id("transaction_id", nullable=False),
         Column("transaction_timestamp", T.TimestampType(), nullable=False, default="now"),
-        _int("employee_id"),
-        _int("product_id", nullable=False),
-        _int("source_zone_id"),
-        _int("destination_zone_id"),
+        _id("employee_id"),
+        _id("product_id", nullable=False),
+        _id("source_zone_id"),
+        _id("destination_zone_id"),
         _str("transaction_type", nullable=False, enum="transaction_type_enum"),
-        Column("inventory_id", T.LongType()),
+        _id("inventory_id"),
     ),
     "stock_takes": (
-        _int("stock_take_id", nullable=False),
+        _id("stock_take_id", nullable=False),
         Column("stock_take_date", T.DateType(), nullable=False, default="today"),
         _str("status", nullable=False, enum="stocktake_status_enum"),
-        _int("zone_id"),
+        _id("zone_id"),
         Column("has_discrepancies", T.BooleanType(), nullable=False, default="false"),
         Column("is_initial_stock_take", T.BooleanType(), nullable=False, default="false"),
-        _int("performed_by_employee_id"),
+        _id("performed_by_employee_id"),
     ),
 }
 

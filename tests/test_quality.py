@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from stockroom import schemas
 from stockroom.operators import quality
+from stockroom.plans.joins import BROADCAST_LIMIT_CONF
 
 
 def test_primary_key_reports_duplicates_and_nulls(spark):
@@ -83,21 +86,24 @@ def test_cascade_delete(spark):
     inventory = spark.createDataFrame([(11,)], "zone_id int")
     tx = spark.createDataFrame([(None, 30)], "source_zone_id int, destination_zone_id int")
     st = spark.createDataFrame([(None,)], "zone_id int")
-    out = {(r.entity, r.id): r.outcome for r in quality.cascade_delete_warehouses(
-        warehouses, zones, inventory, tx, st, [1, 2]
-    ).collect()}
-    assert out == {
+    def outcome(ids):
+        rows = quality.cascade_delete_warehouses(warehouses, zones, inventory, tx, st, ids).collect()
+        return {(r.entity, r.id): r.outcome for r in rows}
+
+    # zone 11 is referenced: the statement fails whole, so warehouse 2 and the free zone 10 stay
+    assert outcome([1, 2]) == {
         ("warehouse", 1): "blocked",
-        ("warehouse", 2): "deleted",
+        ("warehouse", 2): "kept",
         ("warehouse", 3): "kept",
-        ("zone", 10): "deleted",
+        ("zone", 10): "kept",
         ("zone", 11): "blocked",
-        ("zone", 20): "deleted",
+        ("zone", 20): "kept",
         ("zone", 30): "kept",
     }
-    ids = spark.createDataFrame([(3,)], "id int")
-    by_frame = quality.cascade_delete_warehouses(warehouses, zones, inventory, tx, st, ids)
-    assert {(r.entity, r.id): r.outcome for r in by_frame.collect()}[("warehouse", 3)] == "blocked"
+    free = outcome([2])
+    assert free[("warehouse", 2)] == free[("zone", 20)] == "deleted"
+    assert set(free.values()) == {"deleted", "kept"}
+    assert outcome(spark.createDataFrame([(3,)], "id int"))[("warehouse", 3)] == "blocked"
 
 
 def test_audit_table_collects_every_rule(spark):
@@ -115,6 +121,37 @@ def test_audit_table_collects_every_rule(spark):
     ]
 
 
+def test_absent_not_null_columns_are_reported(spark):
+    df = spark.createDataFrame([(1, 5)], "inventory_id bigint, zone_id int")
+    found = [(r.rule, r.column_name, r.row_key) for r in quality.audit_table(df, "inventory").collect()]
+    assert found == [("not_null", "product_id", None)]  # quantity has a default
+    rows = quality.audit_not_null(df, ["zone_id", "product_id"], "inventory_id").collect()
+    assert [(r.inventory_id, r.column_name) for r in rows] == [(None, "product_id")]
+
+
+def test_audit_table_needs_the_key_column(spark):
+    with pytest.raises(ValueError):
+        quality.audit_table(spark.createDataFrame([(1,)], "quantity int"), "inventory")
+
+
+def test_large_and_small_parents_agree(spark):
+    df = spark.createDataFrame(
+        [(1, 1, 5, 1), (2, 9, 6, 1), (3, None, 5, 1)], "inventory_id bigint, product_id int, zone_id int, quantity int"
+    )
+    parents = {
+        "products": spark.createDataFrame([(1,), (1,)], "product_id int"),
+        "storage_zones": spark.createDataFrame([(5,)], "zone_id int"),
+    }
+    small = sorted(map(tuple, quality.audit_table(df, "inventory", parents).collect()))
+    spark.conf.set(BROADCAST_LIMIT_CONF, "0")
+    try:
+        large = sorted(map(tuple, quality.audit_table(df, "inventory", parents).collect()))
+    finally:
+        spark.conf.unset(BROADCAST_LIMIT_CONF)
+    assert small == large
+    assert ("inventory", "foreign_key:products", "product_id", "2") in small
+
+
 def test_not_null_with_no_columns_is_empty(spark):
     df = spark.createDataFrame([(1,)], "id int")
     out = quality.audit_not_null(df, [], "id")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from stockroom.operators import contacts, replenish, reports
 
 D = dt.date
@@ -218,3 +220,19 @@ def test_fused_replenishment_equals_composed(spark):
     fused = replenish.replenishment_from_tables(products, inv, orders, AS_OF)
     assert sorted(composed.collect()) == sorted(fused.collect())
     assert {r.product_id for r in fused.collect()} == {1, 2}
+
+
+def test_latest_supplier_with_ids_above_32_bits(spark):
+    """The later date wins whatever the size of the order id; ids break ties on one day."""
+    orders = spark.createDataFrame(
+        [
+            (5_000_000_000_000, 1, 10, "2024-01-01", "Новый"),
+            (7, 1, 20, "2024-06-01", "Новый"),
+            (1 << 40, 2, 30, "2024-06-01", "Новый"),
+            ((1 << 40) + 1, 2, 40, "2024-06-01", "Новый"),
+            (1 << 62, 2, 50, "2024-06-02", "Отменен"),
+        ],
+        "purchase_order_id bigint, product_id bigint, supplier_id bigint, order_date string, status string",
+    ).withColumn("order_date", F.col("order_date").cast("date"))
+    found = {r.product_id: r.supplier_id for r in replenish.latest_supplier(orders).collect()}
+    assert found == {1: 20, 2: 40}

@@ -181,7 +181,7 @@ def test_report_views_follow_create_semantics(spark):
         spark.catalog.dropTempView(v)
     reports.register_report_views(tabs, fx.AS_OF)
     assert spark.table("v_products_to_reorder").count() == 180
-    assert spark.sql("SELECT count(*) FROM vw_expiring_inventory WHERE days_until_expiration <= 7").first()[0] == 4
+    assert spark.sql("SELECT count(*) FROM vw_expiring_inventory WHERE days_until_expiration <= 7").first()[0] == 10
     with _pytest.raises(AnalysisException):
         reports.register_report_views(tabs, fx.AS_OF)  # CREATE VIEW of an existing name fails
     for v in reports.VIEW_NAMES:
@@ -213,3 +213,23 @@ def test_empty_parents_of_orders_and_transactions(spark):
     tx = synth.generate_inventory_transactions(inventory, employees, no_zones, 50)
     assert tx.count() == 50
     assert tx.filter(F.col("source_zone_id").isNotNull() | F.col("destination_zone_id").isNotNull()).count() == 0
+
+
+def test_dense_keys_are_drawn_without_an_index(spark):
+    dense = synth.Parent(spark.range(7, 107).withColumnRenamed("id", "k"), "k")
+    gappy = synth.Parent(spark.range(0, 200, 2).withColumnRenamed("id", "k"), "k")
+    assert dense.low == 7 and dense.indexed is None and dense.n == 100
+    assert gappy.low is None and gappy.n == 100
+    repeated = synth.Parent(spark.createDataFrame([(1,), (1,), (3,)], "k bigint"), "k")
+    assert repeated.low is None and repeated.n == 3
+    draws = spark.range(1, 1001)
+    u = (F.col("id") - 1) / 1000
+    drawn = dense.pick(draws, u, "k").select("id", "k").collect()
+    assert all(r.k == 7 + int((r.id - 1) / 1000 * 100) for r in drawn)
+
+
+def test_append_continues_the_serial_keys(spark):
+    old = spark.createDataFrame([(3, "a"), (9, "b")], "warehouse_id bigint, name string")
+    out = synth.append_generated(old, "warehouses", lambda n: synth.generate_warehouses(spark, n))
+    rows = sorted((r.warehouse_id, r.name) for r in out.collect())
+    assert rows == [(3, "a"), (9, "b"), (10, "Warehouse 1"), (11, "Warehouse 2")]
