@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockroom.llm.common import checkpointed, let, only, read
-from stockroom.plans.joins import broadcast_if_small
+from stockroom.plans.joins import broadcast_if_rows_fit
 
 # Fixed values of the base rules.
 MIN_WORDS = 10
@@ -179,7 +179,7 @@ def _common_words(words_of_lang: DataFrame, n_common: int, sketch_items: int) ->
         "c_lang", F.col("t.item").alias("c_word")
     )
     same = (F.col("lang") == F.col("c_lang")) & (F.col("word") == F.col("c_word"))
-    exact = words_of_lang.join(broadcast_if_small(candidates), same).groupBy("lang", "word").agg(
+    exact = words_of_lang.join(broadcast_if_rows_fit(candidates, candidates.count()), same).groupBy("lang", "word").agg(
         F.count(F.lit(1)).alias("n")
     )
     best = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), F.col("word"))))
@@ -260,7 +260,7 @@ def score(docs: DataFrame, n_common: int = N_COMMON, sketch_items: int = SKETCH_
     refs = checkpointed(references(docs, n_common, sketch_items))
     # one row holding every language's reference: bounded by languages times (n_common + classes)
     table = refs.agg(F.collect_list(F.struct("lang", "ref_chars", "common", "ref_words")).alias("refs"))
-    joined = measured.crossJoin(broadcast_if_small(table))  # one row on the right: no pairs are made
+    joined = measured.crossJoin(broadcast_if_rows_fit(table, 1))  # one row on the right: no pairs are made
     own = F.filter("refs", lambda r: r["lang"] == F.col("lang"))
     chosen = joined.withColumn("own", F.when(F.size(own) > 0, own).otherwise(F.col("refs")))
     doc_chars = F.col("chars").cast("array<double>")

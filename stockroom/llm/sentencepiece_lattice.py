@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.llm.common import let, only, read
-from stockroom.plans.joins import broadcast_if_small
+from stockroom.plans.joins import broadcast_if_rows_fit
 
 SPACE = "▁"
 MASK_SYMBOLS = 62
@@ -177,12 +177,16 @@ def distinct_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def lattice(units: DataFrame, piece_table: DataFrame, longest: int, carry: str) -> DataFrame:
-    """(unit, edges, carry): the edges of every unit as sorted longs."""
+    """(unit, edges, carry): the edges of every unit as sorted longs.
+
+    With ``piece_table`` broadcast, the rows stay where ``units`` has them (partitioned by
+    unit), so that grouping by unit moves nothing.
+    """
     starts = units.select("unit", carry, F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
     ends = F.explode(F.sequence(F.col("s") + 1, F.least(F.length("unit"), F.col("s") + longest))).alias("e")
     spans = starts.select("unit", carry, "s", ends)
     text = F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s"))
-    edges = spans.withColumn("piece", text).join(broadcast_if_small(piece_table), "piece")
+    edges = spans.withColumn("piece", text).join(piece_table, "piece")
     place = F.shiftleft(F.col("s").cast("bigint"), START_SHIFT).bitwiseOR(
         F.shiftleft(F.col("e").cast("bigint"), END_SHIFT)
     )
@@ -276,7 +280,8 @@ def fold_viterbi(n: Column, edges: Column, scores: list[float]) -> Column:
 def encode_units(units: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFrame:
     """(unit, ids, groups) for every row of ``units`` (unit, simple, groups)."""
     spark = units.sparkSession
-    edges = lattice(units.filter("simple"), pieces.frame(spark), pieces.longest, "groups")
+    table = broadcast_if_rows_fit(pieces.frame(spark), len(pieces.ids))
+    edges = lattice(units.filter("simple"), table, pieces.longest, "groups")
     arguments = (F.length("unit"), F.col("edges"))
     ids = fold_merges(*arguments) if model_type == "bpe" else fold_viterbi(*arguments, pieces.ranked_scores())
     folded = edges.select("unit", ids.alias("ids"), "groups")

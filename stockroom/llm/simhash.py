@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stockroom.llm.common import checkpointed, only, read, text_key
 from stockroom.llm.components import components
-from stockroom.plans.joins import broadcast_if_small
+from stockroom.plans.joins import broadcast_if_rows_fit
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -129,7 +129,7 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int =
     pairs = buckets.filter("n = 2").filter(close).select("a", "b")
 
     larger = buckets.filter("n > 2").select("table", "bits", "n")
-    members = rows.join(broadcast_if_small(larger), ["table", "bits"])
+    members = rows.join(broadcast_if_rows_fit(larger, larger.count()), ["table", "bits"])
     stars = (
         members.filter(F.col("n") <= bucket_limit)
         .groupBy("table", "bits")
