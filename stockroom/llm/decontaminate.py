@@ -24,7 +24,9 @@ from stockroom.plans.joins import broadcast_if_small
 
 NGRAM = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_AND_GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
+# The same words in a text that is not lower-cased, each with the gap after it, and the gap before the first.
+WORD_AND_GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+LEADING_GAP = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 
 
 def words(text: Column) -> Column:
@@ -148,27 +150,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) ->
     )
 
 
+def _marked(docs: DataFrame, benchmark: DataFrame, ngram: int) -> tuple[DataFrame, DataFrame, Column]:
+    """The documents with a key column of their own, the hits, and the condition that joins them."""
+    keyed = docs.withColumn("_sr_text_key", text_key(F.col("text")))
+    hits = window_hits(docs, benchmark, ngram).select(
+        F.col("doc_id").alias("_sr_hit_doc"), F.col("text_key").alias("_sr_hit_key"), F.col("spans").alias("_sr_spans")
+    )
+    same = keyed["doc_id"].eqNullSafe(hits["_sr_hit_doc"]) & (keyed["_sr_text_key"] == hits["_sr_hit_key"])
+    return keyed, hits, same
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    keyed = docs.withColumn("text_key", text_key(F.col("text")))
-    hits = window_hits(docs, benchmark, ngram).select("doc_id", "text_key")
-    return keyed.join(hits, _same_document(keyed, hits), "left_anti").drop("text_key")
+    keyed, hits, same = _marked(docs, benchmark, ngram)
+    return keyed.join(hits, same, "left_anti").drop("_sr_text_key")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
     """All documents, with the hit words and the gap after each cut out of ``text``."""
-    keyed = docs.withColumn("text_key", text_key(F.col("text")))
-    hits = window_hits(docs, benchmark, ngram).select(
-        F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"), "spans"
-    )
-    same = keyed["doc_id"].eqNullSafe(hits["hit_doc"]) & (keyed["text_key"] == hits["hit_key"])
-    lead = F.regexp_extract(F.col("text"), "^" + SEPARATORS, 0)
+    keyed, hits, same = _marked(docs, benchmark, ngram)
+    lead = F.regexp_extract(F.col("text"), LEADING_GAP, 0)
     tokens = F.regexp_extract_all(F.col("text"), F.lit(WORD_AND_GAP), F.lit(0))
     kept = F.filter(
         tokens,
-        lambda _, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["length"])),
+        lambda _, i: ~F.exists("_sr_spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["length"])),
     )
-    cut = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
+    cut = F.when(F.col("_sr_spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
     names = [F.col(f"`{c}`") for c in docs.columns]
     return keyed.join(hits, same, "left").withColumn("text", cut).select(*names)
 

@@ -3,8 +3,8 @@
 The page becomes a light tree.  Elements that are never article text (scripts, styles, forms,
 navigation, headers, footers, asides, and containers whose class, id or role names an advert,
 menu, notice, sidebar, comment list and so on) are left out.  Every text block passes points
-to its ancestors: one, plus one per comma, plus one per 100 characters up to three; the parent
-takes them whole, the next ancestor half, then a third.  A container's score is discounted by
+to its ancestors: one, plus one per comma, plus one per 100 characters up to three, times the
+share of its text that is no link; the parent takes them whole, the next ancestor half, then a third.  A container's score is discounted by
 its link density and raised for article-like tags and names.  The best container is kept,
 grown to the article or main element around it, with those siblings that score or read alike.
 
@@ -178,8 +178,8 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     for holder, text, linked, plain in blocks:
-        points = 1 + text.count(",") + min(len(text) // 100, 3)
         share = len(text) * linked // max(1, linked + plain)
+        points = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - share / len(text))
         node, level = holder if holder.tag != "p" else holder.parent, 0
         while node is not None:
             if level < len(SHARES):
@@ -197,8 +197,7 @@ def main_text(page: str | None) -> str:
     def score(n):
         return (n.points + n.weight) * (1 - density(n))
 
-    holders = [n for n in nodes if n.points > 0]
-    best = max(holders, key=lambda n: (score(n), -n.order))
+    best = max((n for n in nodes if n.chars), key=lambda n: (score(n), -n.order))
     top = best
     node = best
     while node is not None:  # the outermost article around the best container

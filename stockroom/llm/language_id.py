@@ -193,18 +193,22 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     )
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected."""
+def _found(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with the struct column ``_sr_language``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids and limits: bounded by the languages
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    found = docs.withColumn("found_language", predict(F.col("text")))
-    return found.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        *[F.col(f"found_language.{c}").alias(c) for c in ("lang_pred", "score", "rejected")],
+    return docs.withColumn("_sr_language", predict(F.col("text")))
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (without columns of these names) with lang_pred, score and rejected."""
+    names = ("lang_pred", "score", "rejected")
+    return _found(docs, model).select(
+        *[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col(f"_sr_language.{c}") for c in names]
     )
 
 
@@ -216,8 +220,7 @@ def held_out(doc_id: str) -> Column:
 def known_languages(docs: DataFrame) -> DataFrame:
     """The documents whose language is recognised, with their columns (rejected ones go)."""
     model = train(docs.filter(~held_out("doc_id")))
-    found = identify(docs, model)
-    return found.filter(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _found(docs, model).filter(~F.col("_sr_language.rejected")).drop("_sr_language")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

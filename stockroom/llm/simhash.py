@@ -179,12 +179,12 @@ def keep_one(
     """
     labels = near_duplicates(docs, words, max_bits, bucket_limit)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))
-    best = labels.groupBy("component_id").agg(F.min(order).alias("keep"), F.min("fp").alias("any_fp"))
-    best = best.select(F.col("keep.doc_id").alias("keep_doc"), F.col("keep.text_key").alias("keep_key"))
-    keyed = docs.withColumn("keep_text", text_key(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(best["keep_doc"]) & (keyed["keep_text"] == best["keep_key"])
+    best = labels.groupBy("component_id").agg(F.min(order).alias("keep"))
+    best = best.select(F.col("keep.doc_id").alias("_sr_keep_doc"), F.col("keep.text_key").alias("_sr_keep_key"))
+    keyed = docs.withColumn("_sr_text_key", text_key(F.col("text")))
+    same = keyed["doc_id"].eqNullSafe(best["_sr_keep_doc"]) & (keyed["_sr_text_key"] == best["_sr_keep_key"])
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return keyed.join(best, same, "left_semi").dropDuplicates(["doc_id", "keep_text"]).select(*names)
+    return keyed.join(best, same, "left_semi").dropDuplicates(["doc_id", "_sr_text_key"]).select(*names)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
