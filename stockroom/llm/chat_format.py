@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,6 +162,43 @@ def _path(tables: list[np.ndarray], entry: int, end: int | None) -> list[int]:
     return states[::-1]
 
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+
+
+def _by_group(df: DataFrame, keys: list[str], order: list[str], solve, schema: str) -> DataFrame:
+    """Apply ``solve`` (rows of one group in order -> result rows) to every group of ``keys``.
+
+    Rows are co-located and sorted, then read as one stream, so that a task pays per row and
+    holds one group; starting a call per group would cost more than solving a short one.
+    """
+    names, kinds = zip(*[c.split(" ", 1) for c in schema.split(", ")], strict=True)
+    types = [_ARROW[k] for k in kinds]
+    rest = [c for c in df.columns if c not in keys]
+
+    def batch_of(rows):
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+    def stream(batches):
+        held, out = [], []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and row[: len(keys)] != held[0][: len(keys)]:
+                    out += solve(held)
+                    held = []
+                held.append(row)
+                if len(out) >= 2000:
+                    yield batch_of(out)
+                    out = []
+        if held:
+            out += solve(held)
+        if out:
+            yield batch_of(out)
+
+    located = df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return located.mapInArrow(stream, schema)
+
+
 def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     """One row per recovered turn: conv_id, turn (order key), role, n_lines, rendered."""
     n = len(model.move)
@@ -169,86 +207,80 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
 
     parts = only(transcripts, "conv_id", "part", "text").select(
         "conv_id",
+        F.floor(F.coalesce(F.col("part"), F.lit(-1)) / BLOCK).alias("block"),
         "part",
         "text",
-        F.floor(F.coalesce(F.col("part"), F.lit(-1)) / BLOCK).alias("block"),
     )
 
-    def read_block(frame: pd.DataFrame) -> list[tuple]:
-        ordered = frame.sort_values(["part", "text"], na_position="first", kind="stable")
-        found = []
-        for part, text in zip(ordered["part"], ordered["text"], strict=True):
-            found += [(part, *line) for line in lines_of(None if pd.isna(text) else text)]
-        return found
+    def lines_in(texts) -> list[tuple]:
+        return [line for text in texts for line in lines_of(text)]
 
     def line_tables(lines: list[tuple]) -> list[np.ndarray]:
         m = shared.value
         move = np.full((n + 1, n + 1), -np.inf)
         move[:n, :n], move[n, :n] = m.move, m.start
-        return [move + np.append(e, -np.inf)[None, :] for e in m.scores([x[1:] for x in lines])]
-
-    def summarise(frame: pd.DataFrame) -> pd.DataFrame:
-        lines = read_block(frame)
-        if not lines:
-            return pd.DataFrame({"conv_id": [], "block": [], "scores": []})
-        total = _chain(line_tables(lines))
-        return pd.DataFrame({"conv_id": frame.conv_id[:1], "block": frame.block[:1], "scores": [total.ravel().tolist()]})
-
-    blocks = checkpointed(
-        parts.groupBy("conv_id", "block")
-        .applyInPandas(summarise, "conv_id bigint, block bigint, scores array<double>")
-        .withColumn("super", F.floor(F.col("block") / BLOCK))
-    )
+        return [move + np.append(e, -np.inf)[None, :] for e in m.scores(lines)]
 
-    def matrices(frame: pd.DataFrame) -> list[np.ndarray]:
-        return [np.asarray(s).reshape(n + 1, n + 1) for s in frame["scores"]]
+    def tables_of(rows, at) -> list[np.ndarray]:
+        return [np.asarray(r[at]).reshape(n + 1, n + 1) for r in rows]
 
-    def summarise_blocks(frame: pd.DataFrame) -> pd.DataFrame:
-        total = _chain(matrices(frame.sort_values("block")))
-        return pd.DataFrame({"conv_id": frame.conv_id[:1], "super": frame["super"][:1], "scores": [total.ravel().tolist()]})
+    def block_scores(rows):  # conv_id, block, part, text
+        lines = lines_in(r[3] for r in rows)
+        return [(*rows[0][:2], _chain(line_tables(lines)).ravel().tolist())] if lines else []
 
-    supers = blocks.groupBy("conv_id", "super").applyInPandas(
-        summarise_blocks, "conv_id bigint, super bigint, scores array<double>"
+    blocks = _by_group(
+        parts, ["conv_id", "block"], ["part", "text"], block_scores, "conv_id bigint, block bigint, scores array<double>"
     )
+    blocks = checkpointed(blocks.withColumn("super", F.floor(F.col("block") / BLOCK)))
 
-    def ends(frame: pd.DataFrame, key: str, entry: int, end: int | None) -> pd.DataFrame:
-        frame = frame.sort_values(key).reset_index(drop=True)
-        states = _path(matrices(frame), entry, end)
-        return pd.DataFrame(
-            {"conv_id": frame.conv_id, key: frame[key], "entry": [entry, *states[:-1]], "end": states}
-        )
+    def super_scores(rows):  # conv_id, super, block, scores
+        return [(*rows[0][:2], _chain(tables_of(rows, 3)).ravel().tolist())]
+
+    supers = _by_group(
+        blocks, ["conv_id", "super"], ["block"], super_scores, "conv_id bigint, super bigint, scores array<double>"
+    )
+
+    def super_ends(rows):  # conv_id, super, scores
+        states = _path(tables_of(rows, 2), n, None)
+        return [(*r[:2], a, b) for r, a, b in zip(rows, [n, *states], states, strict=False)]
 
-    resolved = supers.groupBy("conv_id").applyInPandas(
-        lambda f: ends(f, "super", n, None), "conv_id bigint, super bigint, entry int, end int"
+    resolved = _by_group(
+        supers, ["conv_id"], ["super"], super_ends, "conv_id bigint, super bigint, entry int, end int"
     )
     same_super = blocks["conv_id"].eqNullSafe(resolved["conv_id"]) & (blocks["super"] == resolved["super"])
     inner = blocks.join(resolved, same_super).select(
         blocks["conv_id"], blocks["super"], "block", "scores", F.col("entry").alias("from"), F.col("end").alias("to")
     )
-    borders = inner.groupBy("conv_id", "super").applyInPandas(
-        lambda f: ends(f, "block", int(f["from"].iloc[0]), int(f["to"].iloc[0])),
-        "conv_id bigint, block bigint, entry int, end int",
+
+    def block_ends(rows):  # conv_id, super, block, scores, from, to
+        states = _path(tables_of(rows, 3), rows[0][4], rows[0][5])
+        return [(r[0], r[2], a, b) for r, a, b in zip(rows, [rows[0][4], *states], states, strict=False)]
+
+    borders = _by_group(
+        inner, ["conv_id", "super"], ["block"], block_ends, "conv_id bigint, block bigint, entry int, end int"
     )
     border = borders.select(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), "entry", "end")
     same_block = parts["conv_id"].eqNullSafe(border["b_conv"]) & (parts["block"] == border["b_block"])
     located = parts.join(border, same_block).drop("b_conv", "b_block")
 
-    def runs(frame: pd.DataFrame) -> pd.DataFrame:
+    def block_runs(rows):  # conv_id, block, part, text, entry, end
         """Runs of lines of one turn inside the block; run 0 continues the last block's turn."""
-        lines = read_block(frame)
-        states = _path(line_tables(lines), int(frame.entry.iloc[0]), int(frame["end"].iloc[0]))
+        lines = lines_in(r[3] for r in rows)
         out: list[list] = []
-        for (_, _, _, _, _, body), state in zip(lines, states, strict=True):
+        for line, state in zip(lines, _path(line_tables(lines), rows[0][4], rows[0][5]), strict=True):
             if state % 2 == 0 or not out:
                 number = out[-1][0] + 1 if out else int(state % 2 == 0)
                 out.append([number, state // 2, []])
-            out[-1][2].append(body.strip())
-        rows = [(frame.conv_id.iloc[0], frame.block.iloc[0], run, role, len(b), "\n".join(x for x in b if x)) for run, role, b in out]
-        return pd.DataFrame(rows, columns=["conv_id", "block", "run", "role", "n_lines", "body"])
+            out[-1][2].append(line[4].strip())
+        return [(*rows[0][:2], run, role, len(b), "\n".join(x for x in b if x)) for run, role, b in out]
 
     pieces = checkpointed(
-        located.groupBy("conv_id", "block").applyInPandas(
-            runs, "conv_id bigint, block bigint, run int, role int, n_lines bigint, body string"
+        _by_group(
+            located,
+            ["conv_id", "block"],
+            ["part", "text"],
+            block_runs,
+            "conv_id bigint, block bigint, run int, role int, n_lines bigint, body string",
         )
     )
     # a block's run 0 belongs to the last turn opened before it: found per super-block, then across super-blocks
