@@ -140,6 +140,15 @@ def merge_exactly(unit: str, pieces: Pieces) -> list[int]:
     return out
 
 
+def words_of(text: str) -> list[str] | None:
+    """The escaped text's words, each with its leading space symbol; None if spaces touch or end the text.
+
+    Then a space run belongs to the unit after it, and the unit pattern has to cut the whole text.
+    """
+    words = text.split(" ")
+    return None if "" in words or SPACE in text else words
+
+
 def distinct_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, simple, groups): every distinct unit with the input groups that hold it."""
     pattern, known = pieces.unit_pattern(), frozenset(p for p in pieces.ids if len(p) == 1)
@@ -147,27 +156,35 @@ def distinct_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
     def gather(batches):
         group = TaskContext.get().partitionId()
 
-        def rows(units):
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(units, pa.string()),
-                    pa.array([len(u) <= MASK_SYMBOLS and known.issuperset(u) for u in units], pa.bool_()),
-                    pa.array([group] * len(units), pa.int32()),
-                ],
-                names=["unit", "simple", "group"],
-            )
+        def rows(words, units):
+            for w in words:
+                units.update(pattern.findall(SPACE + w))
+            units.discard("")
+            found = list(units)
+            for at in range(0, len(found), 50_000):
+                part = found[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part, pa.string()),
+                        pa.array([len(u) <= MASK_SYMBOLS and known.issuperset(u) for u in part], pa.bool_()),
+                        pa.array([group] * len(part), pa.int32()),
+                    ],
+                    names=["unit", "simple", "group"],
+                )
 
-        seen: set[str] = set()
+        words: set[str] = set()
+        units: set[str] = set()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(pattern.findall(escape(text)))
-            if len(seen) > UNITS_HELD:
-                yield rows(list(seen))
-                seen.clear()
-        seen.discard("")
-        units = list(seen)
-        for at in range(0, len(units), 50_000):
-            yield rows(units[at : at + 50_000])
+                found = words_of(text)
+                if found is not None:
+                    words.update(found)
+                else:
+                    units.update(pattern.findall(escape(text)))
+            if len(words) + len(units) > UNITS_HELD:
+                yield from rows(words, units)
+                words, units = set(), set()
+        yield from rows(words, units)
 
     found = texts.select("text").mapInArrow(gather, "unit string, simple boolean, group int")
     # a unit's lattice is some 50 times its bytes: more and smaller partitions than the shuffled bytes ask for
@@ -295,7 +312,7 @@ def encode_units(units: DataFrame, pieces: Pieces, model_type: str = "bpe") -> D
 
 
 def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFrame:
-    """Per document: doc_id, ids, n_units, and want (a hash of the text its ids must decode to)."""
+    """Per document: doc_id, ids, and want (a hash of the text its ids must decode to)."""
     slim = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     grouped = slim.coalesce(max(1, -(-slim.rdd.getNumPartitions() * _split_bytes(docs.sparkSession) // GROUP_BYTES)))
     units = encode_units(distinct_units(grouped, pieces), pieces, model_type)
@@ -339,25 +356,42 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
         import zstandard
 
         expand = zstandard.ZstdDecompressor()
-        current, known = None, {}
+
+        class Known(dict):
+            """Ids of units, and of whole words as they come up."""
+
+            def __missing__(self, unit):
+                # only if the input was split in another way the second time
+                self[unit] = found = np.asarray(merge_exactly(unit, pieces), dtype=">u2").tobytes()
+                return found
+
+        class Words(dict):
+            def __missing__(self, word):
+                parts = [units[u] for u in pattern.findall(SPACE + word) if u]
+                self[word] = found = b"".join(parts)
+                return found
+
+        current, units, words = None, Known(), Words()
+
+        def ids_of(text):
+            found = words_of(text)
+            if found is not None:
+                return b"".join(map(words.__getitem__, found))
+            return b"".join([units[u] for u in pattern.findall(escape(text)) if u])
+
+        names = ("group", "kind", "doc_id", "unit", "payload", "want")
         for batch in batches:
-            names = ("group", "kind", "doc_id", "unit", "payload", "want")
-            doc_ids, encoded, counts, wants = [], [], [], []
+            doc_ids, encoded, wants = [], [], []
             for group, kind, doc_id, unit, payload, want in zip(
                 *[batch.column(c).to_pylist() for c in names], strict=True
             ):
                 if group != current:
-                    current, known = group, {}
+                    current, units, words = group, Known(), Words()
                 if not kind:
-                    known[unit] = payload
+                    units[unit] = payload
                     continue
-                found = [u for u in pattern.findall(escape(expand.decompress(payload).decode("utf-8"))) if u]
-                for u in found:
-                    if u not in known:  # only if the input was split in another way the second time
-                        known[u] = np.asarray(merge_exactly(u, pieces), dtype=">u2").tobytes()
                 doc_ids.append(doc_id)
-                encoded.append(b"".join(map(known.__getitem__, found)))
-                counts.append(len(found))
+                encoded.append(ids_of(expand.decompress(payload).decode("utf-8")))
                 wants.append(want)
             offsets = np.concatenate(([0], np.cumsum([len(x) // 2 for x in encoded]))).astype(np.int32)
             values = np.frombuffer(b"".join(encoded), dtype=">u2").astype(np.int32)
@@ -365,14 +399,13 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                 [
                     pa.array(doc_ids, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    pa.array(counts, pa.int64()),
                     pa.array(wants, pa.int64()),
                 ],
-                names=["doc_id", "ids", "n_units", "want"],
+                names=["doc_id", "ids", "want"],
             )
 
     together = entries.unionByName(texts).repartition("group").sortWithinPartitions("group", "kind")
-    return together.mapInArrow(assemble, "doc_id bigint, ids array<int>, n_units bigint, want bigint")
+    return together.mapInArrow(assemble, "doc_id bigint, ids array<int>, want bigint")
 
 
 def _split_bytes(spark: SparkSession) -> int:
@@ -388,13 +421,12 @@ def decode(ids: Column, bytes_of: list[bytes]) -> Column:
 
 
 def encode_and_check(docs: DataFrame, model_file: str, model_type: str = "bpe") -> DataFrame:
-    """Per document: doc_id, n_units, n_pieces, ids, and whether decoding gives the text back."""
+    """Per document: doc_id, n_pieces, ids, and whether decoding gives the text back."""
     pieces = Pieces.load(model_file)
     found = encode(docs, pieces, model_type)
     back = F.xxhash64(decode(F.col("ids"), pieces.bytes_of))
     return found.select(
         "doc_id",
-        "n_units",
         F.size("ids").cast("bigint").alias("n_pieces"),
         "ids",
         (back == F.col("want")).alias("round_trip"),
