@@ -297,3 +297,78 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
         F.round("char_distance", 6).alias("char_distance"),
         F.round("word_distance", 6).alias("word_distance"),
     )
+
+
+# The same rules as relations: histograms in long form, joined with the references class by class.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, text IS NULL AS no_text, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS lines FROM d),
+grams AS (SELECT rid, i, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM again) GROUP BY rid),
+cls AS (
+  SELECT rid, lang, no_text, unnest([0, 1, 2, 3, 4, 5, 6]) AS k, unnest([
+    length(regexp_replace(text, '[^a-z]+', '', 'g')),
+    length(regexp_replace(text, '[^\x20\x09-\x0D]+', '', 'g')),
+    length(regexp_replace(text, '[\x00-\x7F]+', '', 'g')),
+    length(regexp_replace(text, '[^.,;:!?''"()-]+', '', 'g')),
+    length(regexp_replace(text, '[^A-Z]+', '', 'g')),
+    length(regexp_replace(text, '[^0-9]+', '', 'g')),
+    length(regexp_replace(text, '[^\x00-\x7F]|[a-zA-Z0-9\x20\x09-\x0D.,;:!?''"()-]', '', 'g'))]) AS n
+  FROM w),
+base AS (
+  SELECT w.rid, doc_id, lang, length(text) AS n_chars, len(ws) AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols,
+    len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep ON rep.rid = w.rid),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base),
+word AS (SELECT rid, lang, unnest(ws) AS word FROM w),
+by_lang AS (SELECT lang, word, count(*) AS n FROM word WHERE lang IS NOT NULL GROUP BY ALL),
+lang_words AS (SELECT lang, sum(n) AS total FROM by_lang GROUP BY lang HAVING sum(n) >= {MIN_REFERENCE_WORDS}),
+common AS (
+  SELECT lang, word, n FROM by_lang JOIN lang_words USING (lang)
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {N_COMMON}),
+ref_chars AS (SELECT lang, k, sum(n) AS q FROM cls JOIN lang_words USING (lang) WHERE NOT no_text GROUP BY ALL),
+pairs AS (
+  SELECT rid, lang FROM b JOIN lang_words USING (lang)
+  UNION ALL
+  SELECT b.rid, l.lang FROM b, lang_words l WHERE b.lang IS NULL OR b.lang NOT IN (SELECT lang FROM lang_words)),
+doc_words AS (SELECT rid, word, count(*) AS n FROM word GROUP BY ALL),
+hist AS (
+  SELECT 'c' AS kind, p.rid, p.lang, r.k, CAST(c.n AS DOUBLE) AS p, CAST(r.q AS DOUBLE) AS q
+  FROM pairs p JOIN cls c ON c.rid = p.rid JOIN ref_chars r ON r.lang = p.lang AND r.k = c.k
+  UNION ALL
+  SELECT 'w', p.rid, p.lang, 0, CAST(coalesce(dw.n, 0) AS DOUBLE), CAST(c.n AS DOUBLE)
+  FROM pairs p JOIN common c ON c.lang = p.lang LEFT JOIN doc_words dw ON dw.rid = p.rid AND dw.word = c.word
+  UNION ALL
+  SELECT 'w', p.rid, p.lang, 1,
+    CAST(b.n_words - (SELECT coalesce(sum(dw.n), 0) FROM doc_words dw JOIN common c ON c.word = dw.word
+                      WHERE dw.rid = p.rid AND c.lang = p.lang) AS DOUBLE),
+    CAST(l.total - (SELECT sum(c.n) FROM common c WHERE c.lang = p.lang) AS DOUBLE)
+  FROM pairs p JOIN b ON b.rid = p.rid JOIN lang_words l ON l.lang = p.lang),
+shares AS (
+  SELECT *, p / sum(p) OVER g AS ps, q / sum(q) OVER g AS qs, sum(p) OVER g AS tp, count(*) OVER g AS classes
+  FROM hist WINDOW g AS (PARTITION BY kind, rid, lang)),
+div AS (
+  SELECT kind, rid, lang, any_value(tp) AS tp, any_value(classes) AS classes,
+    sum((CASE WHEN p > 0 THEN ps * log2(2 * ps / (ps + qs)) ELSE 0 END
+       + CASE WHEN q > 0 THEN qs * log2(2 * qs / (ps + qs)) ELSE 0 END) / 2) AS js
+  FROM shares GROUP BY ALL),
+dist AS (
+  SELECT rid, kind, min(CASE WHEN tp > 0 THEN sqrt(greatest(0, js - (classes - 1) / (8 * ln(2) * tp))) ELSE 1 END) AS x
+  FROM div GROUP BY ALL),
+scored AS (
+  SELECT b.*,
+    CASE WHEN n_chars >= {MIN_CHARS} THEN c.x END AS cd,
+    CASE WHEN NOT base_failed AND n_words >= {MIN_DIVERGENCE_WORDS} THEN v.x END AS wd
+  FROM b LEFT JOIN dist c ON c.rid = b.rid AND c.kind = 'c' LEFT JOIN dist v ON v.rid = b.rid AND v.kind = 'w')
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+  CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(cd, 0) <= {MAX_CHAR_DISTANCE} AND coalesce(wd, 0) <= {MAX_WORD_DISTANCE} AS kept,
+  round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
+FROM scored
+"""

@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op9_quality_rules": quality_rules.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
 }

@@ -46,6 +46,7 @@ MASK_SYMBOLS = 62
 END_SHIFT = 16
 START_SHIFT, RANK_SHIFT = 22, 28
 UNITS_HELD = 1_000_000
+WORDS_REMEMBERED = 200_000
 LATTICE_SPREAD = 4
 GROUP_BYTES = 64 << 20  # input bytes whose units share one dictionary
 
@@ -152,13 +153,17 @@ def words_of(text: str) -> list[str] | None:
 def distinct_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, simple, groups): every distinct unit with the input groups that hold it."""
     pattern, known = pieces.unit_pattern(), frozenset(p for p in pieces.ids if len(p) == 1)
+    alone = pieces.letters_cut
 
     def gather(batches):
         group = TaskContext.get().partitionId()
 
         def rows(words, units):
             for w in words:
-                units.update(pattern.findall(SPACE + w))
+                if w.isalpha() and alone:  # letters only: nothing to cut
+                    units.add(SPACE + w)
+                else:
+                    units.update(pattern.findall(SPACE + w))
             units.discard("")
             found = list(units)
             for at in range(0, len(found), 50_000):
@@ -312,7 +317,7 @@ def encode_units(units: DataFrame, pieces: Pieces, model_type: str = "bpe") -> D
 
 
 def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFrame:
-    """Per document: doc_id, ids, and want (a hash of the text its ids must decode to)."""
+    """Per document: doc_id, ids, and round_trip (every unit's ids decode to the unit again)."""
     slim = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     grouped = slim.coalesce(max(1, -(-slim.rdd.getNumPartitions() * _split_bytes(docs.sparkSession) // GROUP_BYTES)))
     units = encode_units(distinct_units(grouped, pieces), pieces, model_type)
@@ -324,15 +329,14 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
         "unit",
         # two bytes an id, the high one first
         F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), "")).alias("payload"),
-        F.lit(None).cast("bigint").alias("want"),
+        (joined_pieces(F.col("ids"), pieces.bytes_of) == F.replace("unit", F.lit(SPACE), F.lit(" "))).alias("same"),
     )
-    want = F.xxhash64(F.replace("text", F.lit(SPACE), F.lit(" ")))
-    schema = "group int, kind int, doc_id bigint, unit string, payload binary, want bigint"
+    schema = "group int, kind int, doc_id bigint, unit string, payload binary, same boolean"
 
     def compress(batches):
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
         group = TaskContext.get().partitionId()
         for batch in batches:
             n = batch.num_rows
@@ -344,13 +348,13 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                     batch.column("doc_id").cast(pa.int64()),
                     pa.nulls(n, pa.string()),
                     pa.array(texts, pa.binary()),
-                    batch.column("want"),
+                    pa.nulls(n, pa.bool_()),
                 ],
-                names=["group", "kind", "doc_id", "unit", "payload", "want"],
+                names=["group", "kind", "doc_id", "unit", "payload", "same"],
             )
 
-    texts = grouped.select("doc_id", "text", want.alias("want")).mapInArrow(compress, schema)
-    pattern = pieces.unit_pattern()
+    texts = grouped.select("doc_id", "text").mapInArrow(compress, schema)
+    pattern, alone = pieces.unit_pattern(), pieces.letters_cut
 
     def assemble(batches):
         import zstandard
@@ -367,11 +371,16 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
 
         class Words(dict):
             def __missing__(self, word):
-                parts = [units[u] for u in pattern.findall(SPACE + word) if u]
-                self[word] = found = b"".join(parts)
+                if word.isalpha() and alone:
+                    found = units[SPACE + word]
+                else:
+                    found = b"".join([units[u] for u in pattern.findall(SPACE + word) if u])
+                if len(self) >= WORDS_REMEMBERED:
+                    self.clear()
+                self[word] = found
                 return found
 
-        current, units, words = None, Known(), Words()
+        current, units, words, unlike = None, Known(), Words(), set()
 
         def ids_of(text):
             found = words_of(text)
@@ -379,33 +388,36 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                 return b"".join(map(words.__getitem__, found))
             return b"".join([units[u] for u in pattern.findall(escape(text)) if u])
 
-        names = ("group", "kind", "doc_id", "unit", "payload", "want")
+        names = ("group", "kind", "doc_id", "unit", "payload", "same")
         for batch in batches:
-            doc_ids, encoded, wants = [], [], []
-            for group, kind, doc_id, unit, payload, want in zip(
+            doc_ids, encoded, alike = [], [], []
+            for group, kind, doc_id, unit, payload, same in zip(
                 *[batch.column(c).to_pylist() for c in names], strict=True
             ):
                 if group != current:
-                    current, units, words = group, Known(), Words()
+                    current, units, words, unlike = group, Known(), Words(), set()
                 if not kind:
                     units[unit] = payload
+                    if not same:
+                        unlike.add(unit)
                     continue
+                text = expand.decompress(payload).decode("utf-8")
                 doc_ids.append(doc_id)
-                encoded.append(ids_of(expand.decompress(payload).decode("utf-8")))
-                wants.append(want)
+                encoded.append(ids_of(text))
+                alike.append(not unlike or unlike.isdisjoint(pattern.findall(escape(text))))
             offsets = np.concatenate(([0], np.cumsum([len(x) // 2 for x in encoded]))).astype(np.int32)
             values = np.frombuffer(b"".join(encoded), dtype=">u2").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc_ids, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    pa.array(wants, pa.int64()),
+                    pa.array(alike, pa.bool_()),
                 ],
-                names=["doc_id", "ids", "want"],
+                names=["doc_id", "ids", "round_trip"],
             )
 
     together = entries.unionByName(texts).repartition("group").sortWithinPartitions("group", "kind")
-    return together.mapInArrow(assemble, "doc_id bigint, ids array<int>, want bigint")
+    return together.mapInArrow(assemble, "doc_id bigint, ids array<int>, round_trip boolean")
 
 
 def _split_bytes(spark: SparkSession) -> int:
@@ -413,24 +425,26 @@ def _split_bytes(spark: SparkSession) -> int:
     return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
 
-def decode(ids: Column, bytes_of: list[bytes]) -> Column:
-    """Text of an id array: the pieces' bytes joined, without the leading space that escaping adds."""
+def joined_pieces(ids: Column, bytes_of: list[bytes]) -> Column:
+    """The pieces' bytes of an id array as one text."""
     table = F.split(F.lit(" ".join(b.hex() for b in bytes_of)), " ")  # one constant: bounded by the model
     hexes = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
-    return F.regexp_replace(F.decode(F.unhex(hexes), "UTF-8"), "^ ", "")
+    return F.decode(F.unhex(hexes), "UTF-8")
+
+
+def decode(ids: Column, bytes_of: list[bytes]) -> Column:
+    """Text of an id array: the joined pieces without the leading space that escaping adds."""
+    return F.regexp_replace(joined_pieces(ids, bytes_of), "^ ", "")
 
 
 def encode_and_check(docs: DataFrame, model_file: str, model_type: str = "bpe") -> DataFrame:
-    """Per document: doc_id, n_pieces, ids, and whether decoding gives the text back."""
-    pieces = Pieces.load(model_file)
-    found = encode(docs, pieces, model_type)
-    back = F.xxhash64(decode(F.col("ids"), pieces.bytes_of))
-    return found.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_pieces"),
-        "ids",
-        (back == F.col("want")).alias("round_trip"),
-    )
+    """Per document: doc_id, n_pieces, ids, and whether decoding gives the text back.
+
+    Decoding joins bytes piece by piece and units end at symbol borders, so a text comes back
+    exactly when each of its units does; that is checked once per distinct unit.
+    """
+    found = encode(docs, Pieces.load(model_file), model_type)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "round_trip")
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
