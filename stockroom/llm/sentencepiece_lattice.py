@@ -46,9 +46,10 @@ MASK_SYMBOLS = 62
 END_SHIFT = 16
 START_SHIFT, RANK_SHIFT = 22, 28
 UNITS_HELD = 1_000_000
-WORDS_REMEMBERED = 200_000
+WORDS_REMEMBERED = 100_000
+DOCUMENTS_AT_ONCE = 500
 LATTICE_SPREAD = 4
-GROUP_BYTES = 64 << 20  # input bytes whose units share one dictionary
+GROUP_BYTES = 48 << 20  # input bytes whose units share one dictionary
 
 
 @dataclass
@@ -388,26 +389,11 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                 return b"".join(map(words.__getitem__, found))
             return b"".join([units[u] for u in pattern.findall(escape(text)) if u])
 
-        names = ("group", "kind", "doc_id", "unit", "payload", "same")
-        for batch in batches:
-            doc_ids, encoded, alike = [], [], []
-            for group, kind, doc_id, unit, payload, same in zip(
-                *[batch.column(c).to_pylist() for c in names], strict=True
-            ):
-                if group != current:
-                    current, units, words, unlike = group, Known(), Words(), set()
-                if not kind:
-                    units[unit] = payload
-                    if not same:
-                        unlike.add(unit)
-                    continue
-                text = expand.decompress(payload).decode("utf-8")
-                doc_ids.append(doc_id)
-                encoded.append(ids_of(text))
-                alike.append(not unlike or unlike.isdisjoint(pattern.findall(escape(text))))
+        def batch_of(rows):
+            doc_ids, encoded, alike = zip(*rows, strict=True)
             offsets = np.concatenate(([0], np.cumsum([len(x) // 2 for x in encoded]))).astype(np.int32)
             values = np.frombuffer(b"".join(encoded), dtype=">u2").astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
                     pa.array(doc_ids, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
@@ -416,6 +402,26 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                 names=["doc_id", "ids", "round_trip"],
             )
 
+        held = []
+        names = ("group", "kind", "doc_id", "unit", "payload", "same")
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
+                part = batch.slice(at, DOCUMENTS_AT_ONCE)
+                columns = [part.column(c).to_pylist() for c in names]
+                for group, kind, doc_id, unit, payload, same in zip(*columns, strict=True):
+                    if group != current:
+                        current, units, words, unlike = group, Known(), Words(), set()
+                    if not kind:
+                        units[unit] = payload
+                        if not same:
+                            unlike.add(unit)
+                        continue
+                    text = expand.decompress(payload).decode("utf-8")
+                    held.append((doc_id, ids_of(text), not unlike or unlike.isdisjoint(pattern.findall(escape(text)))))
+                if held:
+                    yield batch_of(held)
+                    held = []
+
     together = entries.unionByName(texts).repartition("group").sortWithinPartitions("group", "kind")
     return together.mapInArrow(assemble, "doc_id bigint, ids array<int>, round_trip boolean")
 
