@@ -46,7 +46,10 @@ def splits_at_spaces(definition: str) -> bool:
     removing = [
         s
         for s in steps
-        if s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and r"[^\s" in str(s["pattern"])
+        if s.get("type") == "Split"
+        and s.get("behavior") == "Removed"
+        and s.get("invert")  # only what matches the pattern is kept, and its last branch takes no white space
+        and str(s["pattern"].get("Regex", "")).endswith(r"[^\s\p{L}\p{N}]+")
     ]
     joined = any(
         any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
