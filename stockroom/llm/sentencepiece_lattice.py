@@ -18,11 +18,14 @@ another symbol, around line feeds, and between a letter and a following ASCII ma
 Units with symbols outside the piece table (byte fallback) or of over 62 symbols are merged
 by a small heap in :func:`merge_exactly`, which gives the same result.
 
-Decoding looks ids up in the piece table and joins the pieces' bytes.
-
-Defined results: null and empty texts have no ids and decode to the empty text; repeated rows
-each get a row; an empty table gives no rows; extra columns are ignored.  Memory per task is
-one group's dictionary of units (flushed in parts when it is gathered) plus one batch.
+Decoding looks ids up in the piece table and joins the pieces' bytes.  Every document's ids are
+decoded as they are written and compared with its stored text (``round_trip``).
+
+Defined results: null and empty texts have no ids and decode to the empty text; a literal
+``\\u2581`` in a text has the ids of a space, as in the library, and counts as one in
+``round_trip``; repeated rows each get a row; an empty table gives no rows; extra columns are
+ignored.  Memory per task is one group's dictionary of units (flushed in parts when it is
+gathered) plus one batch.
 """
 
 from __future__ import annotations
@@ -48,6 +51,7 @@ START_SHIFT, RANK_SHIFT = 22, 28
 UNITS_HELD = 1_000_000
 WORDS_REMEMBERED = 100_000
 DOCUMENTS_AT_ONCE = 500
+IDS_AT_ONCE = 1 << 16  # ids decoded at a time
 LATTICE_SPREAD = 4
 GROUP_BYTES = 48 << 20  # input bytes whose units share one dictionary
 
@@ -318,7 +322,7 @@ def encode_units(units: DataFrame, pieces: Pieces, model_type: str = "bpe") -> D
 
 
 def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFrame:
-    """Per document: doc_id, ids, and round_trip (every unit's ids decode to the unit again)."""
+    """Per document: doc_id, ids, and round_trip (the ids decode to the document's text again)."""
     slim = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     grouped = slim.coalesce(max(1, -(-slim.rdd.getNumPartitions() * _split_bytes(docs.sparkSession) // GROUP_BYTES)))
     units = encode_units(distinct_units(grouped, pieces), pieces, model_type)
@@ -330,9 +334,8 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
         "unit",
         # two bytes an id, the high one first
         F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), "")).alias("payload"),
-        (joined_pieces(F.col("ids"), pieces.bytes_of) == F.replace("unit", F.lit(SPACE), F.lit(" "))).alias("same"),
     )
-    schema = "group int, kind int, doc_id bigint, unit string, payload binary, same boolean"
+    schema = "group int, kind int, doc_id bigint, unit string, payload binary"
 
     def compress(batches):
         import zstandard
@@ -349,13 +352,12 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                     batch.column("doc_id").cast(pa.int64()),
                     pa.nulls(n, pa.string()),
                     pa.array(texts, pa.binary()),
-                    pa.nulls(n, pa.bool_()),
                 ],
-                names=["group", "kind", "doc_id", "unit", "payload", "same"],
+                names=["group", "kind", "doc_id", "unit", "payload"],
             )
 
     texts = grouped.select("doc_id", "text").mapInArrow(compress, schema)
-    pattern, alone = pieces.unit_pattern(), pieces.letters_cut
+    pattern, alone, space = pieces.unit_pattern(), pieces.letters_cut, SPACE.encode("utf-8")
 
     def assemble(batches):
         import zstandard
@@ -381,7 +383,7 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                 self[word] = found
                 return found
 
-        current, units, words, unlike = None, Known(), Words(), set()
+        current, units, words = None, Known(), Words()
 
         def ids_of(text):
             found = words_of(text)
@@ -403,21 +405,20 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
             )
 
         held = []
-        names = ("group", "kind", "doc_id", "unit", "payload", "same")
+        names = ("group", "kind", "doc_id", "unit", "payload")
         for batch in batches:
             for at in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
                 part = batch.slice(at, DOCUMENTS_AT_ONCE)
                 columns = [part.column(c).to_pylist() for c in names]
-                for group, kind, doc_id, unit, payload, same in zip(*columns, strict=True):
+                for group, kind, doc_id, unit, payload in zip(*columns, strict=True):
                     if group != current:
-                        current, units, words, unlike = group, Known(), Words(), set()
+                        current, units, words = group, Known(), Words()
                     if not kind:
                         units[unit] = payload
-                        if not same:
-                            unlike.add(unit)
                         continue
-                    text = expand.decompress(payload).decode("utf-8")
-                    held.append((doc_id, ids_of(text), not unlike or unlike.isdisjoint(pattern.findall(escape(text)))))
+                    text = expand.decompress(payload)
+                    ids = ids_of(text.decode("utf-8"))
+                    held.append((doc_id, ids, decoded(ids, pieces.bytes_of) == text.replace(space, b" ")))
                 if held:
                     yield batch_of(held)
                     held = []
@@ -431,6 +432,13 @@ def _split_bytes(spark: SparkSession) -> int:
     return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
 
+def decoded(ids: bytes, bytes_of: list[bytes]) -> bytes:
+    """Bytes of the text of packed ids (two bytes each, the high one first): as :func:`decode`, for one document."""
+    packed = np.frombuffer(ids, dtype=">u2")
+    spans = (packed[at : at + IDS_AT_ONCE].tolist() for at in range(0, len(packed), IDS_AT_ONCE))
+    return b"".join(b"".join(map(bytes_of.__getitem__, span)) for span in spans).removeprefix(b" ")
+
+
 def joined_pieces(ids: Column, bytes_of: list[bytes]) -> Column:
     """The pieces' bytes of an id array as one text."""
     table = F.split(F.lit(" ".join(b.hex() for b in bytes_of)), " ")  # one constant: bounded by the model
@@ -444,11 +452,7 @@ def decode(ids: Column, bytes_of: list[bytes]) -> Column:
 
 
 def encode_and_check(docs: DataFrame, model_file: str, model_type: str = "bpe") -> DataFrame:
-    """Per document: doc_id, n_pieces, ids, and whether decoding gives the text back.
-
-    Decoding joins bytes piece by piece and units end at symbol borders, so a text comes back
-    exactly when each of its units does; that is checked once per distinct unit.
-    """
+    """Per document: doc_id, n_pieces, ids, and whether decoding its ids gives the text back."""
     found = encode(docs, Pieces.load(model_file), model_type)
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "round_trip")
 

@@ -31,6 +31,24 @@ def test_ids_equal_the_library(spark):
     assert s.encode_and_check(edge.empty(spark), MODEL).count() == 0
 
 
+def test_round_trip_decodes_the_assembled_document(spark, monkeypatch):
+    """A unit pattern that loses a symbol of some documents: every unit decodes, the documents do not."""
+    texts = ["one two, three", "one ~two, three", "plain  words", "plain ~ words", "", None, "~"]
+    whole = s.Pieces.unit_pattern
+
+    class Lossy:  # finds the units, but leaves out the symbol
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def findall(self, text):
+            return [u for x in self.pattern.findall(text) for u in x.split("~") if u]
+
+    monkeypatch.setattr(s.Pieces, "unit_pattern", lambda self: Lossy(whole(self)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.round_trip for r in s.encode_and_check(docs, MODEL).collect()}
+    assert got == {i: "~" not in (t or "") for i, t in enumerate(texts)}
+
+
 def test_decoding_equals_the_library(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     pieces = s.Pieces.load(MODEL)
