@@ -151,10 +151,8 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int =
     return found.distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT
-) -> DataFrame:
-    """Per document: doc_id, text_key, fp (signed long) and component_id (smallest reachable doc_id)."""
+def _labelled(docs: DataFrame, words: int, max_bits: int, bucket_limit: int) -> DataFrame:
+    """Per document: doc_id, text_key, fp, component_id, and root, the fingerprint that names its group."""
     fps = checkpointed(
         only(docs, "doc_id", "text").select(
             "doc_id", text_key(F.col("text")).alias("text_key"), fingerprint_column(F.col("text"), words).alias("fp")
@@ -166,8 +164,16 @@ def near_duplicates(
         "fp", "first_doc", F.coalesce("root", "fp").alias("root")
     )
     lowest = labelled.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = labelled.join(lowest, "root").select(F.col("fp").alias("node_fp"), "component_id")
-    return fps.join(named, fps["fp"] == named["node_fp"], "left").select("doc_id", "text_key", "fp", "component_id")
+    named = labelled.join(lowest, "root").select(F.col("fp").alias("node_fp"), "component_id", "root")
+    found = fps.join(named, fps["fp"] == named["node_fp"], "left")
+    return found.select("doc_id", "text_key", "fp", "component_id", "root")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT
+) -> DataFrame:
+    """Per document: doc_id, text_key, fp (signed long) and component_id (smallest reachable doc_id)."""
+    return _labelled(docs, words, max_bits, bucket_limit).drop("root")
 
 
 def keep_one(
@@ -176,10 +182,11 @@ def keep_one(
     """One document of each group, with all columns of ``docs``.
 
     The row kept is that of the smallest doc_id (ties: smallest text digest; equal rows: any one).
+    Groups go by their root fingerprint: groups without any id, or with an id in common, stay apart.
     """
-    labels = near_duplicates(docs, words, max_bits, bucket_limit)
+    labels = _labelled(docs, words, max_bits, bucket_limit)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))
-    best = labels.groupBy("component_id").agg(F.min(order).alias("keep"))
+    best = labels.groupBy("root").agg(F.min(order).alias("keep"))
     best = best.select(F.col("keep.doc_id").alias("_sr_keep_doc"), F.col("keep.text_key").alias("_sr_keep_key"))
     keyed = docs.withColumn("_sr_text_key", text_key(F.col("text")))
     same = keyed["doc_id"].eqNullSafe(best["_sr_keep_doc"]) & (keyed["_sr_text_key"] == best["_sr_keep_key"])

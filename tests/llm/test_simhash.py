@@ -83,6 +83,16 @@ def test_documents_and_keep_one(spark):
     assert sorted(x for x in zero if x is not None) == [0, 1, 2]  # null, empty and blank texts are one group
 
 
+def test_groups_without_an_id_or_with_a_common_id_stay_apart(spark):
+    a, b, c, d = (edge.prose(seed, 200) for seed in (21, 22, 23, 24))
+    rows = [(None, a), (None, b), (None, b), (None, b.replace(" the ", " a ", 1)), (7, c), (7, d), (8, d), (None, c)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    of_b = [k for k in kept if k[0] is None and k[1] != a]
+    assert len(of_b) == 1 and of_b[0][1] in (rows[1][1], rows[3][1])
+    assert [k for k in kept if k not in of_b] == sorted([(None, a), (7, c), (7, d)], key=str)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(edge.empty(spark)).count() == 0
     assert simhash.keep_one(edge.empty(spark)).count() == 0
