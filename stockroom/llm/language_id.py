@@ -40,14 +40,13 @@ MARGIN = 0.6
 SLICE = 1 << 20
 UNKNOWN = "und"
 
-_LETTERS = np.array([chr(c).isalpha() for c in range(0x10000)])
+_LETTERS = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def _letters(text: str) -> np.ndarray:
     """Code points of the lower-cased text; every run of anything but letters is one zero."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    is_letter = np.where(codes < 0x10000, _LETTERS[np.minimum(codes, 0xFFFF)], True)
-    kept = np.where(is_letter, codes, 0).astype(np.uint64)
+    kept = np.where(_LETTERS[codes], codes, 0).astype(np.uint64)
     return kept[(kept != 0) | np.concatenate(([True], kept[:-1] != 0))]
 
 

@@ -48,6 +48,18 @@ def test_language_edges(spark):
     assert language_id.identify(edge.empty(spark), model).count() == 0
 
 
+def test_letters_beyond_the_basic_plane(spark):
+    model = language_id.train(read(spark, SF_MEDIUM, "documents").select("text", "lang"))
+    emoji = "\U0001f600\U0001f680 \U0001f9e0\U0001f4a1\U0001d7d8"
+    docs = spark.createDataFrame([(1, emoji * 3), (2, "\U00020000\U00020001"), (3, emoji)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    for i in (1, 3):
+        assert (rows[i].lang_pred, rows[i].score, rows[i].rejected) == ("und", 0.0, True)
+    assert rows[2].lang_pred in model.languages  # ideographs of the second plane are letters
+    words = "the cat and the dog"
+    assert model.predict(words.replace(" ", " \U0001f600 ")) == model.predict(words)
+
+
 # ---------------------------------------------------------------- 4: secret scans
 
 
