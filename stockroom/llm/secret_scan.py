@@ -1,14 +1,18 @@
 """Operator 4: secret scans by a randomness test battery.
 
 Base kinds are fixed patterns (assignments, access keys, hex runs).  The method adds spans
-of kind ``random``: tokens of at least 20 ASCII letters, digits and ``+/_=-`` outside base
-spans.  The token's encoding is inferred (the smallest alphabet that holds it) and its
-symbols are tested as a random draw from that alphabet:
+of kind ``random``: tokens of at least 20 ASCII letters, digits and ``+/_-``, with ``=`` as
+padding at the end only, outside base spans.  The token's encoding is inferred (the smallest
+alphabet that holds it) and its symbols are tested as a random draw from that alphabet:
 
 * chi-squared test of uniformity,
 * Wald-Wolfowitz runs test above and below the middle of the alphabet,
 * lag-1 serial correlation.
 
+No alphabet holds both ``+/`` and ``-_``.  A token of both is read in three ways, cut at ``-_``,
+at ``+/`` and at all four; of parts of at least 20 symbols that overlap, the one that looks
+most random counts, with its probability times the three ways.
+
 A token that any test rejects at ``ALPHA`` is not random.  The others get the probability
 that text-like symbols of the same length look as even as that: under text the statistic
 is non-central chi-squared with non-centrality growing with the length, so short tokens can
@@ -26,6 +30,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -43,7 +49,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs: a shorter run fails and holds
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS = 6, 20
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+# Ways to cut a token that mixes the separators of two alphabets, and the symbols that mix them.
+PARTS = tuple(re.compile(rf"[A-Za-z0-9{inner}]{{20,}}=*") for inner in ("", "+/", "_-"))
+MIXED = (frozenset("+/"), frozenset("-_"))
 ALPHA = 0.001
 FALSE_DISCOVERY_RATE = 0.001
 STRATA = (20, 24, 32, 48, 96)  # shortest length of each stratum
@@ -135,13 +144,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, stratum, bin) of the tokens outside base spans."""
-    out, k, reach = [], 0, 0
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+
+    def outside(a, b):
+        k = bisect_left(starts, b)
+        return not k or reach[k - 1] <= a
+
+    out = []
     for m in TOKEN.finditer(text):
-        while k < len(base) and base[k][0] < m.end():
-            reach = max(reach, base[k][2])
-            k += 1
-        if reach <= m.start():
-            out.append((m.start(), m.end(), _stratum(len(m[0])), _bin(randomness(m[0]))))
+        token = m[0]
+        if not all(map(frozenset(token).intersection, MIXED)):
+            if outside(*m.span()):
+                out.append((*m.span(), _stratum(len(token)), _bin(randomness(token))))
+            continue
+        spans = {p.span() for cut in PARTS for p in cut.finditer(token)}
+        parts = [(randomness(token[a:b]), a, b) for a, b in spans if outside(m.start() + a, m.start() + b)]
+        taken, chosen = bytearray(len(token)), []
+        for p, a, b in sorted(parts):
+            if not any(taken[a:b]):
+                taken[a:b] = b"\x01" * (b - a)
+                chosen.append((m.start() + a, m.start() + b, _stratum(b - a), _bin(min(1.0, len(PARTS) * p))))
+        out += sorted(chosen)
     return out
 
 

@@ -111,6 +111,28 @@ def test_redaction(spark):
     assert by_id[0] is None and by_id[1] == "" and by_id[5] == edge.prose(1)
 
 
+def test_tokens_after_names_and_inside_paths(spark):
+    long = TOKENS[0] + TOKENS[1]
+    padded = "Zm9v" + TOKENS[2] + "AbC+dEf/9xQ1k=="
+    texts = {
+        f"AUTH={TOKENS[0]} end": [TOKENS[0]],
+        f"https://a.example/x?sig={TOKENS[1]}&session={TOKENS[2]};": [TOKENS[1], TOKENS[2]],
+        f"https://files.example/get/user_{long}/all": [long],
+        f"/srv/old-reports/by_customer-and-month/{long}_{TOKENS[3]}-x": [long, TOKENS[3]],
+        f"name={padded} x": [padded],
+        "/srv/old-reports/by_customer-and-month/quarter_summary-of-the-house/index": [],
+        "some_name_of_a_parameter_here=" * 3: [],
+        "=" * 80: [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
+    cleaned = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    for i, (text, secrets) in enumerate(texts.items()):
+        found = [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in spans[i].split(",") if s)]
+        assert bool(found) == bool(secrets) and all(any(s in f for f in found) for s in secrets), (text, found)
+        assert not any(s in cleaned[i] for s in secrets) and (secrets or cleaned[i] == text)
+
+
 # ---------------------------------------------------------------- 6: token counts
 
 
