@@ -1,8 +1,9 @@
 """Operator 8: main text of web pages by tree scoring.
 
-The page becomes a light tree.  Elements that are never article text (scripts, styles, forms,
-navigation, headers, footers, asides, and containers whose class, id or role names an advert,
-menu, notice, sidebar, comment list and so on) are left out.  Every text block passes points
+The page becomes a light tree.  Elements that are never article text (scripts, styles, form
+controls, navigation, headers, footers, asides, and containers whose class, id or role names an
+advert, menu, notice, sidebar, comment list and so on) are left out.  So are forms, unless one
+holds an article or main element or most of the page's long unlinked text.  Every text block passes points
 to its ancestors: one, plus one per comma, plus one per 100 characters up to three, times the
 share of its text that is no link; the parent takes them whole, the next ancestor half, then a third.  A container's score is discounted by
 its link density and raised for article-like tags and names.  The best container is kept,
@@ -15,6 +16,11 @@ Defined results: null, empty or textless html gives the empty text with 0 charac
 without markup is one block; unclosed and stray tags are tolerated; equal rows each get a row;
 ties between containers go to the first in page order; extra columns are ignored.  Very long
 pages are parsed whole in one forward pass.
+
+A left-out element without its end tag ends where HTML lets it: a head at the first body tag or
+text, an li, dt, dd, td, th, tr or p at the next one, any other when an element around it ends.
+If it held an article or main element, or runs to the end of a page without long text before
+it, it was closed nowhere: then it is read again as a plain container.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 SKIPPED = frozenset(
-    "script style noscript template iframe object svg canvas form button select option textarea input nav footer "
+    "script style noscript template iframe object svg canvas button select option textarea input nav footer "
     "aside head title menu dialog video audio".split()
 )
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -49,6 +55,22 @@ UNLIKELY = frozenset(
 )
 LIKELY = frozenset("article articlebody body content entry main maincontent page post story text".split())
 HOLDERS = frozenset("article main".split())
+REMARKS = frozenset("comment comments reply remark".split())
+LONG_BLOCK = 80  # characters of a block that reads like a paragraph of an article
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+# Elements that may lack an end tag: the start tags that end them, and the elements through which they do not reach.
+_ROWS = frozenset("tbody tfoot thead tr".split())
+_LISTS, _TABLE = BLOCK - {"address", "div", "p"}, frozenset(["table"])
+_HOLD_ITEMS = frozenset("dl menu ol table ul".split())
+ENDED_BY = {
+    "li": (frozenset(["li"]), _LISTS),
+    "dt": (frozenset(["dt", "dd"]), _LISTS),
+    "dd": (frozenset(["dt", "dd"]), _LISTS),
+    "td": (_ROWS | {"td", "th"}, _TABLE),
+    "th": (_ROWS | {"td", "th"}, _TABLE),
+    "tr": (_ROWS, _TABLE),
+    "p": (CLOSES_P, CLOSES_P),
+}
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)>|<[!?][^>]*+>""", re.S
@@ -60,10 +82,11 @@ SHARES = (1.0, 1 / 2, 1 / 3, 1 / 4, 1 / 5)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "order", "points", "chars", "link_chars", "weight", "in_link")
+    __slots__ = ("tag", "parent", "order", "points", "chars", "link_chars", "weight", "in_link", "form")
 
     def __init__(self, tag, parent, order, weight, in_link):
         self.tag, self.parent, self.order, self.weight, self.in_link = tag, parent, order, weight, in_link
+        self.form = (parent.form if parent else None) or (self if tag == "form" else None)  # outermost form
         self.points = 0.0
         self.chars = self.link_chars = 0
 
@@ -103,30 +126,79 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int, int]]]:
             else:
                 plain += len(piece.strip())
 
-    skip_depth, skip_tag = 0, ""
+    # the left-out element, where its start tag is, the elements open in it, and whether it held an article
+    skip_tag, skip_at, inner, held = "", 0, [], False
+    unclosed: set[int] = set()  # start tags of left-out elements that nothing ends
+
+    def ends_skip(tag: str) -> bool:
+        """The start tag ends the left-out element, or the element that holds it."""
+        for owner, between in ((skip_tag, ()), (stack[-1].tag, (skip_tag,))):
+            ends, bounds = ENDED_BY.get(owner, ((), frozenset()))
+            if tag in ends and not bounds.intersection([*between, *[t for t, _ in inner]]):
+                return True
+        return False
+
+    def ends_around(tag: str) -> bool:
+        """The end tag closes an element around the left-out element."""
+        between = [skip_tag, *[t for t, _ in inner]]
+        depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+        if not depth or tag in ("body", "html"):  # the page's end is seen to when it comes
+            return False
+        if tag in ENDED_BY:
+            bounds = {"li": _HOLD_ITEMS, "dt": _HOLD_ITEMS, "dd": _HOLD_ITEMS}.get(tag, ENDED_BY[tag][1])
+            return not bounds.intersection(between)
+        return tag in BLOCK or not any(t in BLOCK for t in [*between, *[n.tag for n in stack[depth:]]])
+
+    def read_again() -> int:
+        nonlocal skip_tag
+        unclosed.update([skip_at, *[start for _, start in inner]])
+        skip_tag = ""
+        return skip_at
+
     at, size = 0, len(page)
-    while at < size:
+    while True:
         m = TAG.search(page, at)
+        text_end = m.start() if m else size
+        if skip_tag == "head" and page[at:text_end].strip():
+            skip_tag = ""
+        if not skip_tag:
+            add(page[at:text_end])
         if m is None:
-            if not skip_depth:
-                add(page[at:])
+            if skip_tag and skip_tag != "head" and (held or not any(len(b[1]) > LONG_BLOCK and b[3] for b in blocks)):
+                at = read_again()
+                continue
             break
-        if not skip_depth:
-            add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag, closing, attributes = m[2].lower(), bool(m[1]), m[3] or ""
-        if skip_depth:  # inside a left-out element: only its own tags count
-            if tag == skip_tag:
-                if closing:
-                    skip_depth -= 1
-                elif tag not in VOID and not attributes.endswith("/"):
-                    skip_depth += 1
-            elif tag in RAW and not closing:
+        if skip_tag:  # inside a left-out element: what ends it counts
+            if closing:
+                depth = next((i for i in range(len(inner) - 1, -1, -1) if inner[i][0] == tag), -1)
+                if depth >= 0:
+                    if tag in BLOCK or not any(t in BLOCK for t, _ in inner[depth:]):
+                        del inner[depth:]
+                    continue
+                if tag == skip_tag:
+                    skip_tag = ""
+                    continue
+                if not ends_around(tag):
+                    continue
+                if held:
+                    at = read_again()
+                    continue
+            elif tag in RAW:
                 end = RAW_END[tag].search(page, at)
                 at = end.end() if end else size
-            continue
+                continue
+            elif tag in HEAD_TAGS if skip_tag == "head" else not ends_skip(tag):
+                if tag not in VOID and not attributes.endswith("/") and skip_tag != "head":
+                    if tag in ENDED_BY and inner and inner[-1][0] == tag:
+                        inner.pop()
+                    inner.append((tag, m.start()))
+                    held = held or (tag in HOLDERS and not REMARKS.intersection(_names(attributes)))
+                continue
+            skip_tag = ""
         if closing:
             if tag in BLOCK:
                 flush()
@@ -142,16 +214,18 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int, int]]]:
         left_out = tag in SKIPPED or (tag == "header" and not inside_holder) or "hidden" in names
         if not left_out and names and tag not in ("html", "body", "p", "h1") and tag not in HOLDERS | {"a", "b", "i"}:
             left_out = bool(UNLIKELY.intersection(names)) and not LIKELY.intersection(names) - {"text", "body", "content"}
-        if not left_out and tag == "article" and {"comment", "comments", "reply", "remark"}.intersection(names):
+        if not left_out and tag == "article" and REMARKS.intersection(names):
+            left_out = True
+        if not left_out and tag in ("label", "legend") and stack[-1].form is not None:
             left_out = True
-        if left_out:
+        if left_out and m.start() not in unclosed:
             if tag in BLOCK:
                 flush()
             if tag in RAW:
                 end = RAW_END[tag].search(page, at)
                 at = end.end() if end else size
             elif tag not in VOID and not attributes.endswith("/"):
-                skip_depth, skip_tag = 1, tag
+                skip_tag, skip_at, inner, held = tag, m.start(), [], False
             continue
         if tag in VOID:
             continue
@@ -169,7 +243,18 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int, int]]]:
         if not attributes.endswith("/"):
             stack.append(node)
     flush()
-    return nodes, blocks
+    return nodes, _outside_forms(nodes, blocks)
+
+
+def _outside_forms(nodes: list[_Node], blocks: list[tuple[_Node, str, int, int]]) -> list[tuple[_Node, str, int, int]]:
+    """The blocks without those of forms, but with those of a form that holds the article."""
+    holding = {n.form for n in nodes if n.form and n.tag in HOLDERS}
+    long: dict[_Node | None, float] = {}
+    for holder, text, linked, plain in blocks:
+        if len(text) > LONG_BLOCK:
+            long[holder.form] = long.get(holder.form, 0.0) + len(text) * plain / max(1, linked + plain)
+    most = sum(long.values()) / 2
+    return [b for b in blocks if b[0].form is None or b[0].form in holding or long.get(b[0].form, 0.0) > most]
 
 
 def main_text(page: str | None) -> str:
@@ -210,7 +295,7 @@ def main_text(page: str | None) -> str:
         for n in nodes:
             if n.parent is top.parent and n is not top:
                 alike = n.points > 0 and score(n) >= floor
-                reads = n.tag == "p" and n.chars > 80 and density(n) < 0.25
+                reads = n.tag == "p" and n.chars > LONG_BLOCK and density(n) < 0.25
                 heading = n.tag in ("h1", "h2") and n.order < top.order
                 if alike or reads or heading:
                     keep.add(id(n))

@@ -191,6 +191,42 @@ def test_main_text():
     assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_left_out_elements_without_end_tag():
+    article = f"<article>{ARTICLE}</article>"
+    menu = "<ul><li><a href=x>menu</a><li><a href=y>more</a></ul>"
+    pages = [
+        f"<html><head><meta charset=utf-8><title>no</title><body>{article}</body></html>",
+        f"<head><title>no</title><script>'<p>'</script><link href=x>{article}",
+        f"<body><div><nav>{menu}</div>{article}</body>",
+        f"<body><nav>{menu}{article}</body></html>",
+        f"<body><div id=page><aside><p>side, bar{article}</div></body>",
+        f"<body><div class=row><div class=ad><p>Buy, this, now</div><div>{article}</div></body>",
+        f"<body><section><div class=ad><span>Buy, now</span></section>{article}</body>",
+        f"<body><ul><li class=ad>Buy, now<li>{article}</ul></body>",
+        f"<table><tr><td class=sidebar>Buy, now<td>{article}</table>",
+        f"<table><tr class=banner><td>Buy, now<tr><td>{article}</table>",
+        f"<dl><dt hidden>Buy<dd class=promo>this, now<dd>{article}</dl>",
+        f"<body><div class=ad><div>Buy</div><p>now</div>{article}<footer>foot",
+    ]
+    for page in pages:
+        assert html_extract.main_text(page) == TEXT, page
+    assert html_extract.main_text("<div><p>A page, with a <span class=ad>buy</p><p>second, part</p></div>") == "A page, with a\n\nsecond, part"
+    assert html_extract.main_text("<head><title>no</title>") == ""
+    long = "A sentence, of a page, that is long enough to be taken for a paragraph of an article, no less."
+    assert html_extract.main_text(f"<body><div><p>{long}</p></div><div class=ad><p>Buy, now</body>") == long
+
+
+def test_form_around_the_page():
+    controls = "<label>Name, please</label><select><option>one</select><input name=q><button>go</button>"
+    article = f"<article>{ARTICLE}</article>"
+    assert html_extract.main_text(f"<body><form id=aspnetForm>{controls}<div>{article}</div></form></body>") == TEXT
+    long = "".join(f"<p>Sentence {i}, with a comma, and some more words in it, up to the length of a paragraph.</p>" for i in range(4))
+    text = html_extract.main_text(f"<body><form method=post>{controls}<div>{long}</div></form></body>")
+    assert text.startswith("Sentence 0") and "Sentence 3" in text and "please" not in text and "go" not in text
+    small = "<form><p>Leave, us, your, address</p><input></form>"
+    assert "address" not in html_extract.main_text(f"<body><div>{long}{small}</div></body>")
+
+
 def test_link_lists_are_discounted():
     links = "<div>" + "".join(f"<p><a href='{i}'>link, number, {i}, of, many</a></p>" for i in range(30)) + "</div>"
     body = "<div>" + "".join(f"<p>Sentence {i}, with a comma, and some more words in it.</p>" for i in range(4)) + "</div>"
