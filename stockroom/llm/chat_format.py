@@ -8,8 +8,10 @@ whether it ends in a question mark, and its length class.  Start, transition and
 probabilities are counted over labelled transcripts with add-one smoothing; markers that are
 rare in training count as one unknown marker.
 
-Viterbi runs over whole conversations of any length, in three levels: lines of a block of
-``BLOCK`` parts, blocks of a super-block of ``BLOCK`` blocks, and super-blocks.  A level
+The rows of a conversation are numbered densely in the order of part and text, by a range sort
+with an offset per partition.  Viterbi runs over whole conversations of any length, in three
+levels: lines of a block of ``BLOCK`` rows, blocks of a super-block of ``BLOCK`` blocks, and
+super-blocks.  A level
 passes one (states x states) table of best scores up, and gets the entry and end state back,
 so that the path is the one of the whole sequence, while a task holds one block only.
 
@@ -30,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,18 +202,75 @@ def _by_group(df: DataFrame, keys: list[str], order: list[str], solve, schema: s
     return located.mapInArrow(stream, schema)
 
 
+def _starts(conv: pa.Array) -> np.ndarray:
+    """Places of a sorted column where a conversation begins (a null is one of its own); the first row is one."""
+    filled, null = conv.fill_null(0).to_numpy(zero_copy_only=False), conv.is_null().to_numpy(zero_copy_only=False)
+    new = (filled[1:] != filled[:-1]) | (null[1:] != null[:-1])
+    return np.concatenate(([0], np.flatnonzero(new) + 1)) if len(conv) else np.zeros(0, np.int64)
+
+
+def _numbered(parts: DataFrame) -> DataFrame:
+    """(conv_id, block, position, text): dense positions by part and text; a block is ``BLOCK`` rows in a row.
+
+    A conversation may lie across partitions of the range sort (equal rows are spread too), so
+    each partition counts on from what the ones before hold of its first conversation.
+    """
+    order = ["conv_id", "part", "text", "spread"]
+    spread = parts.select(F.col("conv_id").cast("bigint"), "part", "text").withColumn(
+        "spread", F.monotonically_increasing_id()
+    )
+    ranged = checkpointed(spread.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "text"))
+
+    def ends(batches):
+        first, last, n, n_last = None, None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            conv = batch.column(0)
+            starts = _starts(conv)
+            if first is None:
+                first = (conv[0].as_py(),)
+            n_last = batch.num_rows - int(starts[-1]) + (n_last if len(starts) == 1 and (conv[0].as_py(),) == last else 0)
+            last = (conv[-1].as_py(),)
+            n += batch.num_rows
+        if n:
+            found = [[TaskContext.get().partitionId()], [first[0]], [last[0]], [n], [n_last]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["p", "first", "last", "n", "n_last"])
+
+    found = ranged.select("conv_id").mapInArrow(ends, "p bigint, first bigint, last bigint, n bigint, n_last bigint")
+    offsets: dict[int, int] = {}
+    before, held = None, 0  # the last conversation so far and its rows
+    for r in sorted(found.collect(), key=lambda r: r["p"]):  # one row per partition
+        offsets[r["p"]] = held if before == (r["first"],) else 0
+        held = r["n_last"] + (offsets[r["p"]] if r["n_last"] == r["n"] else 0)
+        before = (r["last"],)
+    size = BLOCK
+
+    def number(batches):
+        last, following = None, offsets.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            conv = batch.column(0)
+            starts = _starts(conv)
+            same = last is None or (conv[0].as_py(),) == last
+            position = np.arange(batch.num_rows) - np.repeat(starts, np.diff(np.append(starts, batch.num_rows)))
+            if same:
+                position[: starts[1] if len(starts) > 1 else None] += following
+            last, following = (conv[-1].as_py(),), int(position[-1]) + 1
+            arrays = [conv, pa.array(position // size, pa.int64()), pa.array(position, pa.int64()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "block", "position", "text"])
+
+    return ranged.mapInArrow(number, "conv_id bigint, block bigint, position bigint, text string")
+
+
 def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     """One row per recovered turn: conv_id, turn (order key), role, n_lines, rendered."""
     n = len(model.move)
     # state n is the one before a conversation's first line
     shared = transcripts.sparkSession.sparkContext.broadcast(model)  # states x feature values
 
-    parts = only(transcripts, "conv_id", "part", "text").select(
-        "conv_id",
-        F.floor(F.coalesce(F.col("part"), F.lit(-1)) / BLOCK).alias("block"),
-        "part",
-        "text",
-    )
+    parts = _numbered(only(transcripts, "conv_id", "part", "text"))
 
     def lines_in(texts) -> list[tuple]:
         return [line for text in texts for line in lines_of(text)]
@@ -224,12 +284,12 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     def tables_of(rows, at) -> list[np.ndarray]:
         return [np.asarray(r[at]).reshape(n + 1, n + 1) for r in rows]
 
-    def block_scores(rows):  # conv_id, block, part, text
+    def block_scores(rows):  # conv_id, block, position, text
         lines = lines_in(r[3] for r in rows)
         return [(*rows[0][:2], _chain(line_tables(lines)).ravel().tolist())] if lines else []
 
     blocks = _by_group(
-        parts, ["conv_id", "block"], ["part", "text"], block_scores, "conv_id bigint, block bigint, scores array<double>"
+        parts, ["conv_id", "block"], ["position"], block_scores, "conv_id bigint, block bigint, scores array<double>"
     )
     blocks = checkpointed(blocks.withColumn("super", F.floor(F.col("block") / BLOCK)))
 
@@ -263,7 +323,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     same_block = parts["conv_id"].eqNullSafe(border["b_conv"]) & (parts["block"] == border["b_block"])
     located = parts.join(border, same_block).drop("b_conv", "b_block")
 
-    def block_runs(rows):  # conv_id, block, part, text, entry, end
+    def block_runs(rows):  # conv_id, block, position, text, entry, end
         """Runs of lines of one turn inside the block; run 0 continues the last block's turn."""
         lines = lines_in(r[3] for r in rows)
         out: list[list] = []
@@ -278,7 +338,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
         _by_group(
             located,
             ["conv_id", "block"],
-            ["part", "text"],
+            ["position"],
             block_runs,
             "conv_id bigint, block bigint, run int, role int, n_lines bigint, body string",
         )

@@ -73,6 +73,30 @@ def test_blocks_give_the_path_of_the_whole_sequence(spark, model, monkeypatch):
     assert cut == whole and len(whole) > 10
 
 
+def test_blocks_are_bounded_by_rows(spark, model, monkeypatch):
+    """A null conv_id with many rows per part, null parts and repeated rows: dense positions, small blocks, same path."""
+    texts = ["User: why?", "assistant: since", "more of it here\nand on", "just so", ""]
+    rows = [(None, i % 3, f"{texts[i % 5]} {i % 40}") for i in range(300)] + [(None, None, texts[i % 2]) for i in range(50)]
+    rows += [(4, 1, "User: again")] * 60 + [(c, i, texts[i % 5]) for c in (1, 2, 3, 9) for i in range(5)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, part bigint, text string").repartition(7)
+
+    def found():
+        return {k: [(r.role, r.n_lines, r.rendered) for r in v] for k, v in turns(c.parse(frame, model).collect()).items()}
+
+    whole = found()
+    monkeypatch.setattr(c, "BLOCK", 8)
+    numbered = c._numbered(frame).collect()
+    by_block, by_conv = {}, {}
+    for r in numbered:
+        by_block.setdefault((r.conv_id, r.block), []).append(r.position)
+        by_conv.setdefault(r.conv_id, []).append((r.position, r.text))
+    assert max(map(len, by_block.values())) == 8
+    for conv, got in by_conv.items():
+        expected = sorted((-1 if p is None else p, t) for k, p, t in rows if k == conv)
+        assert sorted(got) == [(i, t) for i, (_, t) in enumerate(expected)]
+    assert found() == whole and len(whole[None]) > 10
+
+
 def test_path_is_the_best_one():
     rng = np.random.default_rng(1)
     tables = [rng.normal(size=(3, 3)) for _ in range(6)]
