@@ -5,7 +5,7 @@ key by sorting the whole parent table per generated row.  Here each table is one
 plan over ``spark.range(1, n + 1)``: every column is a built-in expression of the
 row id and a seed (see :mod:`stockroom.functions.random`), and every foreign key is
 drawn by one equi-join against a densely indexed parent (H3, :class:`Parent`).
-Cost drops from O(n · m log m) to one distributed sort of the parent plus one
+Cost drops from O(n · m log m) to ranking the parent once, range by range, plus one
 join, O(m log m + n), and the output is the same on any cluster size, after any
 task retry, and in the SQL oracle.
 
@@ -97,8 +97,8 @@ class Parent:
 
     One aggregation shows whether the keys are contiguous (as many distinct keys as rows and
     as values between the smallest and the largest).  Then the drawn key is ``min + floor(u * n)``
-    and no index, checkpoint or join is needed.  Other keys, and draws that carry
-    further columns, use a dense index.
+    and no index or join is needed.  Other keys, and draws that carry further columns, use
+    the ranks of a rank directory (``plans/indexing.py``).
     """
 
     def __init__(self, df: DataFrame, key: str, carry: tuple[str, ...] = (), seen=None):

@@ -233,3 +233,44 @@ def test_append_continues_the_serial_keys(spark):
     out = synth.append_generated(old, "warehouses", lambda n: synth.generate_warehouses(spark, n))
     rows = sorted((r.warehouse_id, r.name) for r in out.collect())
     assert rows == [(3, "a"), (9, "b"), (10, "Warehouse 1"), (11, "Warehouse 2")]
+
+
+def test_dense_index_with_hot_values_ties_and_nulls(spark, monkeypatch):
+    from stockroom.plans import indexing
+
+    monkeypatch.setattr(indexing, "ROWS_PER_RANGE", 100)
+    monkeypatch.setattr(indexing, "SMALL", 0)
+    monkeypatch.setattr(indexing, "CHUNK", 64)  # the equal rows are made in many chunks
+    rows = [(i * 37 % 1009, f"c{i % 3}", i % 2) for i in range(3000)]
+    rows += [(500, "hot", 1)] * 1500 + [(500, None, 1)] * 40 + [(None, "x", 1), (None, None, None), (2**62, "far", 0)]
+    df = spark.createDataFrame(rows, "v bigint, k string, w int").repartition(6)
+    indexed, n = with_dense_index(df, ["v", "k"], "idx")
+    got = indexed.collect()
+    assert n == len(rows) == len(got) and indexed.columns == ["v", "k", "w", "idx"]
+
+    def nulls_first(row):
+        return tuple((x is not None, x if x is not None else 0) for x in row)
+
+    in_order = [tuple(r)[:3] for r in sorted(got, key=lambda r: r.idx)]
+    assert [r.idx for r in sorted(got, key=lambda r: r.idx)] == list(range(n))
+    assert in_order == sorted(rows, key=nulls_first)
+
+
+@pytest.mark.parametrize("small", [0, 4096])
+def test_dense_index_of_one_row_and_of_none(spark, monkeypatch, small):
+    from stockroom.plans import indexing
+
+    monkeypatch.setattr(indexing, "SMALL", small)
+    one, n = with_dense_index(spark.createDataFrame([(5, "a")], "k bigint, v string"), "k", "idx")
+    assert n == 1 and [tuple(r) for r in one.collect()] == [(5, "a", 0)]
+    none, n = with_dense_index(spark.createDataFrame([], "k bigint"), "k", "idx")
+    assert n == 0 and none.count() == 0 and none.columns == ["k", "idx"]
+
+
+def test_binary_search_counts_values_not_above(spark):
+    from stockroom.plans.indexing import binary_search
+
+    values = [3, 3, 7, 20, 21]
+    df = spark.createDataFrame([(x,) for x in range(-1, 25)], "x bigint")
+    found = df.select("x", binary_search(F.array(*[F.lit(v) for v in values]), len(values), F.col("x")).alias("n"))
+    assert all(r.n == sum(v <= r.x for v in values) for r in found.collect())
