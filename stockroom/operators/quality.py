@@ -7,8 +7,9 @@ NULL foreign key passes, and a CHECK that evaluates to unknown passes.
 
 Scale notes: key audits are aggregations (combined on the map side, so a key that
 holds a third of all rows costs one row per map task); foreign-key audits are
-anti joins whose parent side is broadcast only behind a size check; the other
-rules are map-only filters that Catalyst pushes into the scan where it can.
+anti joins whose parent side is broadcast only behind a size check, as keys or as
+bitmaps of 64 keys a row; the other rules are map-only filters that Catalyst pushes
+into the scan where it can.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockroom import schemas
-from stockroom.plans.joins import broadcast_if_small
-from stockroom.plans.session import cut_lineage
+from stockroom.plans.joins import broadcast_if_small, broadcast_limit, measured_size
 
 
 def _as_list(cols: str | list[str] | tuple[str, ...]) -> list[str]:
@@ -75,17 +75,58 @@ def audit_not_null(df: DataFrame, cols: list[str], row_key: str | list[str]) ->
 # ---------------------------------------------------------------------------
 # Q4: FOREIGN KEY
 # ---------------------------------------------------------------------------
+INTEGER_TYPES = ("tinyint", "smallint", "int", "bigint")
+KEYS_PER_WORD = 64  # bits of a long
+
+
+def _word(key: Column) -> Column:
+    return F.shiftright(key.cast("bigint"), 6)
+
+
+def _bit(key: Column) -> Column:
+    return key.cast("bigint").bitwiseAND(KEYS_PER_WORD - 1).cast("int")
+
+
+def key_words(keys: DataFrame, column: str) -> DataFrame:
+    """The set of non-NULL integer keys as bitmaps: one row (_sr_word, _sr_bits) per 64 consecutive keys.
+
+    Dense keys take half a byte each instead of a row, and sparse ones never more than a row.
+    """
+    key = F.col(column)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(key))
+    return (
+        keys.filter(key.isNotNull())
+        .groupBy(_word(key).alias("_sr_word"))
+        .agg(F.bit_or(bit).alias("_sr_bits"))  # a hash aggregate, combined on the map side
+    )
+
+
+def _has_key(bits: Column, key: Column) -> Column:
+    return F.getbit(bits, _bit(key)) == 1
+
+
 class ParentKeys:
     """The keys of a parent table, measured once for any number of child columns.
 
-    Not made distinct here: an anti join does not mind repeated keys, and an aggregation
-    between shuffle and join would keep AQE from splitting a hot key.
+    Keys whose column measures under the broadcast bound are broadcast (``small``).  Integer keys beyond it
+    become bitmap words (:func:`key_words`) and are broadcast as such while these fit (``words``).  In both
+    cases no child row moves, however hot its key.
+
+    Larger parents are joined by shuffle, key by key.  They are neither made distinct nor packed into words
+    then: an aggregation between shuffle and join would keep AQE from splitting a hot key.
     """
 
     def __init__(self, parent: DataFrame, pk: str):
         keys = parent.select(F.col(pk).alias("_sr_pk")).filter(F.col("_sr_pk").isNotNull())
         self.keys = broadcast_if_small(keys)
         self.small = self.keys is not keys  # hinted: the keys fit the broadcast bound
+        self.whole = dict(keys.dtypes)["_sr_pk"] in INTEGER_TYPES
+        self.words: DataFrame | None = None
+        limit = broadcast_limit(keys)
+        if not self.small and self.whole and limit > 0:
+            words = key_words(keys, "_sr_pk")
+            if measured_size(words) <= limit:
+                self.words = F.broadcast(words)
 
 
 def audit_foreign_key(child: DataFrame, parent: DataFrame | ParentKeys, fk: str, pk: str) -> DataFrame:
@@ -93,9 +134,12 @@ def audit_foreign_key(child: DataFrame, parent: DataFrame | ParentKeys, fk: str,
 
     Give a :class:`ParentKeys` to audit several children of one parent with one measurement.
     """
-    keys = (parent if isinstance(parent, ParentKeys) else ParentKeys(parent, pk)).keys
+    found = parent if isinstance(parent, ParentKeys) else ParentKeys(parent, pk)
     refs = child.filter(F.col(fk).isNotNull())
-    return refs.join(keys, refs[fk] == keys["_sr_pk"], "left_anti")
+    if found.words is None or dict(child.dtypes)[fk] not in INTEGER_TYPES:
+        return refs.join(found.keys, refs[fk] == found.keys["_sr_pk"], "left_anti")
+    known = (_word(refs[fk]) == found.words["_sr_word"]) & _has_key(found.words["_sr_bits"], refs[fk])
+    return refs.join(found.words, known, "left_anti")
 
 
 # ---------------------------------------------------------------------------
@@ -183,50 +227,53 @@ def cascade_delete_warehouses(
         doomed_ids = ids.select(F.col(ids.columns[0]).alias("warehouse_id")).distinct()
     else:
         doomed_ids = warehouses.select("warehouse_id").filter(F.col("warehouse_id").isin(*ids)).distinct()
-    doomed_zones = zones.select("zone_id", "warehouse_id").join(doomed_ids, "warehouse_id", "left_semi")
-    doomed_zones = broadcast_if_small(doomed_zones)  # measured once, used for the references and the outcome
+    doomed_ids = broadcast_if_small(doomed_ids.withColumn("_listed", F.lit(True)))
 
-    # one scan per referencing table; a transaction refers to up to two zones
+    # The referenced zones as bitmap words: each task of the facts hands on one row per 64 zone ids,
+    # however many rows refer to a zone.  One scan per table; a transaction refers to up to two zones.
     moves = transactions.select(F.explode(F.array("source_zone_id", "destination_zone_id")).alias("zone_id"))
-    references = (
-        inventory.select("zone_id")
-        .unionByName(moves)
-        .unionByName(stock_takes.select("zone_id"))
-        .filter(F.col("zone_id").isNotNull())
+    references = inventory.select("zone_id").unionByName(moves).unionByName(stock_takes.select("zone_id"))
+    words = key_words(references, "zone_id")
+
+    zone = F.col("zone_id")
+    marked = (
+        zones.select("zone_id", "warehouse_id")
+        .join(doomed_ids, "warehouse_id", "left")
+        .join(words, _word(zone) == F.col("_sr_word"), "left")
+        .select(
+            "zone_id",
+            "warehouse_id",
+            F.coalesce("_listed", F.lit(False)).alias("_doomed"),
+            (F.col("_listed").isNotNull() & F.coalesce(_has_key(F.col("_sr_bits"), zone), F.lit(False))).alias("_blocked"),
+        )
     )
-    # keep only references to doomed zones (map side), then one row per zone
-    # (at most the doomed zones); kept, so that the facts are read once for the flag and the outcome
-    blocked = cut_lineage(references.join(doomed_zones, "zone_id").select("zone_id", "warehouse_id").distinct())
-    fails = bool(blocked.limit(1).count())  # one flag for the whole statement
-
-    def outcome(rows: DataFrame, entity: str, key: str, doomed: DataFrame, stopped: DataFrame) -> DataFrame:
-        stopped = stopped.select(key).distinct().withColumn("_blocked", F.lit(True))
-        return (
-            rows.join(doomed.select(key).distinct().withColumn("_doomed", F.lit(True)), key, "left")
-            .join(stopped, key, "left")
-            .select(
-                F.lit(entity).alias("entity"),
-                F.col(key).alias("id"),
-                "warehouse_id",
-                F.when(F.col("_doomed").isNull(), "kept")
-                .when(F.col("_blocked").isNotNull(), "blocked")
-                .when(F.lit(fails), "kept")
-                .otherwise("deleted")
-                .alias("outcome"),
-            )
+    # one flag for the whole statement: a row for the doomed zones, a row for the others
+    fails = marked.groupBy(F.col("_doomed").alias("_of")).agg(F.bool_or("_blocked").alias("_fails"))
+    stopped = marked.filter("_blocked").groupBy("warehouse_id").agg(F.lit(True).alias("_stopped"))
+
+    def outcomes(rows: DataFrame, entity: str, key: str) -> DataFrame:
+        return rows.join(F.broadcast(fails), F.col("_doomed") == F.col("_of"), "left").select(  # two rows
+            F.lit(entity).alias("entity"),
+            F.col(key).alias("id"),
+            "warehouse_id",
+            F.when(~F.col("_doomed"), "kept")
+            .when(F.col("_blocked"), "blocked")
+            .when(F.coalesce("_fails", F.lit(False)), "kept")
+            .otherwise("deleted")
+            .alias("outcome"),
         )
 
-    own = F.col("warehouse_id").alias("_key")
-    warehouse_rows = outcome(
-        warehouses.select(own, "warehouse_id"),
-        "warehouse",
-        "_key",
-        doomed_ids.select(own),
-        blocked.select(own),
-    )
-    return warehouse_rows.unionByName(
-        outcome(zones.select("zone_id", "warehouse_id"), "zone", "zone_id", doomed_zones, blocked)
+    owners = (
+        warehouses.select("warehouse_id")
+        .join(doomed_ids, "warehouse_id", "left")
+        .join(stopped, "warehouse_id", "left")
+        .select(
+            "warehouse_id",
+            F.coalesce("_listed", F.lit(False)).alias("_doomed"),
+            F.coalesce("_stopped", F.lit(False)).alias("_blocked"),
+        )
     )
+    return outcomes(owners, "warehouse", "warehouse_id").unionByName(outcomes(marked, "zone", "zone_id"))
 
 
 # ---------------------------------------------------------------------------
@@ -272,21 +319,103 @@ def row_rules(df: DataFrame, table: str) -> list[tuple[str, str, Column]]:
     return out
 
 
+def audit_keys(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """All key rules of a table in one pass: rule, column_name, row_key of every broken key.
+
+    ``rules`` are ('primary_key' | 'unique', column).  Keys that occur more than once break either rule, a
+    NULL only a primary key.  Every row is read once and gives one (rule, key) per rule, counted in one
+    aggregation by the key itself (integers as longs, others as text), combined on the map side: a key that
+    a third of all rows share costs one row per task, and no digest can take two keys for one.
+    """
+    types = dict(df.dtypes)
+
+    def entry(i: int, column: str) -> Column:
+        whole = types[column] in INTEGER_TYPES
+        return F.struct(
+            F.lit(i).alias("i"),
+            (F.col(column) if whole else F.lit(None)).cast("bigint").alias("number"),
+            (F.lit(None) if whole else F.col(column)).cast("string").alias("text"),
+        )
+
+    entries = F.explode(F.array(*[entry(i, column) for i, (_, column) in enumerate(rules)]))
+    nullable = [i for i, (rule, _) in enumerate(rules) if rule == "unique"]
+    is_null = F.col("number").isNull() & F.col("text").isNull()
+    counted = df.select(entries.alias("_k")).select("_k.*").groupBy("i", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+    broken = F.when(is_null, ~F.col("i").isin(*nullable) if nullable else F.lit(True)).otherwise(F.col("n") > 1)
+
+    def of_rule(values: list[str]) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("i"))
+
+    return counted.filter(broken).select(
+        of_rule([rule for rule, _ in rules]).alias("rule"),
+        of_rule([column for _, column in rules]).alias("column_name"),
+        F.coalesce(F.col("number").cast("string"), F.col("text")).alias("row_key"),
+    )
+
+
+def stacked_orphans(df: DataFrame, key: str, references: list[tuple[str, str, ParentKeys]]) -> DataFrame:
+    """Orphans of several columns whose parents all exceed the broadcast bound, by one scan and one join.
+
+    ``references`` are (rule, column, parent) with integer keys.  Each row gives one (parent, key) pair per
+    non-NULL column; the keys of all parents are stacked the same way, and one anti join by (parent, key)
+    resolves them all.  AQE splits a hot key of it.  Returns rule, column_name, row_key.
+    """
+    parents: list[ParentKeys] = []
+    for _, _, p in references:
+        if not any(p is q for q in parents):
+            parents.append(p)
+
+    def number(p: ParentKeys) -> int:
+        return next(i for i, q in enumerate(parents) if p is q)
+
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(number(p)).alias("parent"), F.col(column).cast("bigint").alias("fk"))
+            for i, (_, column, p) in enumerate(references)
+        ]
+    )
+    refs = (
+        df.select(F.col(key).cast("string").alias("row_key"), F.explode(pairs).alias("_r"))
+        .select("row_key", "_r.*")
+        .filter(F.col("fk").isNotNull())
+    )
+    keys = reduce(
+        DataFrame.unionByName,
+        [p.keys.select(F.lit(i).alias("_sr_parent"), F.col("_sr_pk").cast("bigint")) for i, p in enumerate(parents)],
+    )
+    found = refs.join(keys, (refs["parent"] == keys["_sr_parent"]) & (refs["fk"] == keys["_sr_pk"]), "left_anti")
+
+    def of_reference(values: list[str]) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("i"))
+
+    return found.select(
+        of_reference([rule for rule, _, _ in references]).alias("rule"),
+        of_reference([column for _, column, _ in references]).alias("column_name"),
+        "row_key",
+    )
+
+
 def audit_table(
     df: DataFrame, table: str, parents: dict[str, DataFrame | ParentKeys] | None = None
 ) -> DataFrame:
     """Every declared rule of ``table`` as one frame: table_name, rule, column_name, row_key.
 
-    One pass over ``df`` evaluates all row-level rules (NOT NULL, CHECK, enum, VARCHAR, NUMERIC)
-    and the foreign keys whose parent fits the broadcast bound: each row gets the array of
-    rules it breaks, and only rows with some violation are exploded.  Every other foreign
-    key (for the parents given) adds one anti join, every key rule one aggregation.  A
-    parent is measured once, however many columns refer to it.
+    At most three passes over ``df``, whatever the number of rules and the size of the parents:
+
+    * one evaluates all row-level rules (NOT NULL, CHECK, enum, VARCHAR, NUMERIC) and the foreign keys whose
+      parent's keys, or their bitmap words, fit the broadcast bound.  Each row gets the array of rules it
+      breaks, and only rows with some violation are exploded;
+    * one counts the keys of all key rules (:func:`audit_keys`);
+    * one resolves the foreign keys to larger parents, all in one join (:func:`stacked_orphans`).
+
+    Only a large parent with keys other than integers adds an anti join of its own.  A parent is measured
+    once, however many columns refer to it.
 
     NOT NULL columns that ``df`` lacks are reported with a NULL row key, unless the table has
     a default for them.  Other rules on absent columns have nothing to check.
     """
     cols = set(df.columns)
+    types = dict(df.dtypes)
     key = schemas.PRIMARY_KEYS[table]
     if key not in cols:
         raise ValueError(f"{table}: the key column {key} is needed to name the violations")
@@ -295,6 +424,7 @@ def audit_table(
 
     measured: dict[str, ParentKeys] = {}
     marked = df
+    stacked: list[tuple[str, str, ParentKeys]] = []
     for i, fk in enumerate(schemas.FOREIGN_KEYS):
         if fk.child != table or fk.column not in cols or fk.parent not in (parents or {}):
             continue
@@ -302,13 +432,22 @@ def audit_table(
             given = parents[fk.parent]
             measured[fk.parent] = given if isinstance(given, ParentKeys) else ParentKeys(given, fk.parent_key)
         found = measured[fk.parent]
-        rule = f"foreign_key:{fk.parent}"
+        rule, ref = f"foreign_key:{fk.parent}", F.col(fk.column)
         if found.small:
             known = found.keys.select(F.col("_sr_pk").alias(f"_sr_fk{i}")).distinct()  # a repeated key adds no row
-            marked = marked.join(F.broadcast(known), F.col(fk.column) == F.col(f"_sr_fk{i}"), "left")
-            rules.append((rule, fk.column, F.col(fk.column).isNotNull() & F.col(f"_sr_fk{i}").isNull()))
-        else:
+            marked = marked.join(F.broadcast(known), ref == F.col(f"_sr_fk{i}"), "left")
+            rules.append((rule, fk.column, ref.isNotNull() & F.col(f"_sr_fk{i}").isNull()))
+        elif not found.whole or types[fk.column] not in INTEGER_TYPES:
             parts.append(_violations(audit_foreign_key(df, found, fk.column, fk.parent_key), table, rule, fk.column, key))
+        elif found.words is not None:
+            words = found.words.select(F.col("_sr_word").alias(f"_sr_word{i}"), F.col("_sr_bits").alias(f"_sr_bits{i}"))
+            marked = marked.join(F.broadcast(words), _word(ref) == F.col(f"_sr_word{i}"), "left")
+            known_key = F.coalesce(_has_key(F.col(f"_sr_bits{i}"), ref), F.lit(False))
+            rules.append((rule, fk.column, ref.isNotNull() & ~known_key))
+        else:
+            stacked.append((rule, fk.column, found))
+    if stacked:
+        parts.append(stacked_orphans(df, key, stacked).select(F.lit(table).alias("table_name"), "*"))
 
     if rules:
         hits = F.filter(
@@ -323,10 +462,8 @@ def audit_table(
             .select(F.lit(table).alias("table_name"), F.explode("_hits").alias("_h"), "row_key")
             .select("table_name", "_h.rule", "_h.column_name", "row_key")
         )
-    parts.append(_violations(audit_primary_key(df, key), table, "primary_key", key, key))
-    for t, col in schemas.UNIQUE_KEYS:
-        if t == table and col in cols:
-            parts.append(_violations(audit_unique(df, col), table, "unique", col, col))
+    unique = [("unique", col) for t, col in schemas.UNIQUE_KEYS if t == table and col in cols]
+    parts.append(audit_keys(df, [("primary_key", key), *unique]).select(F.lit(table).alias("table_name"), "*"))
     absent = [c for c in schemas.not_null_columns(table) if c not in cols and c not in schemas.defaults(table)]
     if absent:
         rows = [(table, "not_null", c, None) for c in absent]

@@ -256,3 +256,112 @@ def _plan_time_jobs(spark, name):
 )
 def test_generators_start_few_jobs_while_planning(spark, name, most):
     assert 0 < _plan_time_jobs(spark, name) <= most
+
+
+def test_drawn_batches_are_ranked_without_a_global_sort(spark):
+    """The batches are ranked range by range; nothing is range-partitioned or checkpointed."""
+    from pathlib import Path
+
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.rglob("*"))
+    from stockroom.operators import synth
+
+    inventory = fx.inventory(spark, SF_SMALL)
+    parent = synth.Parent(inventory, "inventory_id", ("product_id",))
+    plan = executed_plan(parent.indexed)
+    assert parent.n == inventory.count() > 4096  # more than the driver sorts
+    assert "rangepartitioning" not in plan
+    assert "hashpartitioning(_sr_range" in plan
+    assert set(folder.rglob("*")) == before
+
+
+def test_one_scan_of_the_facts_decides_a_delete(spark):
+    """Q10: the referenced zones reach the zones as bitmap words; each fact table is read once."""
+    df = JOBS["q10_delete_warehouses_1_and_2"](spark, SF_SMALL)
+    df.collect()
+    final = executed_plan(df).split("== Initial Plan ==")[0]
+    assert "bit_or" in final and "ReusedExchange" in final
+    for table in ("lineitem", "events", "orders"):
+        assert final.count(f"{table}.parquet") == 1, table
+
+
+def test_small_literal_parent_is_broadcast(spark):
+    """A parent made from driver rows has no estimate; it is measured, and the child is not shuffled for it."""
+    employees = fx.employees(spark, SF_SMALL)
+    from stockroom.operators import quality
+
+    found = quality.audit_foreign_key(employees, fx.user_roles(spark), "role_id", "role_id")
+    plan = executed_plan(found)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_all_key_rules_in_one_scan(spark, tmp_path):
+    from stockroom.operators import quality
+
+    path = str(tmp_path / "emp")
+    fx.dirty_employees(spark, SF_SMALL).write.parquet(path)
+    keys = quality.audit_keys(spark.read.parquet(path), [("primary_key", "employee_id"), ("unique", "username")])
+    plan = executed_plan(keys)
+    assert plan.count(path) == 1 and plan.count("Exchange") == 1 and "SortAggregate" not in plan
+
+
+def _audit_of_transactions(spark, tmp_path):
+    from stockroom.operators import quality
+
+    path = str(tmp_path / "tx")
+    fx.dirty_transactions(spark, SF_SMALL).write.mode("overwrite").parquet(path)
+    tables = {**fx.CLEAN_TABLES, "products": fx.partial_products}
+    wanted = ("employees", "products", "storage_zones", "inventory")
+    audit = quality.audit_table(
+        spark.read.parquet(path), "inventory_transactions", {t: tables[t](spark, SF_SMALL) for t in wanted}
+    )
+    return audit, executed_plan(audit).count(path)
+
+
+def test_foreign_keys_take_at_most_two_scans_whatever_the_parents_size(spark, tmp_path):
+    from stockroom.plans.joins import BROADCAST_LIMIT_CONF
+
+    found, scans = {}, {}
+    for limit in (str(64 << 20), "2000", "0"):  # keys broadcast; some only as bitmap words; none
+        spark.conf.set(BROADCAST_LIMIT_CONF, limit)
+        try:
+            audit, scans[limit] = _audit_of_transactions(spark, tmp_path)
+            found[limit] = sorted(map(tuple, audit.collect()), key=str)
+        finally:
+            spark.conf.unset(BROADCAST_LIMIT_CONF)
+    assert scans == {str(64 << 20): 2, "2000": 3, "0": 3}  # row rules, keys, and all large parents at once
+    assert found["0"] == found["2000"] == found[str(64 << 20)] and len(found["0"]) > 300
+
+
+def test_months_outside_the_horizon_are_not_read(spark, tmp_path):
+    from stockroom.sources import tables
+
+    root = str(tmp_path)
+    inventory = fx.inventory(spark, SF_SMALL)
+    tables.write_inventory_by_month(inventory, root)
+    stored = tables.read_inventory_by_month(spark, root)
+    assert stored.count() == inventory.count()
+    others = [fx.products(spark, SF_SMALL), fx.storage_zones(spark, SF_SMALL), fx.warehouses(spark, SF_SMALL)]
+    r1 = reports.expiring_inventory(stored, *others, fx.AS_OF)
+    plan = formatted_plan(r1)
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line and "expiration_month" in line]
+    assert filters and "1998-06-01" in filters[0] and "1998-07-01" in filters[0]
+    expected = reports.expiring_inventory(inventory, *others, fx.AS_OF)
+    assert [tuple(r) for r in r1.collect()] == [tuple(r) for r in expected.collect()]
+    months = {r[0] for r in stored.filter("expiration_date between '1998-06-01' and '1998-07-01'").select("expiration_month").distinct().collect()}
+    assert len(months) == 2
+
+
+def test_measured_size_bounds_the_real_rows(spark):
+    frame = spark.range(300).select(
+        "id",
+        F.expr("transform(sequence(0, cast(id % 70 as int)), x -> struct(cast(x as bigint) as a, id as b))").alias("pairs"),
+        F.expr("array_repeat(repeat('ä', cast(id % 9 as int)), cast(id % 5 as int))").alias("texts"),
+        F.expr("if(id % 3 = 0, null, cast(id as decimal(38, 4)))").alias("wide"),
+        F.expr("map(cast(id as string), array(id, id))").alias("m"),
+        F.expr("named_struct('s', repeat('x', cast(id % 11 as int)), 'n', cast(null as int), 'b', unhex('00ff'))").alias("st"),
+        F.expr("cast(null as array<array<string>>)").alias("nothing"),
+    )
+    for df in [frame, *[frame.select(c) for c in frame.columns]]:
+        real = sum(r.getSizeInBytes() for r in df._jdf.queryExecution().executedPlan().executeCollect())
+        assert real <= measured_size(df) <= 4 * real, df.columns

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from stockroom import schemas
 from stockroom.operators import quality
@@ -156,3 +157,55 @@ def test_not_null_with_no_columns_is_empty(spark):
     df = spark.createDataFrame([(1,)], "id int")
     out = quality.audit_not_null(df, [], "id")
     assert out.columns == ["id", "column_name"] and out.count() == 0
+
+
+def test_key_words_hold_exactly_the_keys(spark):
+    keys = [-(2**63), -65, -64, -1, 0, 1, 63, 64, 127, 128, 10**12, 2**63 - 1]
+    parent = spark.createDataFrame([(k,) for k in keys + [5, 5, None]], "id bigint")
+    child = spark.createDataFrame([(k + d,) for k in keys[1:-1] for d in (-1, 0, 1)] + [(None,), (5,)], "ref bigint")
+    found = quality.ParentKeys(parent, "id")
+    found.words = quality.key_words(found.keys, "_sr_pk")  # as for a parent over the bound
+    orphans = sorted(r.ref for r in quality.audit_foreign_key(child, found, "ref", "id").collect())
+    known = {*keys, 5}
+    assert orphans == sorted(r.ref for r in child.collect() if r.ref is not None and r.ref not in known)
+
+
+def test_words_are_broadcast_when_the_keys_are_too_many(spark):
+    parent = spark.range(100_000).select((F.col("id") * 2).alias("id"))
+    child = spark.range(0, 200_500, 7).select(F.col("id").alias("ref"))
+    spark.conf.set(BROADCAST_LIMIT_CONF, str(400_000))  # the keys take 1.6 MB, their words 0.1 MB
+    try:
+        found = quality.ParentKeys(parent, "id")
+        assert not found.small and found.words is not None
+        orphans = quality.audit_foreign_key(child, found, "ref", "id")
+        plan = orphans._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(ref" not in plan
+        assert orphans.count() == child.filter((F.col("ref") % 2 == 1) | (F.col("ref") >= 200_000)).count()
+    finally:
+        spark.conf.unset(BROADCAST_LIMIT_CONF)
+
+
+def test_text_parents_over_the_bound(spark):
+    child = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "ref string")
+    parent = spark.createDataFrame([("a",), ("a",), (None,)], "id string")
+    spark.conf.set(BROADCAST_LIMIT_CONF, "0")
+    try:
+        assert [r.ref for r in quality.audit_foreign_key(child, parent, "ref", "id").collect()] == ["b"]
+    finally:
+        spark.conf.unset(BROADCAST_LIMIT_CONF)
+
+
+def test_audit_keys_counts_by_the_key_itself(spark):
+    rows = [(1, "a", "x"), (1, "b", "x"), (2, "b", None), (None, None, None), (3, "1", "y"), (4, "2", None), (5, None, "z")]
+    df = spark.createDataFrame(rows, "id bigint, name string, code string")
+    found = quality.audit_keys(df, [("primary_key", "id"), ("unique", "name"), ("unique", "code")])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [("primary_key", "id", "1"), ("primary_key", "id", None), ("unique", "name", "b"), ("unique", "code", "x")], key=str
+    )
+    text_key = quality.audit_keys(df, [("primary_key", "name")])
+    assert sorted((r.row_key or "") for r in text_key.collect()) == ["", "b"]
+
+
+def test_hot_key_costs_one_row_a_task(spark):
+    df = spark.range(0, 90_000, numPartitions=6).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("id"))
+    assert [tuple(r) for r in quality.audit_keys(df, [("primary_key", "id")]).collect()] == [("primary_key", "id", "7")]
