@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from stockroom.plans.joins import broadcast_if_small
 from stockroom.schemas import COMPLETED_STOCKTAKE_STATUS, OPEN_ORDER_STATUSES
+from stockroom.sources.tables import MONTH_COLUMN
 
 
 def date_lit(as_of: str | dt.date | None) -> Column:
@@ -62,8 +63,13 @@ def expiring_inventory(
     Columns: inventory_id, product_id, product_name, batch_number, quantity,
     expiration_date, warehouse_name, zone_code, days_until_expiration (INT).
     Ordered by days until expiration (then inventory_id) unless ``ordered=False``.
+
+    An inventory stored by expiry month (``tables.write_inventory_by_month``) is pruned to the months
+    of the horizon before any file is opened.
     """
     start, end = _expiry_bounds(as_of, horizon_days)
+    if MONTH_COLUMN in inventory.columns:
+        inventory = inventory.filter(F.col(MONTH_COLUMN).between(F.trunc(start, "month"), F.trunc(end, "month")))
     batches = inventory.select(
         "inventory_id", "product_id", "zone_id", "batch_number", "quantity", "expiration_date"
     ).filter(F.col("expiration_date").between(start, end))
@@ -88,9 +94,12 @@ def expiring_inventory(
             F.datediff(F.col("expiration_date"), start).alias("days_until_expiration"),
         )
     )
-    if ordered:
-        out = out.orderBy(F.asc_nulls_last("days_until_expiration"), F.asc_nulls_last("inventory_id"))
-    return out
+    return out.orderBy(*expiring_order()) if ordered else out
+
+
+def expiring_order() -> list[Column]:
+    """The order of R1, with the batch id to break ties."""
+    return [F.asc_nulls_last("days_until_expiration"), F.asc_nulls_last("inventory_id")]
 
 
 def expiring_within(r1: DataFrame, days: int = 7) -> DataFrame:
@@ -146,7 +155,12 @@ def secondary_discrepancy_listing(r3: DataFrame) -> DataFrame:
     """R3 without the flag, newest first, then by last name with NULLs last."""
     return r3.select(
         "employee_id", "username", "first_name", "last_name", "stock_take_id", "stock_take_date", "zone_id"
-    ).orderBy(F.desc_nulls_first("stock_take_date"), F.asc_nulls_last("last_name"), F.asc_nulls_last("stock_take_id"))
+    ).orderBy(*listing_order())
+
+
+def listing_order() -> list[Column]:
+    """The order of R4, with the stocktake id to break ties."""
+    return [F.desc_nulls_first("stock_take_date"), F.asc_nulls_last("last_name"), F.asc_nulls_last("stock_take_id")]
 
 
 def secondary_discrepancies_per_employee(employees: DataFrame, stock_takes: DataFrame) -> DataFrame:

@@ -232,14 +232,14 @@ GROUP BY ALL ORDER BY 4 DESC""",
 R6 = with_fixtures(
     "inventory",
     body="""
-SELECT product_id, CAST(COALESCE(SUM(quantity), 0) AS BIGINT) AS current_stock
+SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS current_stock
 FROM inventory GROUP BY product_id""",
 )
 
 R7 = with_fixtures(
     "purchase_orders",
     body="""
-SELECT product_id, CAST(COALESCE(SUM(quantity_ordered), 0) AS BIGINT) AS quantity_on_order
+SELECT product_id, CAST(SUM(quantity_ordered) AS BIGINT) AS quantity_on_order
 FROM purchase_orders WHERE status IN ('Новый', 'В обработке', 'Отправлен')
 GROUP BY product_id""",
 )
@@ -258,6 +258,27 @@ r8 AS (SELECT *, reorder_level >= current_stock AND quantity_on_order = 0 AS nee
 
 R8 = with_fixtures("products", "inventory", "purchase_orders", extra=_REORDER, body="SELECT * FROM r8")
 
+# The statements over the views under the original names: the same rows with the names as written there.
+REPORT_SQL = {
+    "sql_expiring_within_7_days": f"""
+SELECT product_name AS ProductName, batch_number AS BatchNumber, quantity AS Quantity, expiration_date AS ExpirationDate,
+       days_until_expiration AS DaysUntilExpiration, warehouse_name AS WarehouseName, zone_code AS ZoneCode
+FROM ({R2})""",
+    "sql_secondary_discrepancy_listing": f"""
+SELECT employee_id AS EmployeeID, username AS Username, first_name AS FirstName, last_name AS LastName,
+       stock_take_id AS StockTakeID, stock_take_date AS StockTakeDate, zone_id AS ZoneID
+FROM ({R4})""",
+    "sql_discrepancies_per_employee": f"""
+SELECT username AS Username, first_name AS FirstName, last_name AS LastName,
+       number_of_secondary_discrepancy_stock_takes AS NumberOfSecondaryDiscrepancyStockTakes
+FROM ({R5})""",
+    "sql_products_to_reorder": f"""
+SELECT product_id AS productid, product_name AS productname, reorder_level AS reorderlevel,
+       max_stock_level AS maxstocklevel, current_stock AS currentstock, quantity_on_order AS quantityonorder,
+       needs_reorder AS needsreorder
+FROM ({R8})""",
+}
+
 # ---------------------------------------------------------------------------
 # Jobs decided by us
 # ---------------------------------------------------------------------------
@@ -552,4 +573,101 @@ AUDITS = {
 UNION ALL SELECT 'employees', 'unique', 'username', username FROM d_employees
 WHERE username IS NOT NULL GROUP BY username HAVING count(*) > 1""",
     ),
+    "products": with_fixtures(
+        "d_products",
+        body=_broken(
+            "products",
+            "d_products",
+            "product_id",
+            [
+                *_null("product_id", "name", "category"),
+                (
+                    "enum",
+                    "category",
+                    "category NOT IN ('Электроника', 'Одежда', 'Продукты питания', 'Стройматериалы', 'Канцтовары')",
+                ),
+                ("varchar(150)", "name", "length(rtrim(name)) > 150"),
+                (
+                    "numeric(5,2)",
+                    "markup_percentage",
+                    "abs(round(CAST(markup_percentage AS DECIMAL(38,10)), 2)) >= 1000",
+                ),
+            ],
+            absent=("unit_of_measure",),
+        ),
+    ),
+    "suppliers": """
+WITH d_suppliers AS (
+  SELECT CAST(s_suppkey - CASE WHEN s_suppkey % 9 = 8 THEN 1 ELSE 0 END AS BIGINT) AS supplier_id,
+         CASE WHEN s_suppkey % 5 = 0 THEN repeat(s_name, 20) WHEN s_suppkey % 7 <> 1 THEN s_name END AS name
+  FROM supplier)
+"""
+    + _broken(
+        "suppliers",
+        "d_suppliers",
+        "supplier_id",
+        [*_null("supplier_id", "name"), ("varchar(150)", "name", "length(rtrim(name)) > 150")],
+    ),
+    "warehouses": """
+WITH d_warehouses AS (
+  SELECT CAST(nullif(r_regionkey + 1, 5) AS BIGINT) AS warehouse_id,
+         CASE WHEN r_regionkey % 4 <> 1 THEN r_name END AS name,
+         CASE WHEN r_regionkey % 2 = 0 THEN repeat(r_name, 60) END AS location
+  FROM region)
+"""
+    + _broken(
+        "warehouses",
+        "d_warehouses",
+        "warehouse_id",
+        [
+            *_null("warehouse_id", "name"),
+            ("varchar(100)", "name", "length(rtrim(name)) > 100"),
+            ("varchar(255)", "location", "length(rtrim(location)) > 255"),
+        ],
+    ),
+    "storage_zones": with_fixtures(
+        "warehouses",
+        extra="""
+d_zones AS (
+  SELECT CAST(n_nationkey + 1 AS BIGINT) AS zone_id,
+         CAST(CASE WHEN n_nationkey % 6 = 0 THEN 9 ELSE n_regionkey + 1 END AS BIGINT) AS warehouse_id,
+         CASE WHEN n_nationkey < 10 THEN 'Z' || CAST(n_nationkey // 2 AS VARCHAR)
+              WHEN n_nationkey % 11 <> 10 THEN n_name END AS code,
+         CASE WHEN n_nationkey % 7 = 3 THEN 20000000000000000 ELSE 100 END AS storage_capacity
+  FROM nation)""",
+        body=_broken(
+            "storage_zones",
+            "d_zones",
+            "zone_id",
+            [
+                *_null("zone_id", "warehouse_id", "code", "storage_capacity"),
+                ("varchar(50)", "code", "length(rtrim(code)) > 50"),
+                ("numeric(18,2)", "storage_capacity", "storage_capacity >= 10000000000000000"),
+                _orphan("warehouse_id", "warehouses", "warehouse_id"),
+            ],
+        )
+        + """
+UNION ALL SELECT 'storage_zones', 'unique', 'code', code FROM d_zones
+WHERE code IS NOT NULL GROUP BY code HAVING count(*) > 1""",
+    ),
+    "user_roles": """
+WITH d_roles AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS role_id,
+         CASE WHEN n_nationkey % 9 <> 8 THEN 'role ' || CAST(n_nationkey % 20 AS VARCHAR) END AS role_name,
+         CASE WHEN n_nationkey % 4 = 0 THEN repeat(n_name, 60) END AS description
+  FROM nation)
+"""
+    + _broken(
+        "user_roles",
+        "d_roles",
+        "role_id",
+        [
+            *_null("role_id", "role_name"),
+            ("varchar(50)", "role_name", "length(rtrim(role_name)) > 50"),
+            ("varchar(255)", "description", "length(rtrim(description)) > 255"),
+        ],
+    )
+    + """
+UNION ALL SELECT 'user_roles', 'unique', 'role_name', role_name FROM d_roles
+WHERE role_name IS NOT NULL GROUP BY role_name HAVING count(*) > 1""",
 }

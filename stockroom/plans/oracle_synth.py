@@ -251,3 +251,24 @@ FROM ids
 LEFT JOIN pz ON {draw('pz', 'st.zone')}
 LEFT JOIN pe ON {draw('pe', 'st.employee')}"""
 )
+
+
+# ---------------------------------------------------------------------------
+# The generators as INSERTs into a filled table: serial keys go on after the largest one
+# ---------------------------------------------------------------------------
+def _appended(table: str, key: str, generated: str) -> str:
+    return (
+        _with(FIXTURE_CTES[table], f"added AS ({generated})")
+        + f"""
+SELECT * FROM {table}
+UNION ALL BY NAME
+SELECT * REPLACE (CAST({key} + (SELECT max({key}) FROM {table}) AS BIGINT) AS {key}) FROM added"""
+    )
+
+
+A5 = _appended("storage_zones", "zone_id", G5)
+A6 = _appended("employees", "employee_id", G6)
+A7 = _appended("inventory", "inventory_id", G7)
+A8 = _appended("purchase_orders", "purchase_order_id", G8)
+A9 = _appended("inventory_transactions", "transaction_id", G9)
+A10 = _appended("stock_takes", "stock_take_id", G10)

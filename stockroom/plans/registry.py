@@ -8,6 +8,7 @@ its oracle uses.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from stockroom import schemas
 from stockroom.operators import contacts, quality, replenish, reports, synth
 from stockroom.plans import oracle, oracle_synth
+from stockroom.plans.session import ensure_checkpoint_dir
+from stockroom.sources import catalog, tables
 from stockroom.sources import fixtures as fx
 
 AS_OF = fx.AS_OF
@@ -75,6 +78,53 @@ def r8_products_to_reorder(spark: SparkSession, sf: str) -> DataFrame:
     return reports.products_to_reorder(fx.products(spark, sf), fx.inventory(spark, sf), fx.purchase_orders(spark, sf))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for stored tables, beside the checkpoints that all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def r1_expiring_inventory_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 on an inventory stored by expiry month: every batch is written, the months of the horizon are read."""
+    root = _folder(spark, "monthly")
+    tables.write_inventory_by_month(fx.inventory(spark, sf), root)
+    return reports.expiring_inventory(
+        tables.read_inventory_by_month(spark, root),
+        fx.products(spark, sf),
+        fx.storage_zones(spark, sf),
+        fx.warehouses(spark, sf),
+        AS_OF,
+        HORIZON_DAYS,
+    )
+
+
+# ---------------------------------------------------------------------------
+# The report statements as written for the original database, under its names
+# ---------------------------------------------------------------------------
+# The statements over the three views.
+EXPIRING_VIEW, TAKES_VIEW, REORDER_VIEW = catalog.VIEW_SQL_NAMES.values()
+REPORT_SQL = {
+    "sql_expiring_within_7_days": f"""
+SELECT ProductName, BatchNumber, Quantity, ExpirationDate, DaysUntilExpiration, WarehouseName, ZoneCode
+FROM {EXPIRING_VIEW} WHERE DaysUntilExpiration <= 7""",
+    "sql_secondary_discrepancy_listing": f"""
+SELECT EmployeeID, Username, FirstName, LastName, StockTakeID, StockTakeDate, ZoneID
+FROM {TAKES_VIEW} ORDER BY StockTakeDate DESC, LastName""",
+    "sql_discrepancies_per_employee": f"""
+SELECT Username, FirstName, LastName, COUNT(StockTakeID) AS NumberOfSecondaryDiscrepancyStockTakes
+FROM {TAKES_VIEW} GROUP BY Username, FirstName, LastName ORDER BY NumberOfSecondaryDiscrepancyStockTakes DESC""",
+    "sql_products_to_reorder": f"SELECT * FROM {REORDER_VIEW}",
+}
+
+
+def _report_sql(name: str) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        catalog.register_sql_names(fx.load_all(spark, sf), AS_OF)
+        return spark.sql(REPORT_SQL[name])
+
+    query.__doc__ = f"The original report statement: {' '.join(REPORT_SQL[name].split())}."
+    return query
+
+
 # ---------------------------------------------------------------------------
 # D1, D2
 # ---------------------------------------------------------------------------
@@ -89,6 +139,13 @@ def d2_supplier_contacts(spark: SparkSession, sf: str) -> DataFrame:
     return contacts.supplier_contacts(fx.suppliers(spark, sf))
 
 
+def d2_contacts_from_variant(spark: SparkSession, sf: str) -> DataFrame:
+    """D2 with the documents stored as VARIANT in Parquet and read back."""
+    path = _folder(spark, "contact-variants")
+    contacts.contact_variants(fx.suppliers(spark, sf)).write.parquet(path)
+    return contacts.variant_contacts(spark.read.parquet(path))
+
+
 # ---------------------------------------------------------------------------
 # Integrity audits Q1-Q10 (dirty fixtures where clean data would find nothing)
 # ---------------------------------------------------------------------------
@@ -197,6 +254,11 @@ AUDITED: dict[str, Query] = {
     "stock_takes": fx.dirty_stock_takes,
     "inventory_transactions": fx.dirty_transactions,
     "employees": fx.dirty_employees,
+    "products": fx.dirty_products,
+    "suppliers": fx.dirty_suppliers,
+    "warehouses": fx.dirty_warehouses,
+    "storage_zones": fx.dirty_storage_zones,
+    "user_roles": fx.dirty_user_roles,
 }
 
 
@@ -288,6 +350,59 @@ def g10_generate_stock_takes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------------
+# G5-G10 as INSERTs into filled tables
+# ---------------------------------------------------------------------------
+def a5_append_storage_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """20 more zones per warehouse, after the zones there are."""
+    houses = fx.warehouses(spark, sf)
+    return synth.append_generated(
+        fx.storage_zones(spark, sf), "storage_zones", lambda n: synth.generate_storage_zones(houses, 20, SEED)
+    )
+
+
+def a6_append_employees(spark: SparkSession, sf: str) -> DataFrame:
+    """As many generated employees as there are, after the employees there are."""
+    roles = g1_seed_user_roles(spark, sf)
+    return synth.append_generated(
+        fx.employees(spark, sf), "employees", lambda n: synth.generate_employees(roles, n, SEED, AS_OF)
+    )
+
+
+def a7_append_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """As many generated batches as there are, after the largest key of the inventory."""
+    parents = fx.products(spark, sf), fx.storage_zones(spark, sf)
+    return synth.append_generated(
+        fx.inventory(spark, sf), "inventory", lambda n: synth.generate_inventory(*parents, n, AS_OF, SEED)
+    )
+
+
+def a8_append_purchase_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """As many generated orders as there are, after the largest key of the orders."""
+    parents = fx.products(spark, sf), fx.suppliers(spark, sf)
+    return synth.append_generated(
+        fx.purchase_orders(spark, sf), "purchase_orders", lambda n: synth.generate_purchase_orders(*parents, n, AS_OF, SEED)
+    )
+
+
+def a9_append_inventory_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    """As many generated transactions as there are, after the transactions there are."""
+    parents = fx.inventory(spark, sf), fx.employees(spark, sf), fx.storage_zones(spark, sf)
+    return synth.append_generated(
+        fx.inventory_transactions(spark, sf),
+        "inventory_transactions",
+        lambda n: synth.generate_inventory_transactions(*parents, n, NOW, SEED),
+    )
+
+
+def a10_append_stock_takes(spark: SparkSession, sf: str) -> DataFrame:
+    """As many generated stocktakes as there are, after the largest key of the stocktakes."""
+    parents = fx.employees(spark, sf), fx.storage_zones(spark, sf)
+    return synth.append_generated(
+        fx.stock_takes(spark, sf), "stock_takes", lambda n: synth.generate_stock_takes(*parents, n, AS_OF, SEED)
+    )
+
+
 QUERIES: dict[str, Query] = {
     "r1_expiring_inventory": r1_expiring_inventory,
     "r2_expiring_within_7_days": r2_expiring_within_7_days,
@@ -297,8 +412,11 @@ QUERIES: dict[str, Query] = {
     "r6_product_stock": r6_product_stock,
     "r7_product_on_order": r7_product_on_order,
     "r8_products_to_reorder": r8_products_to_reorder,
+    "r1_expiring_inventory_by_month": r1_expiring_inventory_by_month,
+    **{name: _report_sql(name) for name in REPORT_SQL},
     "d1_replenishment_proposals": d1_replenishment_proposals,
     "d2_supplier_contacts": d2_supplier_contacts,
+    "d2_contacts_from_variant": d2_contacts_from_variant,
     "q1_duplicate_inventory_ids": q1_duplicate_inventory_ids,
     "q2_duplicate_usernames": q2_duplicate_usernames,
     "q3_null_product_columns": q3_null_product_columns,
@@ -327,6 +445,12 @@ QUERIES: dict[str, Query] = {
     "g8_generate_purchase_orders": g8_generate_purchase_orders,
     "g9_generate_inventory_transactions": g9_generate_inventory_transactions,
     "g10_generate_stock_takes": g10_generate_stock_takes,
+    "a5_append_storage_zones": a5_append_storage_zones,
+    "a6_append_employees": a6_append_employees,
+    "a7_append_inventory": a7_append_inventory,
+    "a8_append_purchase_orders": a8_append_purchase_orders,
+    "a9_append_inventory_transactions": a9_append_inventory_transactions,
+    "a10_append_stock_takes": a10_append_stock_takes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -338,8 +462,11 @@ ORACLE_SQL: dict[str, str] = {
     "r6_product_stock": oracle.R6,
     "r7_product_on_order": oracle.R7,
     "r8_products_to_reorder": oracle.R8,
+    "r1_expiring_inventory_by_month": oracle.R1,
+    **oracle.REPORT_SQL,
     "d1_replenishment_proposals": oracle.D1,
     "d2_supplier_contacts": oracle.D2,
+    "d2_contacts_from_variant": oracle.D2,
     "q1_duplicate_inventory_ids": oracle.Q1,
     "q2_duplicate_usernames": oracle.Q2,
     "q3_null_product_columns": oracle.Q3,
@@ -368,4 +495,10 @@ ORACLE_SQL: dict[str, str] = {
     "g8_generate_purchase_orders": oracle_synth.G8,
     "g9_generate_inventory_transactions": oracle_synth.G9,
     "g10_generate_stock_takes": oracle_synth.G10,
+    "a5_append_storage_zones": oracle_synth.A5,
+    "a6_append_employees": oracle_synth.A6,
+    "a7_append_inventory": oracle_synth.A7,
+    "a8_append_purchase_orders": oracle_synth.A8,
+    "a9_append_inventory_transactions": oracle_synth.A9,
+    "a10_append_stock_takes": oracle_synth.A10,
 }

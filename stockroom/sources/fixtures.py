@@ -280,6 +280,44 @@ def dirty_purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dirty_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    name = F.when(key % 5 == 0, F.repeat(F.col("s_name"), 20)).when(key % 7 != 1, F.col("s_name"))
+    return read(spark, sf_dir, "supplier").select(
+        _id(F.when(key % 9 == 8, key - 1).otherwise(key)).alias("supplier_id"), name.alias("name")
+    )
+
+
+def dirty_warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("r_regionkey")
+    return read(spark, sf_dir, "region").select(
+        _id(F.when(key == 4, F.lit(None)).otherwise(key + 1)).alias("warehouse_id"),
+        F.when(key % 4 != 1, F.col("r_name")).alias("name"),
+        F.when(key % 2 == 0, F.repeat(F.col("r_name"), 60)).alias("location"),
+    )
+
+
+def dirty_storage_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    code = F.when(key < 10, F.concat(F.lit("Z"), F.floor(key / 2).cast("string"))).when(key % 11 != 10, F.col("n_name"))
+    capacity = F.when(key % 7 == 3, F.lit("20000000000000000.00")).otherwise(F.lit("100.00"))
+    return read(spark, sf_dir, "nation").select(
+        _id(key + 1).alias("zone_id"),
+        _id(F.when(key % 6 == 0, F.lit(9)).otherwise(F.col("n_regionkey") + 1)).alias("warehouse_id"),
+        code.alias("code"),
+        capacity.cast("decimal(38,2)").alias("storage_capacity"),
+    )
+
+
+def dirty_user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    return read(spark, sf_dir, "nation").select(
+        _id(key).alias("role_id"),
+        F.when(key % 9 != 8, F.concat(F.lit("role "), (key % 20).cast("string"))).alias("role_name"),
+        F.when(key % 4 == 0, F.repeat(F.col("n_name"), 60)).alias("description"),
+    )
+
+
 CLEAN_TABLES = {
     "warehouses": warehouses,
     "storage_zones": storage_zones,

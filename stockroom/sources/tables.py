@@ -22,7 +22,9 @@ batch replaces itself instead of duplicating rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom import schemas
@@ -42,6 +44,13 @@ CLUSTER_BY: dict[str, tuple[str, ...]] = {
 
 BATCH_COLUMN = "_batch"
 
+# Inventory by expiry month: the partition column of the stored table.
+MONTH_COLUMN = "expiration_month"
+MONTHLY_INVENTORY = "inventory_by_month"
+
+# Rows in one file of a stored report: a file is read by one task, in its order.
+ORDERED_FILE_ROWS = 500_000
+
 
 def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
@@ -90,3 +99,56 @@ def write_table(
         .partitionBy(BATCH_COLUMN)
         .parquet(path)
     )
+
+
+# ---------------------------------------------------------------------------
+# Inventory partitioned by expiry month
+# ---------------------------------------------------------------------------
+def write_inventory_by_month(inventory: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Write inventory as ``<root>/inventory_by_month/expiration_month=<first of month>/``.
+
+    The expiry report then reads only the months its horizon touches.  Rows are range-partitioned by
+    (month, date, key) first, so a month is spread over as many files as it has rows for, most tasks write one
+    month only, and batches without an expiry date (a month of their own) do not meet in one task.
+    """
+    keys = (MONTH_COLUMN, "expiration_date", "inventory_id")
+    out = conform(inventory, "inventory").withColumn(MONTH_COLUMN, F.trunc("expiration_date", "month"))
+    ranged = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged.write.mode(mode).partitionBy(MONTH_COLUMN).parquet(table_path(root, MONTHLY_INVENTORY))
+
+
+def read_inventory_by_month(spark: SparkSession, root: str) -> DataFrame:
+    """The table of :func:`write_inventory_by_month`, with its partition column as last column."""
+    schema = schemas.struct_type("inventory").add(MONTH_COLUMN, "date")
+    return spark.read.schema(schema).parquet(table_path(root, MONTHLY_INVENTORY))
+
+
+# ---------------------------------------------------------------------------
+# Stored reports whose file order is the report's order
+# ---------------------------------------------------------------------------
+def write_ordered(report: DataFrame, path: str, keys: list[Column], files: int | None = None) -> None:
+    """Store ``report`` so that its files in name order, each read from its start, give ``keys`` order.
+
+    One range partitioning by ``keys`` and a sort inside each range; nothing is gathered in one task.  End
+    ``keys`` with a unique column, or a value shared by many rows cannot be split over files.
+    """
+    ranged = report.repartitionByRange(files, *keys) if files else report.repartitionByRange(*keys)
+    ordered = ranged.sortWithinPartitions(*keys)
+    ordered.write.mode("overwrite").option("maxRecordsPerFile", ORDERED_FILE_ROWS).parquet(path)
+
+
+def ordered_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a stored report in the order of their names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [f.getPath() for f in found if f.getPath().getName().endswith(".parquet")]
+    return [p.toString() for p in sorted(names, key=lambda p: p.getName())]
+
+
+def iterate_ordered(spark: SparkSession, path: str) -> Iterator[Row]:
+    """The rows of a stored report in its order, without a sort: one file at a time.
+
+    The first page of a report of any size reads its first file only.
+    """
+    for file in ordered_files(spark, path):
+        yield from spark.read.parquet(file).toLocalIterator()
