@@ -12,12 +12,12 @@ Jensen-Shannon distance (square root of the base-2 divergence, 0 to 1) of
 * its common words (the language's ``n_common`` most frequent words, plus one class for
   all other words).
 
-References are counted over all documents of a language.  Common words come in
-two passes: a bounded frequent-items sketch per language names the candidates, and an exact
-count over all documents ranks them.  A language without ``min_reference_words`` counted
-words has no reference; its documents, like those of a null language, are held against the
-nearest reference.  Documents shorter than the minimum lengths skip a divergence rule, since
-a short text's histogram is noise.
+References are counted over all documents of a language: every word of every document, combined
+on the map side, so that a task hands on its distinct words once.  A window with its own limit ranks them
+(ties: by the word), and only the common ones of each task leave it.  A language without
+``MIN_REFERENCE_WORDS`` counted words has no reference; its documents, like those of a null
+language, are held against the nearest reference.  Documents shorter than the minimum lengths skip
+a divergence rule, since a short text's histogram is noise.
 
 Defined results: null and empty texts have no words and fail the base rules; repeated rows
 each get the same row; an empty table gives no rows; without any reference only the base
@@ -31,9 +31,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stockroom.llm.common import checkpointed, let, only, read
-from stockroom.plans.joins import broadcast_if_rows_fit
 
 # Fixed values of the base rules.
 MIN_WORDS = 10
@@ -44,7 +44,6 @@ SYMBOLS = "#*$%&|<>"
 
 # Parameters of the divergence rules.
 N_COMMON = 16
-SKETCH_ITEMS = 8192
 MIN_REFERENCE_WORDS = 1000
 MIN_CHARS = 200
 MIN_DIVERGENCE_WORDS = 60
@@ -164,30 +163,17 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _common_words(words_of_lang: DataFrame, n_common: int, sketch_items: int) -> DataFrame:
-    """(lang, ranked, n_words): the ``n_common`` most frequent words per language with exact counts.
-
-    The sketch holds at most ``sketch_items`` words per language and task and never misses
-    a word above its error bound; ranks then come from exact counts of its candidates.
-    """
-    sketched = checkpointed(
-        words_of_lang.groupBy("lang").agg(
-            F.expr(f"approx_top_k(word, {4 * n_common}, {sketch_items})").alias("top"), F.count("word").alias("n_words")
-        )
-    )
-    candidates = sketched.select(F.col("lang").alias("c_lang"), F.explode("top").alias("t")).select(
-        "c_lang", F.col("t.item").alias("c_word")
-    )
-    same = (F.col("lang") == F.col("c_lang")) & (F.col("word") == F.col("c_word"))
-    exact = words_of_lang.join(broadcast_if_rows_fit(candidates, candidates.count()), same).groupBy("lang", "word").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    best = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), F.col("word"))))
-    ranked = exact.groupBy("lang").agg(F.slice(best, 1, n_common).alias("ranked"))
-    return ranked.join(sketched.select("lang", "n_words"), "lang")
+def _common_words(words_of_lang: DataFrame, n_common: int) -> DataFrame:
+    """(lang, ranked, n_words): the ``n_common`` most frequent words per language with their counts."""
+    counted = words_of_lang.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("word"))
+    best = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n_common)
+    ranked = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("ranked"))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("n_words"))  # reads the same shuffled counts
+    return ranked.join(totals, "lang")
 
 
-def references(docs: DataFrame, n_common: int = N_COMMON, sketch_items: int = SKETCH_ITEMS) -> DataFrame:
+def references(docs: DataFrame, n_common: int = N_COMMON) -> DataFrame:
     """One row per language: character-class counts, common words and their counts (the last: all others)."""
     known = only(docs, "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     chars = known.select("lang", char_classes(F.col("text")).alias("chars"))
@@ -195,9 +181,8 @@ def references(docs: DataFrame, n_common: int = N_COMMON, sketch_items: int = SK
         F.array(*[F.sum(F.col("chars")[i]) for i in range(len(CLASSES) + 1)]).alias("ref_chars")
     )
     pieces = known.select("lang", F.explode_outer(F.split("text", SPACES)).alias("word")).filter(F.col("word") != "")
-    common = _common_words(pieces, n_common, sketch_items)
-    listed = F.transform("ranked", lambda r: r["word"])
-    counts = F.transform("ranked", lambda r: -r["minus_n"])
+    common = _common_words(pieces, n_common)
+    counts = F.transform("ranked", lambda r: r["n"])
     rest = F.col("n_words") - F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return (
         chars.join(common, "lang")
@@ -205,7 +190,7 @@ def references(docs: DataFrame, n_common: int = N_COMMON, sketch_items: int = SK
         .select(
             "lang",
             F.transform("ref_chars", lambda c: c.cast("double")).alias("ref_chars"),
-            listed.alias("common"),
+            F.transform("ranked", lambda r: r["word"]).alias("common"),
             F.concat(counts, F.array(rest)).cast("array<double>").alias("ref_words"),
         )
     )
@@ -254,13 +239,13 @@ def _word_histogram(ws: Column, common: Column) -> Column:
     return let(F.filter(places, lambda x: x > 0), histogram)
 
 
-def score(docs: DataFrame, n_common: int = N_COMMON, sketch_items: int = SKETCH_ITEMS) -> DataFrame:
+def score(docs: DataFrame, n_common: int = N_COMMON) -> DataFrame:
     """Base measures plus char_distance, word_distance (null where a guard skips them) and ``kept``."""
     measured = measures(docs)
-    refs = checkpointed(references(docs, n_common, sketch_items))
+    refs = checkpointed(references(docs, n_common))
     # one row holding every language's reference: bounded by languages times (n_common + classes)
     table = refs.agg(F.collect_list(F.struct("lang", "ref_chars", "common", "ref_words")).alias("refs"))
-    joined = measured.crossJoin(broadcast_if_rows_fit(table, 1))  # one row on the right: no pairs are made
+    joined = measured.join(F.broadcast(table))  # one row on the right: every document gets it, no pairs are made
     own = F.filter("refs", lambda r: r["lang"] == F.col("lang"))
     chosen = joined.withColumn("own", F.when(F.size(own) > 0, own).otherwise(F.col("refs")))
     doc_chars = F.col("chars").cast("array<double>")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from stockroom.llm import quality_rules as q
@@ -68,3 +71,32 @@ def test_empty_and_without_references(spark):
 def test_plan_is_native(spark):
     plan = q.score(edge.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def flat_vocabulary(lang: str, seed: int, n_docs: int = 500) -> list[tuple]:
+    """Documents of one language: 60,000 words of nearly equal counts, 16 of them a little commoner."""
+    rng = random.Random(seed)
+    pool = [f"{lang}{i:05d}" for i in range(60_000)]
+    body = pool * 2 + pool[:16] * 2
+    rng.shuffle(body)
+    size = -(-len(body) // n_docs)
+    return [(seed * 10_000 + i, " ".join(body[i * size : (i + 1) * size]), lang) for i in range(n_docs)]
+
+
+@pytest.mark.parametrize("partitions", [1, 32])
+def test_common_words_of_a_flat_vocabulary_are_exact(spark, tmp_path, partitions):
+    rows = flat_vocabulary("xx", 1) + flat_vocabulary("yy", 2) + [(1, "few words only", "zz"), (2, None, "xx"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(partitions)
+    refs = {r.lang: r for r in q.references(docs).collect()}
+    assert set(refs) == {"xx", "yy"}
+    for lang, ref in refs.items():
+        assert list(ref.common) == [f"{lang}{i:05d}" for i in range(16)]
+        assert list(ref.ref_words) == [4.0] * 16 + [120_000.0 - 32]
+    if partitions == 32:
+        docs.write.parquet(str(tmp_path / "documents.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        expected = con.execute(q.ORACLE).fetchall()
+        got = [tuple(r) for r in q.op9_quality_rules(spark, str(tmp_path)).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, expected))
+        assert all(r[-1] is not None for r in got if r[1] >= q.MIN_DIVERGENCE_WORDS)  # every long text is judged
