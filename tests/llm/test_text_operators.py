@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from html import unescape
+from html.parser import HTMLParser
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -246,3 +249,166 @@ def test_pages_whole(spark):
         plain = "\n\n".join(x for x in (" ".join(unescape(p).split()) for p in parts) if x)
         assert r.text == plain and r.n_chars == len(plain)
     assert found.filter(F.length("text") == 0).count() == 0
+
+
+LONG = "A sentence, of a page, that is long enough to be taken for a paragraph of an article, no less, number %d."
+PARAGRAPHS = [LONG % i for i in range(3)]
+BODY = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+REMARKS = "<p>I think, so, too, and I write it at some length, so that it reads like a paragraph of the page itself.</p>"
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["post-comments", "article-comments", "entry-comments", "story-comments", "main-sidebar", "post-share", "page-footer", "article-related"],
+)
+def test_names_with_a_likely_first_word_are_left_out(name):
+    for page in (
+        f"<body><article>{BODY}<div class='{name}'>{REMARKS}</div></article></body>",
+        f"<body><div class='post'>{BODY}</div><div class='{name}'>{REMARKS}</div></body>",
+        f"<body><div>{BODY}<section id='{name}'>{REMARKS * 9}</section></div></body>",
+    ):
+        assert html_extract.main_text(page) == "\n\n".join(PARAGRAPHS), page
+
+
+@pytest.mark.parametrize("name", ["related", "promotion", "search", "alert", "share", "widget", "banner"])
+def test_articles_in_containers_with_an_unlikely_name_come_back(name):
+    inside = f"<div class='{name}'><h1>T</h1>{BODY}</div>"
+    text = "\n\n".join(["T", *PARAGRAPHS])
+    for page in (
+        f"<body>{inside}</body>",
+        f"<body><main>{inside}</main></body>",
+        f"<body><article>{inside}</article><div class=comments>{REMARKS}</div></body>",
+        f"<body><p>Menu</p>{inside}<footer>foot</footer></body>",
+    ):
+        got = html_extract.main_text(page)
+        assert got.removeprefix("Menu\n\n") == text, page
+    assert html_extract.main_text(f"<body><div class='{name}'><h1>T</h1><p>long</p><p>long</p></div></body>") == "T\n\nlong\n\nlong"
+    around = f"<body><article>{BODY}<div class='{name}'>{REMARKS}</div></article></body>"  # an article is there: no second look
+    assert html_extract.main_text(around) == "\n\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<font>word ", "<div><p>word, word", "<a ", "<a x='>", "<li class=ad><ul><li>x", "</font><div>", "<script></script ", "<!x", "<hr><b>w"],
+)
+def test_broken_pages_take_linear_time(unit):
+    units = 100_000 // unit.count("<")  # 100,000 tags
+    for page in ("<article>" + unit * units, "<p>" + unit * units + ">"):
+        began = time.perf_counter()
+        html_extract.main_text(page)
+        assert time.perf_counter() - began < (10 if "class" in unit else 5), page[:40]  # that kind is read several times
+
+
+def test_tags_without_end_are_text():
+    assert html_extract.main_text("<p>one < two <b>three</b> <a href='x") == "one < two three <a href='x"
+    assert html_extract.main_text('<p title="a > b">text</p><p title=">more</p>') == "text\n\nmore"
+    assert html_extract.main_text("<p>x<!-- a > b -->y</p>") == "xy"
+
+
+class PlainPage(HTMLParser):
+    """Tree, blocks and scores by their definitions; an end tag closes all inside, a block an open paragraph."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.nodes = [{"tag": "#root", "parent": None, "names": [], "link": False, "gone": False}]
+        self.open, self.blocks, self.parts = [0], [], []
+
+    def flush(self):
+        text = " ".join("".join(p for p, _ in self.parts).split())
+        if text:
+            holder = next(i for i in reversed(self.open) if i == 0 or self.nodes[i]["tag"] in html_extract.BLOCK)
+            linked = sum(len(p.strip()) for p, link in self.parts if link)
+            plain = sum(len(p.strip()) for p, link in self.parts if not link)
+            self.blocks.append((holder, text, linked, plain))
+        self.parts = []
+
+    def skips(self, tag, names, in_holder):
+        if tag in html_extract.SKIPPED or (tag == "header" and not in_holder) or any("hidden" in w for w in names):
+            return True
+        if tag in html_extract.HOLDERS | {"a", "b", "i", "html", "body", "p", "h1"}:
+            return False
+        saved = any(w[-1] in html_extract.SAVES for w in names)
+        return not saved and any(x in html_extract.UNLIKELY for w in names for x in w)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.BLOCK or tag == "hr":
+            self.flush()
+        if tag == "br":
+            self.handle_data(" ")
+        if tag in html_extract.VOID:
+            return
+        names = [["hidden"] if k == "hidden" else re.findall("[a-z]+", v) for k, a in attrs if k in ("class", "id", "role", "hidden") for v in (a or "").lower().split() or [""]]
+        names = [w for w in names if w]
+        if tag in html_extract.CLOSES_P:
+            self.close_to("p")
+        holders = any(self.nodes[i]["tag"] in html_extract.HOLDERS for i in self.open)
+        parent = self.open[-1]
+        gone = self.nodes[parent]["gone"] or self.skips(tag, names, holders)
+        link = tag == "a" or self.nodes[parent]["link"]
+        self.nodes.append({"tag": tag, "parent": parent, "names": names, "link": link, "gone": gone})
+        self.open.append(len(self.nodes) - 1)
+
+    def close_to(self, tag):
+        at = [k for k, i in enumerate(self.open) if self.nodes[i]["tag"] == tag]
+        if at:
+            del self.open[at[-1] :]
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK:
+            self.flush()
+        self.close_to(tag)
+
+    def handle_data(self, data):
+        if not self.nodes[self.open[-1]]["gone"]:
+            self.parts.append((data, self.nodes[self.open[-1]]["link"]))
+
+    def ancestors(self, i):
+        while i is not None:
+            yield i
+            i = self.nodes[i]["parent"]
+
+    def text(self):
+        self.flush()
+        n = len(self.nodes)
+        points, chars, links = [0.0] * n, [0] * n, [0] * n
+        for holder, text, linked, plain in self.blocks:
+            share = len(text) * linked // max(1, linked + plain)
+            gain = (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - share / len(text))
+            taker = self.nodes[holder]["parent"] if self.nodes[holder]["tag"] == "p" else holder
+            for level, i in enumerate(self.ancestors(taker)):
+                points[i] += gain / 2**level
+            for i in self.ancestors(holder):
+                chars[i] += len(text)
+                links[i] += share
+
+        def score(i):
+            tag, names = self.nodes[i]["tag"], self.nodes[i]["names"]
+            weight = 25 * (tag in html_extract.HOLDERS) - 10 * (tag in ("ul", "ol", "th"))
+            weight += 10 * any(x in html_extract.LIKELY for w in names for x in w)
+            return (points[i] + weight) * (1 - links[i] / chars[i]) if chars[i] else points[i] + weight
+
+        if not self.blocks:
+            return ""
+        best = max((i for i in range(n) if chars[i]), key=lambda i: (score(i), -i))
+        top = next((i for i in reversed(list(self.ancestors(best))) if self.nodes[i]["tag"] in html_extract.HOLDERS), best)
+        keep = {top}
+        if self.nodes[top]["tag"] not in html_extract.HOLDERS and top:
+            for i in range(1, n):
+                if i != top and self.nodes[i]["parent"] == self.nodes[top]["parent"]:
+                    reads = self.nodes[i]["tag"] == "p" and chars[i] > html_extract.LONG_BLOCK and links[i] / chars[i] < 0.25
+                    alike = points[i] > 0 and score(i) >= max(10.0, 0.2 * score(top))
+                    if alike or reads or (self.nodes[i]["tag"] in ("h1", "h2") and i < top):
+                        keep.add(i)
+        return "\n\n".join(t for holder, t, _, _ in self.blocks if keep.intersection(self.ancestors(holder)))
+
+
+def test_pages_equal_the_plain_scores(spark):
+    got = {r.page_id: r.text for r in html_extract.op8_html_extraction(spark, SF_MEDIUM).collect()}
+    compared = 0
+    for r in read(spark, SF_MEDIUM, "pages").collect():
+        plain = PlainPage()
+        plain.feed(r.html)
+        plain.close()
+        assert got[r.page_id] == plain.text(), r.page_id
+        compared += 1
+    assert compared == 250
