@@ -3,9 +3,12 @@
 Words are the maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are
 lower-cased.  A benchmark item gives every window of ``ngram`` consecutive words; an
 item of fewer words is one window.  The windows form a hash set keyed by a 64-bit hash,
-broadcast only behind a measured size bound (beyond it the same join is shuffled).
-Training texts are cut into the same windows inside their row, the hashes are probed,
-and each hit is verified word by word, so a hash collision never counts.
+broadcast only behind a measured size bound.  Training texts are cut into the same windows inside
+their row, the hashes are probed, and each hit is verified word by word, so a hash collision
+never counts.  Beyond the bound the join is shuffled in two steps: first the hashes alone name the
+documents and places that may hit (:func:`_possible`), then only these documents are read again, and
+the few windows at those places are joined word by word.  A document's words never travel.
+Items are keyed by the SHA-256 of their words.
 
 Defined results: a null or empty text has no words and no hits; a text shorter than a
 window is never hit by it; repeated rows each get the same result; equal benchmark items
@@ -19,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.llm.common import ascii_lower, let, only, text_key
-from stockroom.plans.joins import broadcast_if_small
+from stockroom.llm.common import ascii_lower, checkpointed, let, only, text_key
+from stockroom.plans.joins import broadcast_if_rows_fit, broadcast_if_small
 
 NGRAM = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,7 +62,7 @@ def benchmark_windows(benchmark: DataFrame, ngram: int = NGRAM) -> tuple[DataFra
         .filter(F.size("ws") > 0)
         .groupBy("ws")
         .agg(F.collect_list("item").alias("items"))
-        .withColumn("item_key", F.xxhash64("ws"))
+        .withColumn("item_key", F.unhex(F.sha2(F.array_join("ws", " "), 256)))  # words hold no space
     )
     length = F.least(F.size("ws"), F.lit(ngram))
     windows = (
@@ -81,31 +84,64 @@ def benchmark_windows(benchmark: DataFrame, ngram: int = NGRAM) -> tuple[DataFra
     return windows, items.select("item_key", "items")
 
 
+def _probed(ws: Column, lengths: list[int]) -> Column:
+    """Hashes of a text's windows of all lengths in one array (its places are the slots)."""
+    return F.concat(*([_hashes(ws, k) for k in lengths] or [F.array().cast("array<bigint>")]))
+
+
+def _start(slot: Column, size: Column, length: Column, lengths: list[int]) -> Column:
+    """First word of the window of ``length`` in a slot: its place less the windows of shorter lengths."""
+    for k in lengths:
+        earlier = F.greatest(size - (k - 1), F.lit(0))
+        slot = slot - F.when(length > k, earlier).otherwise(0)
+    return slot
+
+
+def _possible(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc, places): per hash of a document, the (slot, length) whose window hash is one of ``windows``.
+
+    Only hashes are shuffled, 28 bytes a window.  ``doc`` is a 64-bit hash: documents that share
+    one get each other's places, which the word by word check discards.
+    """
+    hashes = docs.select("doc", F.posexplode(_probed(F.col("ws"), lengths)).alias("slot", "window_hash"))
+    hit = hashes.join(windows.select("window_hash", "length").distinct(), "window_hash")
+    # at most the windows of one text
+    return hit.groupBy("doc").agg(F.collect_set(F.struct("slot", "length")).alias("places"))
+
+
 def window_hits(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
     """One row per document (id and text digest) with hits: hit spans of words and item ids."""
     windows, items = benchmark_windows(benchmark, ngram)
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most `ngram` rows
-    base = (
-        only(docs, "doc_id", "text")
-        .select("doc_id", text_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("ws"))
-    )
-    # windows of all lengths in one array; position minus the earlier lengths' counts is the start word
-    arrays = [_hashes(F.col("ws"), k) for k in lengths] or [F.array().cast("array<bigint>")]
-    # The hashes are a column of their own, so that explode, probe and check share one generated
-    # stage; the outer form keeps Catalyst from adding a filter that would compute them twice.
-    hashed = base.withColumn("probes", F.concat(*arrays))
-    probes = hashed.select("doc_id", "text_key", "ws", F.posexplode_outer("probes").alias("slot", "window_hash"))
-    start = F.col("slot")
-    for k in lengths:
-        earlier = F.greatest(F.size("ws") - (k - 1), F.lit(0))
-        start = start - F.when(F.col("length") > k, earlier).otherwise(0)
-    found = (
-        probes.join(broadcast_if_small(windows), "window_hash")
-        .withColumn("start", start)
-        .filter(F.col("start") >= 0)
-        .filter(F.slice(F.col("ws"), F.col("start") + 1, F.col("length")) == F.col("window"))
-        .select("doc_id", "text_key", "start", "length", "item_keys")
-    )
+    keyed = only(docs, "doc_id", "text").withColumn("text_key", text_key(F.col("text")))
+    base = keyed.select("doc_id", "text_key", words(F.col("text")).alias("ws"))
+    small = broadcast_if_small(windows)
+    if small is not windows:  # hinted
+        # The hashes are a column of their own, so that explode, probe and check share one generated
+        # stage; the outer form keeps Catalyst from adding a filter that would compute them twice.
+        hashed = base.withColumn("probes", _probed(F.col("ws"), lengths))
+        probes = hashed.select("doc_id", "text_key", "ws", F.posexplode_outer("probes").alias("slot", "window_hash"))
+        found = (
+            probes.join(small, "window_hash")
+            .withColumn("start", _start(F.col("slot"), F.size("ws"), F.col("length"), lengths))
+            .filter(F.col("start") >= 0)
+            .filter(F.slice(F.col("ws"), F.col("start") + 1, F.col("length")) == F.col("window"))
+            .select("doc_id", "text_key", "start", "length", "item_keys")
+        )
+    else:
+        doc = F.xxhash64("doc_id", "text_key").alias("doc")
+        places = checkpointed(_possible(base.select(doc, "ws"), windows, lengths))
+        again = keyed.select("doc_id", "text_key", "text", doc).join(broadcast_if_rows_fit(places, places.count()), "doc")
+        at = again.select("doc_id", "text_key", words(F.col("text")).alias("ws"), F.explode("places").alias("p"))
+        start = _start(F.col("p.slot"), F.size("ws"), F.col("p.length"), lengths)
+        cut = (
+            at.select("doc_id", "text_key", "ws", start.alias("start"), F.col("p.length").alias("length"))
+            .filter((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("ws")))
+            .select("doc_id", "text_key", "start", "length", F.slice("ws", F.col("start") + 1, F.col("length")).alias("window"))
+        )
+        found = cut.join(windows.drop("window_hash"), ["length", "window"]).select(
+            "doc_id", "text_key", "start", "length", "item_keys"
+        )
     per_doc = found.groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("item_keys"))).alias("keys"),
@@ -161,8 +197,14 @@ def _marked(docs: DataFrame, benchmark: DataFrame, ngram: int) -> tuple[DataFram
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
-    """The documents without any hit, with all their columns."""
-    keyed, hits, same = _marked(docs, benchmark, ngram)
+    """The documents without any hit, with all their columns.
+
+    The hits' keys are kept and counted first: while they fit the broadcast bound, no document moves.
+    """
+    keyed, hits, _ = _marked(docs, benchmark, ngram)
+    hits = checkpointed(hits.select("_sr_hit_doc", "_sr_hit_key"))
+    hits = broadcast_if_rows_fit(hits, hits.count())
+    same = keyed["doc_id"].eqNullSafe(hits["_sr_hit_doc"]) & (keyed["_sr_text_key"] == hits["_sr_hit_key"])
     return keyed.join(hits, same, "left_anti").drop("_sr_text_key")
 
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from stockroom.llm import decontaminate as d
+from stockroom.plans.joins import BROADCAST_LIMIT_CONF
 from tests.llm import edge
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -31,7 +35,16 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
-def test_against_brute_force(spark):
+@pytest.fixture(params=["broadcast", "shuffle"])
+def way(request, spark):
+    """Both ways to the windows: broadcast, and shuffled as beyond the bound."""
+    if request.param == "shuffle":
+        spark.conf.set(BROADCAST_LIMIT_CONF, "0")
+    yield request.param
+    spark.conf.unset(BROADCAST_LIMIT_CONF)
+
+
+def test_against_brute_force(spark, way):
     item = edge.prose(7, 30)
     items = [(1, item), (20, item), (3, "Short ITEM here"), (4, None), (5, ""), (None, "lonely words"), (6, edge.prose(8, 10))]
     extra = [
@@ -52,7 +65,7 @@ def test_against_brute_force(spark):
     assert any(x[3] == ["1", "20"] for x in got)
 
 
-def test_filters_keep_columns_and_clean_rows(spark):
+def test_filters_keep_columns_and_clean_rows(spark, way):
     item = edge.prose(7, 30)
     dirty = (100, "Keep this. " + item + " And this.", "en", "s", 1, "x", "y", "z", 1)
     docs = edge.documents(spark, [dirty])
@@ -64,9 +77,42 @@ def test_filters_keep_columns_and_clean_rows(spark):
     assert d.remove_spans(docs, bench).count() == docs.count()
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, way):
     bench = spark.createDataFrame([(1, edge.prose(7, 30))], "item_id bigint, text string")
     assert d.contamination(edge.empty(spark), bench).count() == 0
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert all(not r.spans for r in d.contamination(edge.documents(spark), none).collect())
     assert d.drop_contaminated(edge.documents(spark), none).count() == edge.documents(spark).count()
+
+
+def test_equal_hashes_of_items_and_windows_do_not_mix(spark, way, monkeypatch):
+    """With every window of one hash, only the words decide; items go by a digest of their words."""
+    monkeypatch.setattr(d.F, "xxhash64", lambda *_: d.F.lit(7).cast("bigint"))
+    items = [(1, edge.prose(7, 12)), (2, edge.prose(8, 12)), (3, "short one")]
+    docs = [(10, edge.prose(7, 12)), (11, "x " + edge.prose(8, 14)), (12, edge.prose(9, 40)), (13, "a short one b")]
+    found = d.contamination(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    ).collect()
+    got = {r.doc_id: (sum(s.length for s in r.spans) > 0, list(r["items"])) for r in found}
+    want = {i: (n > 0, ids) for i, _, n, ids in brute(docs, items)}
+    assert got == want and got[10][1] == ["1"]
+
+
+def test_no_shuffled_row_holds_a_documents_words(spark):
+    spark.conf.set(BROADCAST_LIMIT_CONF, "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bench = spark.createDataFrame([(1, edge.prose(7, 30))], "item_id bigint, text string")
+        docs = edge.documents(spark)
+        windows, _ = d.benchmark_windows(bench)
+        base = docs.select(F.xxhash64("doc_id").alias("doc"), d.words(F.col("text")).alias("ws"))
+        for frame in (d._possible(base, windows, [10]), d.window_hits(docs, bench)):
+            plan = frame._jdf.queryExecution().executedPlan()
+            text = spark.sparkContext._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
+            exchanges = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)
+            assert exchanges and plan is not None
+            # the benchmark's own items are shuffled by their words; no row of a document is
+            assert not [e for e in exchanges if "ws#" in e and ("doc" in e or "text_key" in e)]
+    finally:
+        spark.conf.unset(BROADCAST_LIMIT_CONF)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
