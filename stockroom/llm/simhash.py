@@ -176,6 +176,11 @@ def near_duplicates(
     return _labelled(docs, words, max_bits, bucket_limit).drop("root")
 
 
+def _row_key(doc_id: Column, digest: Column) -> Column:
+    """A row's id and text digest as one value that is never null."""
+    return F.concat(F.hex(digest), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("none")))
+
+
 def keep_one(
     docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT
 ) -> DataFrame:
@@ -184,14 +189,33 @@ def keep_one(
     The row kept is that of the smallest doc_id (ties: smallest text digest; equal rows: any one).
     Groups go by their root fingerprint: groups without any id, or with an id in common, stay apart.
     """
-    labels = _labelled(docs, words, max_bits, bucket_limit)
+    labels = checkpointed(
+        _labelled(docs, words, max_bits, bucket_limit).groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    )
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_key"))
     best = labels.groupBy("root").agg(F.min(order).alias("keep"))
-    best = best.select(F.col("keep.doc_id").alias("_sr_keep_doc"), F.col("keep.text_key").alias("_sr_keep_key"))
-    keyed = docs.withColumn("_sr_text_key", text_key(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(best["_sr_keep_doc"]) & (keyed["_sr_text_key"] == best["_sr_keep_key"])
+    best = checkpointed(best.select(_row_key(F.col("keep.doc_id"), F.col("keep.text_key")).alias("_sr_best")))
+    keys = labels.select(_row_key(F.col("doc_id"), F.col("text_key")).alias("_sr_key"), "n")
+    is_best = F.col("_sr_key") == F.col("_sr_best")
+    # What goes: every other row of a group, and all but one of the rows that repeat the kept one.
+    gone = checkpointed(keys.join(best, is_best, "left_anti").select("_sr_key"))
+    repeated = checkpointed(keys.filter("n > 1").join(best, is_best, "left_semi").select("_sr_key"))
+    n_gone, n_repeated = gone.count(), repeated.count()
+
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return keyed.join(best, same, "left_semi").dropDuplicates(["doc_id", "_sr_text_key"]).select(*names)
+    keyed = docs.withColumn("_sr_row_key", _row_key(F.col("doc_id"), text_key(F.col("text"))))
+    some = broadcast_if_rows_fit(repeated, n_repeated)
+    out = gone.unionByName(repeated)
+    hinted = broadcast_if_rows_fit(out, n_gone + n_repeated)
+    if hinted is not out and some is not repeated:  # both fit: no document is shuffled
+        rest = keyed.join(hinted, F.col("_sr_row_key") == F.col("_sr_key"), "left_anti").select(*names)
+        if not n_repeated:
+            return rest
+        once = keyed.join(some, F.col("_sr_row_key") == F.col("_sr_key"), "left_semi").dropDuplicates(["_sr_row_key"])
+        return rest.unionByName(once.select(*names))
+    # one shuffle of the documents, by the key of both the join and the choice among repeated rows
+    kept = keyed.join(best, F.col("_sr_row_key") == F.col("_sr_best"), "left_semi")
+    return kept.dropDuplicates(["_sr_row_key"]).select(*names)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stockroom.llm import simhash
 from stockroom.llm.components import components
+from stockroom.plans.joins import BROADCAST_LIMIT_CONF
 from tests.llm import edge
 
 
@@ -61,7 +62,16 @@ def test_links_of_clustered_fingerprints(spark, bucket_limit):
         assert wrong.count() == 0
 
 
-def test_documents_and_keep_one(spark):
+@pytest.fixture(params=["broadcast", "shuffle"])
+def way(request, spark):
+    """Both ways to drop documents: by broadcast keys, and by one shuffle as beyond the bound."""
+    if request.param == "shuffle":
+        spark.conf.set(BROADCAST_LIMIT_CONF, "0")
+    yield request.param
+    spark.conf.unset(BROADCAST_LIMIT_CONF)
+
+
+def test_documents_and_keep_one(spark, way):
     near = edge.prose(1, 400)
     changed = near.replace(" the ", " a ", 1)
     docs = edge.documents(spark, [(50, near, *[None] * 7), (51, changed, *[None] * 7), (52, near, *[None] * 7)])
@@ -83,7 +93,7 @@ def test_documents_and_keep_one(spark):
     assert sorted(x for x in zero if x is not None) == [0, 1, 2]  # null, empty and blank texts are one group
 
 
-def test_groups_without_an_id_or_with_a_common_id_stay_apart(spark):
+def test_groups_without_an_id_or_with_a_common_id_stay_apart(spark, way):
     a, b, c, d = (edge.prose(seed, 200) for seed in (21, 22, 23, 24))
     rows = [(None, a), (None, b), (None, b), (None, b.replace(" the ", " a ", 1)), (7, c), (7, d), (8, d), (None, c)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -93,7 +103,7 @@ def test_groups_without_an_id_or_with_a_common_id_stay_apart(spark):
     assert [k for k in kept if k not in of_b] == sorted([(None, a), (7, c), (7, d)], key=str)
 
 
-def test_empty_table(spark):
+def test_empty_table(spark, way):
     assert simhash.near_duplicates(edge.empty(spark)).count() == 0
     assert simhash.keep_one(edge.empty(spark)).count() == 0
 
@@ -102,3 +112,11 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a bigint, b bigint")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_kept_documents_are_not_shuffled(spark):
+    docs = edge.documents(spark)
+    kept = simhash.keep_one(docs)
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "formatted")
+    first = plan.split("Union")[1] if "Union" in plan else plan
+    assert "LeftAnti" in plan and "BroadcastHashJoin" in first
