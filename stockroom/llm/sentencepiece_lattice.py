@@ -5,18 +5,18 @@ Texts are escaped as the library does (one leading ``\\u2581``, every space beco
 another symbol, around line feeds, and between a letter and a following ASCII mark or digit
 (checked against the piece table; cuts it does not allow are not made).  Then
 
-1. the distinct units of all texts are gathered,
+1. the input's partitions are put together to groups, and each group gathers the distinct units of its texts,
 2. each unit's substrings up to the longest piece are exploded and equi-joined to the piece
    table: the joined rows are the edges of the unit's lattice,
 3. edges are grouped by unit and folded with Spark's higher-order ``aggregate``:
    * ``unigram`` models: Viterbi, the path of the highest total score;
    * ``bpe`` models: the library's merge order, as a fold over a bit mask of symbol borders
      (Viterbi over the same lattice does not give a BPE model's results),
-4. every group of input partitions receives the pieces of its own units and writes each
-   document's ids in order.
+4. the folded units are joined to the groups that hold them, one row per unit and group (a common word is many
+   small rows, not one long one), and every group receives its units and writes each document's ids in order.
 
 Units with symbols outside the piece table (byte fallback) or of over 62 symbols are merged
-by a small heap in :func:`merge_exactly`, which gives the same result.
+by a small heap in :func:`merge_exactly` where a document needs them, which gives the same result.
 
 Decoding looks ids up in the piece table and joins the pieces' bytes.  Every document's ids are
 decoded as they are written and compared with its stored text (``round_trip``).
@@ -24,8 +24,8 @@ decoded as they are written and compared with its stored text (``round_trip``).
 Defined results: null and empty texts have no ids and decode to the empty text; a literal
 ``\\u2581`` in a text has the ids of a space, as in the library, and counts as one in
 ``round_trip``; repeated rows each get a row; an empty table gives no rows; extra columns are
-ignored.  Memory per task is one group's dictionary of units (flushed in parts when it is
-gathered) plus one batch.
+ignored; ``doc_id`` keeps its type.  Very long texts are encoded whole, a batch holding only them.  Memory per task
+is one group's dictionary of units (flushed in parts when it is gathered) plus one batch.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockroom.llm.common import let, only, read
 from stockroom.plans.joins import broadcast_if_rows_fit
@@ -50,10 +51,12 @@ END_SHIFT = 16
 START_SHIFT, RANK_SHIFT = 22, 28
 UNITS_HELD = 1_000_000
 WORDS_REMEMBERED = 100_000
+REMEMBERED_SYMBOLS = 200  # longer words are cut and merged each time they come up
 DOCUMENTS_AT_ONCE = 500
 IDS_AT_ONCE = 1 << 16  # ids decoded at a time
 LATTICE_SPREAD = 4
-GROUP_BYTES = 48 << 20  # input bytes whose units share one dictionary
+GROUP_BYTES = 48 << 20  # at most so many input bytes share one dictionary of units
+GROUPS_A_CORE = 4  # at least so many groups per core, if the input has as many partitions
 
 
 @dataclass
@@ -155,8 +158,12 @@ def words_of(text: str) -> list[str] | None:
     return None if "" in words or SPACE in text else words
 
 
-def distinct_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, simple, groups): every distinct unit with the input groups that hold it."""
+def group_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, mark): the units of every input group (partition), dealt by unit.
+
+    A mark is twice the group's number, plus one for a unit that the lattice folds.  One column holds both, so that
+    whoever reads these rows reads all of them, and one exchange serves all.
+    """
     pattern, known = pieces.unit_pattern(), frozenset(p for p in pieces.ids if len(p) == 1)
     alone = pieces.letters_cut
 
@@ -173,13 +180,9 @@ def distinct_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
             found = list(units)
             for at in range(0, len(found), 50_000):
                 part = found[at : at + 50_000]
+                marks = [2 * group + (len(u) <= MASK_SYMBOLS and known.issuperset(u)) for u in part]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(part, pa.string()),
-                        pa.array([len(u) <= MASK_SYMBOLS and known.issuperset(u) for u in part], pa.bool_()),
-                        pa.array([group] * len(part), pa.int32()),
-                    ],
-                    names=["unit", "simple", "group"],
+                    [pa.array(part, pa.string()), pa.array(marks, pa.int32())], names=["unit", "mark"]
                 )
 
         words: set[str] = set()
@@ -196,29 +199,29 @@ def distinct_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
                 words, units = set(), set()
         yield from rows(words, units)
 
-    found = texts.select("text").mapInArrow(gather, "unit string, simple boolean, group int")
+    found = texts.select("text").mapInArrow(gather, "unit string, mark int")
     # a unit's lattice is some 50 times its bytes: more and smaller partitions than the shuffled bytes ask for
     parts = LATTICE_SPREAD * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = found.repartition(parts, "unit")
-    return found.groupBy("unit", "simple").agg(F.collect_set("group").alias("groups"))
+    return found.repartition(parts, "unit")
 
 
-def lattice(units: DataFrame, piece_table: DataFrame, longest: int, carry: str) -> DataFrame:
-    """(unit, edges, carry): the edges of every unit as sorted longs.
+def lattice(units: DataFrame, piece_table: DataFrame, longest: int) -> DataFrame:
+    """(unit, edges): the edges of every unit of ``units`` (unit, simple) that is simple, as sorted longs.
 
     With ``piece_table`` broadcast, the rows stay where ``units`` has them (partitioned by
     unit), so that grouping by unit moves nothing.
     """
-    starts = units.select("unit", carry, F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    places = F.when(F.col("simple"), F.sequence(F.lit(0), F.length("unit") - 1))
+    starts = units.select("unit", F.explode_outer(places).alias("s"))  # outer: no filter is moved below the exchange
     ends = F.explode(F.sequence(F.col("s") + 1, F.least(F.length("unit"), F.col("s") + longest))).alias("e")
-    spans = starts.select("unit", carry, "s", ends)
+    spans = starts.select("unit", "s", ends)
     text = F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s"))
     edges = spans.withColumn("piece", text).join(piece_table, "piece")
     place = F.shiftleft(F.col("s").cast("bigint"), START_SHIFT).bitwiseOR(
         F.shiftleft(F.col("e").cast("bigint"), END_SHIFT)
     )
     edge = F.col("code").bitwiseOR(place)
-    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first(carry).alias(carry))
+    return edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _field(edge: Column, shift: int, bits: int) -> Column:
@@ -304,38 +307,46 @@ def fold_viterbi(n: Column, edges: Column, scores: list[float]) -> Column:
     return let(F.transform(edges, unpacked), fold)
 
 
-def encode_units(units: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFrame:
-    """(unit, ids, groups) for every row of ``units`` (unit, simple, groups)."""
-    spark = units.sparkSession
-    table = broadcast_if_rows_fit(pieces.frame(spark), len(pieces.ids))
-    edges = lattice(units.filter("simple"), table, pieces.longest, "groups")
+def fold_units(units: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFrame:
+    """(unit, ids) of the units (unit, simple) that are simple, folded over the lattice."""
+    table = broadcast_if_rows_fit(pieces.frame(units.sparkSession), len(pieces.ids))
+    edges = lattice(units, table, pieces.longest)
     arguments = (F.length("unit"), F.col("edges"))
     ids = fold_merges(*arguments) if model_type == "bpe" else fold_viterbi(*arguments, pieces.ranked_scores())
-    folded = edges.select("unit", ids.alias("ids"), "groups")
+    return edges.select("unit", ids.alias("ids"))
+
+
+def encode_units(units: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFrame:
+    """(unit, ids) for every row of ``units`` (unit, simple): folded, or merged one by one."""
 
     @F.pandas_udf("array<int>")
     def merged(found):
         return found.map(lambda u: merge_exactly(u, pieces))
 
-    rest = units.filter(~F.col("simple")).select("unit", merged("unit").alias("ids"), "groups")
-    return folded.unionByName(rest)
+    rest = units.filter(~F.col("simple")).select("unit", merged("unit").alias("ids"))
+    return fold_units(units, pieces, model_type).unionByName(rest)
 
 
 def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFrame:
     """Per document: doc_id, ids, and round_trip (the ids decode to the document's text again)."""
+    spark = docs.sparkSession
     slim = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    grouped = slim.coalesce(max(1, -(-slim.rdd.getNumPartitions() * _split_bytes(docs.sparkSession) // GROUP_BYTES)))
-    units = encode_units(distinct_units(grouped, pieces), pieces, model_type)
-
-    entries = units.select(
-        F.explode("groups").alias("group"),
-        F.lit(0).alias("kind"),
-        F.lit(None).cast("bigint").alias("doc_id"),
-        "unit",
-        # two bytes an id, the high one first
-        F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), "")).alias("payload"),
+    id_type = slim.schema["doc_id"].dataType
+    parts = slim.rdd.getNumPartitions()
+    by_size = -(-parts * _split_bytes(spark) // GROUP_BYTES)
+    groups = max(1, min(parts, max(by_size, GROUPS_A_CORE * spark.sparkContext.defaultParallelism)))
+    grouped = slim.coalesce(groups)
+    units = group_units(grouped, pieces)
+
+    # The rows (unit, mark) and the units' folded ids are both dealt by unit: this join moves nothing.
+    distinct = units.groupBy("unit").agg(F.max("mark").alias("mark")).select("unit", (F.col("mark") % 2 == 1).alias("simple"))
+    # two bytes an id, the high one first
+    payload = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), "")).alias("payload")
+    folded = fold_units(distinct, pieces, model_type).select("unit", payload)
+    entries = units.join(folded.hint("shuffle_hash"), "unit").select(
+        F.shiftright("mark", 1).alias("group"), F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("doc_id"), "unit", "payload"
     )
-    schema = "group int, kind int, doc_id bigint, unit string, payload binary"
+    schema = entries.schema
 
     def compress(batches):
         import zstandard
@@ -349,7 +360,7 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                 [
                     pa.array([group] * n, pa.int32()),
                     pa.array([1] * n, pa.int32()),
-                    batch.column("doc_id").cast(pa.int64()),
+                    batch.column("doc_id"),
                     pa.nulls(n, pa.string()),
                     pa.array(texts, pa.binary()),
                 ],
@@ -365,25 +376,41 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
         expand = zstandard.ZstdDecompressor()
 
         class Known(dict):
-            """Ids of units, and of whole words as they come up."""
+            """Packed ids of units other than letters after a space."""
 
             def __missing__(self, unit):
-                # only if the input was split in another way the second time
-                self[unit] = found = np.asarray(merge_exactly(unit, pieces), dtype=">u2").tobytes()
+                found = dict.get(words, unit[1:]) if alone and unit[:1] == SPACE else None
+                if found is None:
+                    found = merged.get(unit)
+                if found is None:  # not folded: unknown or many symbols, or the input was split in another way before
+                    found = np.asarray(merge_exactly(unit, pieces), dtype=">u2").tobytes()
+                    if len(merged) >= WORDS_REMEMBERED:
+                        merged.clear()
+                    if len(unit) <= REMEMBERED_SYMBOLS:
+                        merged[unit] = found
                 return found
 
         class Words(dict):
+            """Packed ids of words: those of letters are units of the group, others are remembered as they come up."""
+
             def __missing__(self, word):
-                if word.isalpha() and alone:
-                    found = units[SPACE + word]
-                else:
+                found = others.get(word)
+                if found is None:
                     found = b"".join([units[u] for u in pattern.findall(SPACE + word) if u])
-                if len(self) >= WORDS_REMEMBERED:
-                    self.clear()
-                self[word] = found
+                    if len(others) >= WORDS_REMEMBERED:
+                        others.clear()
+                    if len(word) <= REMEMBERED_SYMBOLS:
+                        others[word] = found
                 return found
 
-        current, units, words = None, Known(), Words()
+        current, units, words, others, merged = None, Known(), Words(), {}, {}
+
+        def learn(found, payloads):
+            for unit, payload in zip(found, payloads, strict=True):
+                if alone and unit[0] == SPACE and unit[1:].isalpha():
+                    words[unit[1:]] = payload
+                else:
+                    units[unit] = payload
 
         def ids_of(text):
             found = words_of(text)
@@ -391,40 +418,48 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                 return b"".join(map(words.__getitem__, found))
             return b"".join([units[u] for u in pattern.findall(escape(text)) if u])
 
-        def batch_of(rows):
-            doc_ids, encoded, alike = zip(*rows, strict=True)
+        def encoded_batch(part):
+            encoded, alike = [], []
+            for payload in part.column("payload").to_pylist():
+                text = expand.decompress(payload)
+                ids = ids_of(text.decode("utf-8"))
+                encoded.append(ids)
+                alike.append(decoded(ids, pieces.bytes_of) == text.replace(space, b" "))
             offsets = np.concatenate(([0], np.cumsum([len(x) // 2 for x in encoded]))).astype(np.int32)
             values = np.frombuffer(b"".join(encoded), dtype=">u2").astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(doc_ids, pa.int64()),
+                    part.column("doc_id"),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                     pa.array(alike, pa.bool_()),
                 ],
                 names=["doc_id", "ids", "round_trip"],
             )
 
-        held = []
-        names = ("group", "kind", "doc_id", "unit", "payload")
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
-                part = batch.slice(at, DOCUMENTS_AT_ONCE)
-                columns = [part.column(c).to_pylist() for c in names]
-                for group, kind, doc_id, unit, payload in zip(*columns, strict=True):
-                    if group != current:
-                        current, units, words = group, Known(), Words()
-                    if not kind:
-                        units[unit] = payload
-                        continue
-                    text = expand.decompress(payload)
-                    ids = ids_of(text.decode("utf-8"))
-                    held.append((doc_id, ids, decoded(ids, pieces.bytes_of) == text.replace(space, b" ")))
-                if held:
-                    yield batch_of(held)
-                    held = []
-
-    together = entries.unionByName(texts).repartition("group").sortWithinPartitions("group", "kind")
-    return together.mapInArrow(assemble, "doc_id bigint, ids array<int>, round_trip boolean")
+            group, kind = batch.column("group").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(group) != 0) | (np.diff(kind) != 0)) + 1
+            borders = [0, *cuts.tolist(), batch.num_rows]
+            for first, last in zip(borders, borders[1:], strict=False):  # rows of one group and kind
+                if first == last:
+                    continue
+                if group[first] != current:
+                    current = group[first]
+                    units.clear(), words.clear(), others.clear()
+                if kind[first] == 0:
+                    part = batch.slice(first, last - first)
+                    learn(part.column("unit").to_pylist(), part.column("payload").to_pylist())
+                    continue
+                for at in range(first, last, DOCUMENTS_AT_ONCE):
+                    yield encoded_batch(batch.slice(at, min(DOCUMENTS_AT_ONCE, last - at)))
+
+    together = entries.unionByName(texts).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind")
+    fields = [
+        T.StructField("doc_id", id_type),
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("round_trip", T.BooleanType()),
+    ]
+    return together.mapInArrow(assemble, T.StructType(fields))
 
 
 def _split_bytes(spark: SparkSession) -> int:

@@ -91,3 +91,25 @@ def test_viterbi_fold(spark):
     for u in units:
         expected = best_path(u, scores, ids)
         assert got.get(u) == expected or expected is None
+
+
+def test_ids_of_any_type_and_many_groups(spark):
+    """Text ids, a third of all rows one text, input over many partitions: the library's ids, no unbounded row."""
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [edge.prose(i % 40, 60) + f" w{i}, don't" for i in range(120)] + [ODD[0]] * 60 + [edge.LONG]
+    docs = spark.createDataFrame([(f"id-{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(40)
+    found = s.encode_and_check(docs, MODEL)
+    assert dict(found.dtypes)["doc_id"] == "string"
+    got = {r.doc_id: (list(r.ids), r.round_trip) for r in found.collect()}
+    assert got == {f"id-{i}": (library.encode(t), True) for i, t in enumerate(texts)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan
+
+
+def test_units_are_gathered_once_and_joined_where_they_are(spark):
+    docs = spark.createDataFrame([(i, edge.prose(i, 40)) for i in range(60)], "doc_id bigint, text string").repartition(9)
+    found = s.encode(docs, s.Pieces.load(MODEL))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow gather") == 1 and plan.count("ReusedExchange") == 1
+    assert plan.count("+- Exchange hashpartitioning(unit") == 1
