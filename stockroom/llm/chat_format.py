@@ -5,8 +5,9 @@ Input is raw transcripts: (conv_id, part, text) rows whose lines may carry a spe
 one, or none.  Each role has two hidden states, first line of a turn and later line.  A line
 shows four features: its marker word, whether a blank line or a part border precedes it,
 whether it ends in a question mark, and its length class.  Start, transition and emission
-probabilities are counted over labelled transcripts with add-one smoothing; markers that are
-rare in training count as one unknown marker.
+probabilities are counted over labelled transcripts with add-one smoothing.  A marker is one word of up
+to ``MARKER_LETTERS`` letters; longer ones are text.  Markers seen under ``MIN_MARKER_COUNT`` times in training,
+or beyond the ``MAX_MARKERS`` commonest, count as one unknown marker, whose emissions are learned too.
 
 The rows of a conversation are numbered densely in the order of part and text, by a range sort
 with an offset per partition.  Viterbi runs over whole conversations of any length, in three
@@ -19,8 +20,11 @@ Each turn is rendered as ``<|role|>``, its lines without markers, ``<|end|>``.
 
 Defined results: blank lines and null or empty parts show no line and make no turn, but count
 as a blank line; repeated (conv_id, part) rows are read in the order of their text; a null
-conv_id is one conversation of its own; null parts come first; an empty table gives no rows;
-without training rows nothing can be parsed and a ValueError is raised; extra columns are ignored.
+conv_id is one conversation of its own; null parts come first; an empty table gives no rows; ties between
+paths go to the lower state (roles by name, first line before later line); conv_id keeps its type, text ids
+included; extra columns are ignored.  Training without labelled rows raises a ValueError; :func:`untrained` then gives
+the model of the smoothed counts alone, in which a conversation is one turn of the first role.  A very long text is
+one row: its task holds it whole beside at most ``BLOCK`` - 1 other rows, and a turn's lines make one rendered row.
 """
 
 from __future__ import annotations
@@ -41,9 +45,10 @@ from stockroom.llm.common import checkpointed, only, read
 BLOCK = 512
 MIN_MARKER_COUNT = 20
 MAX_MARKERS = 1000  # marker words the model knows; the rest count as the unknown marker
-MARKER = re.compile(
-    r"^\s*(?:#{1,4}\s*)?(?:<\|(\w{1,20})\|>|\[(\w{1,20})\]:?|\*\*(\w{1,20}):?\*\*:?|(\w{1,20})\s?:)(?:\s+|$)"
-)
+MARKER_LETTERS = 20
+_WORD = rf"(\w{{1,{MARKER_LETTERS}}})"
+MARKER = re.compile(rf"^\s*(?:#{{1,4}}\s*)?(?:<\|{_WORD}\|>|\[{_WORD}\]:?|\*\*{_WORD}:?\*\*:?|{_WORD}\s?:)(?:\s+|$)")
+ROLES = ("assistant", "system", "user")  # of a model without labelled rows
 LENGTHS = (20, 60, 120, 300)  # upper ends of the length classes, in characters
 NO_MARKER, RARE_MARKER = "", "?"
 
@@ -131,7 +136,13 @@ def train(labelled: DataFrame) -> Model:
             starts[roles.index(r["role"])] += r["n"]
         else:
             turns[roles.index(r["previous"]), roles.index(r["role"])] += r["n"]
-    turns /= turns.sum(axis=1, keepdims=True)
+    return _model(roles, markers, starts, turns, first, later, emit)
+
+
+def _model(roles, markers, starts, turns, first, later, emit) -> Model:
+    """The log probabilities of smoothed counts (``first`` and ``later`` lines per role are smoothed here)."""
+    n = 2 * len(roles)
+    turns = turns / turns.sum(axis=1, keepdims=True)
     stay = (later + 1) / (first + later + 2)  # chance that the next line belongs to the same turn
     move = np.full((n, n), -np.inf)
     for i in range(len(roles)):
@@ -144,6 +155,13 @@ def train(labelled: DataFrame) -> Model:
     return Model(roles, markers, start, move, [np.log(t / t.sum(axis=1, keepdims=True)) for t in emit])
 
 
+def untrained(roles: tuple[str, ...] = ROLES) -> Model:
+    """The model of the smoothed counts alone, for transcripts without any labelled row."""
+    names, k = sorted(roles), len(roles)
+    emit = [np.ones((2 * k, values)) for values in (2, 2, 2, len(LENGTHS) + 1)]
+    return _model(names, [NO_MARKER, RARE_MARKER], np.ones(k), np.ones((k, k)), np.zeros(k), np.zeros(k), emit)
+
+
 def _chain(tables: list[np.ndarray]) -> np.ndarray:
     """Best score from the state before the first table to the state after the last."""
     out = tables[0]
@@ -166,6 +184,12 @@ def _path(tables: list[np.ndarray], entry: int, end: int | None) -> list[int]:
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _id_kind(df: DataFrame) -> str:
+    """How conv_id travels: whole numbers as bigint, all else as text."""
+    return "bigint" if dict(df.dtypes)["conv_id"] in _WHOLE else "string"
 
 
 def _by_group(df: DataFrame, keys: list[str], order: list[str], solve, schema: str) -> DataFrame:
@@ -204,7 +228,8 @@ def _by_group(df: DataFrame, keys: list[str], order: list[str], solve, schema: s
 
 def _starts(conv: pa.Array) -> np.ndarray:
     """Places of a sorted column where a conversation begins (a null is one of its own); the first row is one."""
-    filled, null = conv.fill_null(0).to_numpy(zero_copy_only=False), conv.is_null().to_numpy(zero_copy_only=False)
+    nothing = "" if pa.types.is_string(conv.type) else 0
+    filled, null = conv.fill_null(nothing).to_numpy(zero_copy_only=False), conv.is_null().to_numpy(zero_copy_only=False)
     new = (filled[1:] != filled[:-1]) | (null[1:] != null[:-1])
     return np.concatenate(([0], np.flatnonzero(new) + 1)) if len(conv) else np.zeros(0, np.int64)
 
@@ -216,7 +241,8 @@ def _numbered(parts: DataFrame) -> DataFrame:
     each partition counts on from what the ones before hold of its first conversation.
     """
     order = ["conv_id", "part", "text", "spread"]
-    spread = parts.select(F.col("conv_id").cast("bigint"), "part", "text").withColumn(
+    kind = _id_kind(parts)
+    spread = parts.select(F.col("conv_id").cast(kind), "part", "text").withColumn(
         "spread", F.monotonically_increasing_id()
     )
     ranged = checkpointed(spread.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "text"))
@@ -235,9 +261,11 @@ def _numbered(parts: DataFrame) -> DataFrame:
             n += batch.num_rows
         if n:
             found = [[TaskContext.get().partitionId()], [first[0]], [last[0]], [n], [n_last]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["p", "first", "last", "n", "n_last"])
+            types = [pa.int64(), _ARROW[kind], _ARROW[kind], pa.int64(), pa.int64()]
+            arrays = [pa.array(x, t) for x, t in zip(found, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["p", "first", "last", "n", "n_last"])
 
-    found = ranged.select("conv_id").mapInArrow(ends, "p bigint, first bigint, last bigint, n bigint, n_last bigint")
+    found = ranged.select("conv_id").mapInArrow(ends, f"p bigint, first {kind}, last {kind}, n bigint, n_last bigint")
     offsets: dict[int, int] = {}
     before, held = None, 0  # the last conversation so far and its rows
     for r in sorted(found.collect(), key=lambda r: r["p"]):  # one row per partition
@@ -261,7 +289,7 @@ def _numbered(parts: DataFrame) -> DataFrame:
             arrays = [conv, pa.array(position // size, pa.int64()), pa.array(position, pa.int64()), batch.column(1)]
             yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "block", "position", "text"])
 
-    return ranged.mapInArrow(number, "conv_id bigint, block bigint, position bigint, text string")
+    return ranged.mapInArrow(number, f"conv_id {kind}, block bigint, position bigint, text string")
 
 
 def parse(transcripts: DataFrame, model: Model) -> DataFrame:
@@ -270,6 +298,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     # state n is the one before a conversation's first line
     shared = transcripts.sparkSession.sparkContext.broadcast(model)  # states x feature values
 
+    kind, id_type = _id_kind(transcripts), transcripts.schema["conv_id"].dataType
     parts = _numbered(only(transcripts, "conv_id", "part", "text"))
 
     def lines_in(texts) -> list[tuple]:
@@ -289,7 +318,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
         return [(*rows[0][:2], _chain(line_tables(lines)).ravel().tolist())] if lines else []
 
     blocks = _by_group(
-        parts, ["conv_id", "block"], ["position"], block_scores, "conv_id bigint, block bigint, scores array<double>"
+        parts, ["conv_id", "block"], ["position"], block_scores, f"conv_id {kind}, block bigint, scores array<double>"
     )
     blocks = checkpointed(blocks.withColumn("super", F.floor(F.col("block") / BLOCK)))
 
@@ -297,7 +326,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
         return [(*rows[0][:2], _chain(tables_of(rows, 3)).ravel().tolist())]
 
     supers = _by_group(
-        blocks, ["conv_id", "super"], ["block"], super_scores, "conv_id bigint, super bigint, scores array<double>"
+        blocks, ["conv_id", "super"], ["block"], super_scores, f"conv_id {kind}, super bigint, scores array<double>"
     )
 
     def super_ends(rows):  # conv_id, super, scores
@@ -305,7 +334,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
         return [(*r[:2], a, b) for r, a, b in zip(rows, [n, *states], states, strict=False)]
 
     resolved = _by_group(
-        supers, ["conv_id"], ["super"], super_ends, "conv_id bigint, super bigint, entry int, end int"
+        supers, ["conv_id"], ["super"], super_ends, f"conv_id {kind}, super bigint, entry int, end int"
     )
     same_super = blocks["conv_id"].eqNullSafe(resolved["conv_id"]) & (blocks["super"] == resolved["super"])
     inner = blocks.join(resolved, same_super).select(
@@ -317,7 +346,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
         return [(r[0], r[2], a, b) for r, a, b in zip(rows, [rows[0][4], *states], states, strict=False)]
 
     borders = _by_group(
-        inner, ["conv_id", "super"], ["block"], block_ends, "conv_id bigint, block bigint, entry int, end int"
+        inner, ["conv_id", "super"], ["block"], block_ends, f"conv_id {kind}, block bigint, entry int, end int"
     )
     border = borders.select(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), "entry", "end")
     same_block = parts["conv_id"].eqNullSafe(border["b_conv"]) & (parts["block"] == border["b_block"])
@@ -340,7 +369,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
             ["conv_id", "block"],
             ["position"],
             block_runs,
-            "conv_id bigint, block bigint, run int, role int, n_lines bigint, body string",
+            f"conv_id {kind}, block bigint, run int, role int, n_lines bigint, body string",
         )
     )
     # a block's run 0 belongs to the last turn opened before it: found per super-block, then across super-blocks
@@ -371,7 +400,7 @@ def parse(transcripts: DataFrame, model: Model) -> DataFrame:
     body = F.array_join(F.filter(F.transform("bodies", lambda b: b["body"]), lambda b: b != ""), "\n")
     role = F.get(names, F.col("role"))
     return turns.select(
-        "conv_id",
+        F.col("conv_id").cast(id_type).alias("conv_id"),
         (F.col("turn.block") * (1 << 32) + F.col("turn.run")).alias("turn"),
         role.alias("role"),
         "n_lines",
@@ -397,8 +426,16 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
     )
 
 
+def train_or_smooth(labelled: DataFrame) -> Model:
+    """:func:`train`, or :func:`untrained` where no row is labelled."""
+    try:
+        return train(labelled)
+    except ValueError:
+        return untrained()
+
+
 def op1_chat_formatting(spark, sf_dir: str) -> DataFrame:
     """Turns recovered from raw transcripts of all conversations; trained on four fifths of them."""
     parts = raw_transcripts(read(spark, sf_dir, "conversations"))
     held_out = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    return parse(parts.drop("role"), train(parts.filter(~held_out)))
+    return parse(parts.drop("role"), train_or_smooth(parts.filter(~held_out)))
