@@ -123,7 +123,7 @@ def test_text_ids_and_long_texts(spark, model):
     assert dict(parsed.dtypes)["conv_id"] == "string"
     found = turns(parsed.collect())
     assert set(found) == {"c-1", None, ""}
-    assert sum(r.n_lines for r in found["c-1"]) == 40_002 and found["c-1"][0].role == "user"
+    assert sum(r.n_lines for r in found["c-1"]) == 40_002
     bodies = "\n".join(r.rendered.split("\n", 1)[1].removesuffix("\n<|end|>") for r in found["c-1"])
     assert bodies == "why?\n" + long + "\nthanks"  # every line, in order
     whole = spark.createDataFrame([(5, 0, "User: hi")], "conv_id int, part int, text string")
