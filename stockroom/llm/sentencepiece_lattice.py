@@ -56,7 +56,7 @@ DOCUMENTS_AT_ONCE = 500
 IDS_AT_ONCE = 1 << 16  # ids decoded at a time
 LATTICE_SPREAD = 4
 GROUP_BYTES = 48 << 20  # at most so many input bytes share one dictionary of units
-GROUPS_A_CORE = 4  # at least so many groups per core, if the input has as many partitions
+GROUPS_A_CORE = 2  # at least so many groups per core, if the input has as many partitions
 
 
 @dataclass
@@ -149,13 +149,12 @@ def merge_exactly(unit: str, pieces: Pieces) -> list[int]:
     return out
 
 
-def words_of(text: str) -> list[str] | None:
-    """The escaped text's words, each with its leading space symbol; None if spaces touch or end the text.
+def cut_at_spaces(text: str) -> bool:
+    """Every space of the text stands between two words.
 
-    Then a space run belongs to the unit after it, and the unit pattern has to cut the whole text.
+    Else a space run belongs to the unit after it, and the unit pattern has to cut the whole text.
     """
-    words = text.split(" ")
-    return None if "" in words or SPACE in text else words
+    return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
 
 
 def group_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
@@ -189,9 +188,8 @@ def group_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
         units: set[str] = set()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = words_of(text)
-                if found is not None:
-                    words.update(found)
+                if cut_at_spaces(text):
+                    words.update(text.split(" "))
                 else:
                     units.update(pattern.findall(escape(text)))
             if len(words) + len(units) > UNITS_HELD:
@@ -353,6 +351,8 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
 
         press = zstandard.ZstdCompressor(level=1)
         group = TaskContext.get().partitionId()
+        if group >= groups:
+            raise RuntimeError("the texts' partitions are not the groups that the units were gathered in")
         for batch in batches:
             n = batch.num_rows
             texts = [press.compress(t.encode("utf-8")) for t in batch.column("text").to_pylist()]
@@ -368,55 +368,38 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
             )
 
     texts = grouped.select("doc_id", "text").mapInArrow(compress, schema)
-    pattern, alone, space = pieces.unit_pattern(), pieces.letters_cut, SPACE.encode("utf-8")
+    pattern, space = pieces.unit_pattern(), SPACE.encode("utf-8")
 
     def assemble(batches):
         import zstandard
 
         expand = zstandard.ZstdDecompressor()
 
-        class Known(dict):
-            """Packed ids of units other than letters after a space."""
-
-            def __missing__(self, unit):
-                found = dict.get(words, unit[1:]) if alone and unit[:1] == SPACE else None
-                if found is None:
-                    found = merged.get(unit)
-                if found is None:  # not folded: unknown or many symbols, or the input was split in another way before
-                    found = np.asarray(merge_exactly(unit, pieces), dtype=">u2").tobytes()
-                    if len(merged) >= WORDS_REMEMBERED:
-                        merged.clear()
-                    if len(unit) <= REMEMBERED_SYMBOLS:
-                        merged[unit] = found
-                return found
-
-        class Words(dict):
-            """Packed ids of words: those of letters are units of the group, others are remembered as they come up."""
+        class Units(dict):
+            """Packed ids of the group's units; words of several units, and units not folded, as they come up."""
 
             def __missing__(self, word):
                 found = others.get(word)
                 if found is None:
-                    found = b"".join([units[u] for u in pattern.findall(SPACE + word) if u])
+                    cut = [u for u in pattern.findall(word) if u]
+                    if len(cut) > 1:
+                        found = b"".join([self[u] for u in cut])
+                    else:  # unknown or many symbols, or the input was split in another way before
+                        found = np.asarray(merge_exactly(word, pieces), dtype=">u2").tobytes()
                     if len(others) >= WORDS_REMEMBERED:
                         others.clear()
                     if len(word) <= REMEMBERED_SYMBOLS:
                         others[word] = found
                 return found
 
-        current, units, words, others, merged = None, Known(), Words(), {}, {}
-
-        def learn(found, payloads):
-            for unit, payload in zip(found, payloads, strict=True):
-                if alone and unit[0] == SPACE and unit[1:].isalpha():
-                    words[unit[1:]] = payload
-                else:
-                    units[unit] = payload
+        current, units, others = None, Units(), {}
 
         def ids_of(text):
-            found = words_of(text)
-            if found is not None:
-                return b"".join(map(words.__getitem__, found))
-            return b"".join([units[u] for u in pattern.findall(escape(text)) if u])
+            escaped = escape(text)
+            if not cut_at_spaces(text):
+                return b"".join([units[u] for u in pattern.findall(escaped) if u])
+            # every word with its leading space symbol
+            return b"".join(map(units.__getitem__, escaped.replace(SPACE, " " + SPACE)[1:].split(" ")))
 
         def encoded_batch(part):
             encoded, alike = [], []
@@ -445,15 +428,17 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                     continue
                 if group[first] != current:
                     current = group[first]
-                    units.clear(), words.clear(), others.clear()
+                    units.clear()
+                    others.clear()
                 if kind[first] == 0:
                     part = batch.slice(first, last - first)
-                    learn(part.column("unit").to_pylist(), part.column("payload").to_pylist())
+                    units.update(zip(part.column("unit").to_pylist(), part.column("payload").to_pylist(), strict=True))
                     continue
                 for at in range(first, last, DOCUMENTS_AT_ONCE):
                     yield encoded_batch(batch.slice(at, min(DOCUMENTS_AT_ONCE, last - at)))
 
-    together = entries.unionByName(texts).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind")
+    # Texts first: a union numbers its first part's partitions from 0, so that a text's group is its partition.
+    together = texts.unionByName(entries).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind")
     fields = [
         T.StructField("doc_id", id_type),
         T.StructField("ids", T.ArrayType(T.IntegerType())),

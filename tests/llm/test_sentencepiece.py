@@ -113,3 +113,18 @@ def test_units_are_gathered_once_and_joined_where_they_are(spark):
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("MapInArrow gather") == 1 and plan.count("ReusedExchange") == 1
     assert plan.count("+- Exchange hashpartitioning(unit") == 1
+
+
+def test_documents_are_written_from_the_folded_units(spark, monkeypatch, tmp_path):
+    """Ordinary words come from the lattice of their own group: the heap is never asked."""
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+    def refuse(unit, pieces):
+        raise AssertionError(f"{unit!r} was not folded")
+
+    monkeypatch.setattr(s, "merge_exactly", refuse)
+    rows = [(i, edge.prose(i, 50) + ", and more.") for i in range(90)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(20).write.parquet(str(tmp_path / "docs"))
+    found = s.encode_and_check(spark.read.parquet(str(tmp_path / "docs")), MODEL).collect()
+    assert {r.doc_id: list(r.ids) for r in found} == {i: library.encode(t) for i, t in rows}
+    assert all(r.round_trip for r in found)
