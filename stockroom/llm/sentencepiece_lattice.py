@@ -341,7 +341,8 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
     # two bytes an id, the high one first
     payload = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), "")).alias("payload")
     folded = fold_units(distinct, pieces, model_type).select("unit", payload)
-    entries = units.join(folded.hint("shuffle_hash"), "unit").select(
+    # a group that gathered in parts may name a unit twice
+    entries = units.distinct().join(folded.hint("shuffle_hash"), "unit").select(
         F.shiftright("mark", 1).alias("group"), F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("doc_id"), "unit", "payload"
     )
     schema = entries.schema
