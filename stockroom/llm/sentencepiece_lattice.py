@@ -55,6 +55,7 @@ WORDS_REMEMBERED = 100_000
 REMEMBERED_SYMBOLS = 200  # longer words are cut and merged each time they come up
 DOCUMENTS_AT_ONCE = 500
 IDS_AT_ONCE = 1 << 16  # ids decoded at a time
+UNIT_END = b"\xff"
 LATTICE_SPREAD = 4
 GROUP_BYTES = 48 << 20  # at most so many input bytes share one dictionary of units
 GROUPS_A_CORE = 2  # at least so many groups per core, if the input has as many partitions
@@ -150,15 +151,16 @@ def merge_exactly(unit: str, pieces: Pieces) -> list[int]:
     return out
 
 
-def cut_at_spaces(text: str) -> bool:
+def cut_at_spaces(text: str | bytes, space: str | bytes = " ", mark: str | bytes = SPACE) -> bool:
     """Every space of the text stands between two words.
 
     Else a space run belongs to the unit after it, and the unit pattern has to cut the whole text.
     """
-    return bool(text) and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text
+    edges = text.startswith(space) or text.endswith(space)
+    return bool(text) and not edges and space + space not in text and mark not in text
 
 
-def values(batch: pa.RecordBatch, name: str) -> list:
+def objects(batch: pa.RecordBatch, name: str) -> list:
     """A column's values as Python objects (some ten times faster than ``to_pylist``)."""
     return batch.column(name).to_numpy(zero_copy_only=False).tolist()
 
@@ -196,7 +198,7 @@ def group_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
         words: set[str] = set()
         units: set[str] = set()
         for batch in batches:
-            for text in values(batch, "text"):
+            for text in objects(batch, "text"):
                 if cut_at_spaces(text):
                     words.update(text.split(" "))
                 else:
@@ -350,12 +352,13 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
 
     # The rows (unit, mark) and the units' folded ids are both dealt by unit: this join moves nothing.
     distinct = units.groupBy("unit").agg(F.max("mark").alias("mark")).select("unit", (F.col("mark") % 2 == 1).alias("simple"))
-    # two bytes an id, the high one first
-    payload = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), "")).alias("payload")
+    # the unit, a byte that is in no UTF-8 text, and two bytes an id, the high one first
+    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 4, "0")), ""))
+    payload = F.concat(F.col("unit").cast("binary"), F.lit(UNIT_END), packed).alias("payload")
     folded = fold_units(distinct, pieces, model_type).select("unit", payload)
     # a group that gathered in parts may name a unit twice, with the same ids
     entries = units.join(folded.hint("shuffle_hash"), "unit").select(
-        F.shiftright("mark", 1).alias("group"), F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("doc_id"), "unit", "payload"
+        F.shiftright("mark", 1).alias("group"), F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("doc_id"), "payload"
     )
     schema = entries.schema
 
@@ -368,20 +371,20 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
             raise RuntimeError("the texts' partitions are not the groups that the units were gathered in")
         for batch in batches:
             n = batch.num_rows
-            texts = [press.compress(t.encode("utf-8")) for t in values(batch, "text")]
+            texts = [press.compress(t.encode("utf-8")) for t in objects(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([group] * n, pa.int32()),
                     pa.array([1] * n, pa.int32()),
                     batch.column("doc_id"),
-                    pa.nulls(n, pa.string()),
                     pa.array(texts, pa.binary()),
                 ],
-                names=["group", "kind", "doc_id", "unit", "payload"],
+                names=["group", "kind", "doc_id", "payload"],
             )
 
     texts = grouped.select("doc_id", "text").mapInArrow(compress, schema)
     pattern, space = pieces.unit_pattern(), SPACE.encode("utf-8")
+    bytes_of = np.array([*pieces.bytes_of, None], dtype=object)[:-1]  # None: an array of objects, whatever the pieces
 
     def assemble(batches):
         import zstandard
@@ -389,38 +392,39 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
         expand = zstandard.ZstdDecompressor()
 
         class Units(dict):
-            """Packed ids of the group's units; words of several units, and units not folded, as they come up."""
+            """Packed ids of the group's units, by their UTF-8 bytes; words of several units, and units not folded, as they come up."""
 
             def __missing__(self, word):
                 found = others.get(word)
                 if found is None:
-                    cut = [u for u in pattern.findall(word) if u]
-                    if len(cut) > 1:
-                        found = b"".join([self[u] for u in cut])
+                    text = word.decode("utf-8")
+                    cut = [u for u in pattern.findall(text) if u]
+                    if cut and cut != [text]:
+                        found = b"".join([self[u.encode("utf-8")] for u in cut])
                     else:  # unknown or many symbols, or the input was split in another way before
-                        found = np.asarray(merge_exactly(word, pieces), dtype=">u2").tobytes()
+                        found = np.asarray(merge_exactly(text, pieces), dtype=">u2").tobytes()
                     if len(others) >= WORDS_REMEMBERED:
                         others.clear()
-                    if len(word) <= REMEMBERED_SYMBOLS:
+                    if len(text) <= REMEMBERED_SYMBOLS:
                         others[word] = found
                 return found
 
         current, units, others = None, Units(), {}
 
         def ids_of(text):
-            escaped = escape(text)
-            if not cut_at_spaces(text):
-                return b"".join([units[u] for u in pattern.findall(escaped) if u])
+            if not cut_at_spaces(text, b" ", space):
+                found = pattern.findall(escape(text.decode("utf-8")))
+                return b"".join([units[u.encode("utf-8")] for u in found if u])
             # every word with its leading space symbol
-            return b"".join(map(units.__getitem__, escaped.replace(SPACE, " " + SPACE)[1:].split(" ")))
+            return b"".join(map(units.__getitem__, (space + text.replace(b" ", b" " + space)).split(b" ")))
 
         def encoded_batch(part):
             encoded, alike = [], []
-            for payload in values(part, "payload"):
+            for payload in objects(part, "payload"):
                 text = expand.decompress(payload)
-                ids = ids_of(text.decode("utf-8"))
+                ids = ids_of(text)
                 encoded.append(ids)
-                alike.append(decoded(ids, pieces.bytes_of) == text.replace(space, b" "))
+                alike.append(decoded(ids, bytes_of) == text.replace(space, b" "))
             offsets = np.concatenate(([0], np.cumsum([len(x) // 2 for x in encoded]))).astype(np.int32)
             values = np.frombuffer(b"".join(encoded), dtype=">u2").astype(np.int32)
             return pa.RecordBatch.from_arrays(
@@ -445,7 +449,7 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                     others.clear()
                 if kind[first] == 0:
                     part = batch.slice(first, last - first)
-                    units.update(zip(values(part, "unit"), values(part, "payload"), strict=True))
+                    units.update(p.split(UNIT_END, 1) for p in objects(part, "payload"))
                     continue
                 for at in range(first, last, DOCUMENTS_AT_ONCE):
                     yield encoded_batch(batch.slice(at, min(DOCUMENTS_AT_ONCE, last - at)))
@@ -465,11 +469,11 @@ def _split_bytes(spark: SparkSession) -> int:
     return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
 
-def decoded(ids: bytes, bytes_of: list[bytes]) -> bytes:
+def decoded(ids: bytes, bytes_of: np.ndarray) -> bytes:
     """Bytes of the text of packed ids (two bytes each, the high one first): as :func:`decode`, for one document."""
     packed = np.frombuffer(ids, dtype=">u2")
-    spans = (packed[at : at + IDS_AT_ONCE].tolist() for at in range(0, len(packed), IDS_AT_ONCE))
-    return b"".join(b"".join(map(bytes_of.__getitem__, span)) for span in spans).removeprefix(b" ")
+    spans = (packed[at : at + IDS_AT_ONCE] for at in range(0, len(packed), IDS_AT_ONCE))
+    return b"".join([b"".join(bytes_of[span].tolist()) for span in spans]).removeprefix(b" ")
 
 
 def joined_pieces(ids: Column, bytes_of: list[bytes]) -> Column:
