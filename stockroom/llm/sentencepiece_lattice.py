@@ -50,7 +50,7 @@ MASK_SYMBOLS = 62
 END_SHIFT = 16
 START_SHIFT, RANK_SHIFT = 22, 28
 UNITS_HELD = 1_000_000
-WORDS_HELD = 250_000  # words that wait to be cut into units
+WORDS_HELD = 100_000  # words that wait to be cut into units
 WORDS_REMEMBERED = 100_000
 REMEMBERED_SYMBOLS = 200  # longer words are cut and merged each time they come up
 DOCUMENTS_AT_ONCE = 500
@@ -165,6 +165,11 @@ def objects(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).to_numpy(zero_copy_only=False).tolist()
 
 
+def slices(batch: pa.RecordBatch, rows: int = DOCUMENTS_AT_ONCE) -> list[pa.RecordBatch]:
+    """The batch in parts, so that only one part's texts are Python objects at a time."""
+    return [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)]
+
+
 def group_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, mark): the units of every input group (partition), dealt by unit.
 
@@ -197,8 +202,8 @@ def group_units(texts: DataFrame, pieces: Pieces) -> DataFrame:
 
         words: set[str] = set()
         units: set[str] = set()
-        for batch in batches:
-            for text in objects(batch, "text"):
+        for part in (p for batch in batches for p in slices(batch)):
+            for text in part.column("text").to_pylist():
                 if cut_at_spaces(text):
                     words.update(text.split(" "))
                 else:
@@ -369,14 +374,14 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
         group = TaskContext.get().partitionId()
         if group >= groups:
             raise RuntimeError("the texts' partitions are not the groups that the units were gathered in")
-        for batch in batches:
-            n = batch.num_rows
-            texts = [press.compress(t.encode("utf-8")) for t in objects(batch, "text")]
+        for part in (p for batch in batches for p in slices(batch)):
+            n = part.num_rows
+            texts = [press.compress(t.encode("utf-8")) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([group] * n, pa.int32()),
                     pa.array([1] * n, pa.int32()),
-                    batch.column("doc_id"),
+                    part.column("doc_id"),
                     pa.array(texts, pa.binary()),
                 ],
                 names=["group", "kind", "doc_id", "payload"],
@@ -451,8 +456,7 @@ def encode(docs: DataFrame, pieces: Pieces, model_type: str = "bpe") -> DataFram
                     part = batch.slice(first, last - first)
                     units.update(p.split(UNIT_END, 1) for p in objects(part, "payload"))
                     continue
-                for at in range(first, last, DOCUMENTS_AT_ONCE):
-                    yield encoded_batch(batch.slice(at, min(DOCUMENTS_AT_ONCE, last - at)))
+                yield from map(encoded_batch, slices(batch.slice(first, last - first)))
 
     # Texts first: a union numbers its first part's partitions from 0, so that a text's group is its partition.
     together = texts.unionByName(entries).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind")
