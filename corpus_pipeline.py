@@ -5,6 +5,10 @@ Parquet and read again as the next stage's documents.  All but the last return t
 of ``documents``.  There is no oracle SQL: XXH64 fingerprints, the trained classifier and
 SentencePiece have no SQL form, so ``tests/llm/test_pipeline.py`` holds the whole run
 against a brute-force version.
+
+Defined results: null, empty and letterless texts are rejected by the first stage; repeated
+rows and texts are one group, of which one row stays; ids may be null; extra columns are
+carried to the last stage; very long texts are used whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
