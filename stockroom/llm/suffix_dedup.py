@@ -11,8 +11,10 @@ in the same document or another one.
 3. Construction.  All segments of a hash are one collection of strings, aligned at the anchor.
    The collection is built from the right, one column a round: each round inserts one symbol
    per string, re-sorts the suffixes stably by that symbol, and updates the common prefixes of
-   neighbours from the last round's.  The columns are read from one sequential file; order,
-   Burrows-Wheeler symbols and common prefixes are appended to another, which is then read
+   neighbours from the last round's.  The symbols that a round inserts are the Burrows-Wheeler
+   transform of the round before (the symbol in front of each suffix, in suffix order), read
+   from one sequential file, to which the round appends its own transform from the next column
+   of a second one.  Order and common prefixes are appended to a third, which is then read
    once to mark the windows that share ``length`` symbols with a neighbour.  Since equal windows
    stand at equal offsets, each round only has to keep the suffixes that start in its column,
    so a round costs the number of strings, not the size of all earlier columns, and the
@@ -244,7 +246,7 @@ def repeated_columns(groups: np.ndarray, before: np.ndarray, segments: list[byte
     lowest, highest = np.full(m, width), np.full(m, -1)
     left = reach - before
     right = left + np.array([len(s) for s in segments])
-    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as built:
+    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as transforms, tempfile.TemporaryFile() as built:
         matrix = np.full((m, width), PAD, dtype=np.uint16)
         for i, segment in enumerate(segments):
             matrix[i, left[i] : left[i] + len(segment)] = np.frombuffer(segment, dtype=np.uint8)
@@ -253,9 +255,10 @@ def repeated_columns(groups: np.ndarray, before: np.ndarray, segments: list[byte
         columns.seek(0)
         order = np.argsort(groups, kind="stable").astype(np.int32)
         shared = np.zeros(m, dtype=np.int32)  # common prefix of order[i - 1] and order[i]
-        symbols = np.fromfile(columns, dtype=np.uint16, count=m)
+        np.fromfile(columns, dtype=np.uint16, count=m)[order].tofile(transforms)  # in front of the empty suffixes
+        transforms.seek(0)
         for column in range(width - 1, -1, -1):
-            inserted = symbols[order]
+            inserted = np.fromfile(transforms, dtype=np.uint16, count=m)
             moved = np.lexsort((inserted, groups[order]))  # stable: by group, then by the new symbol
             # least common prefix between each suffix and the last one before it with the same symbol
             by_symbol = np.argsort(inserted, kind="stable")
@@ -270,16 +273,16 @@ def repeated_columns(groups: np.ndarray, before: np.ndarray, segments: list[byte
             shared = np.zeros(m, dtype=np.int32)
             shared[1:] = np.where(same, low[moved][1:] + 1, 0)
             order = order[moved]
-            following = np.fromfile(columns, dtype=np.uint16, count=m) if column else np.full(m, PAD, np.uint16)
+            if column:
+                read_to = transforms.tell()
+                np.fromfile(columns, dtype=np.uint16, count=m)[order].tofile(transforms)
+                transforms.seek(read_to)
             if column <= reach:  # only windows that hold the anchor are asked for
                 order.tofile(built)
-                following[order].tofile(built)  # the Burrows-Wheeler symbols of this column
                 shared.tofile(built)
-            symbols = following
         built.seek(0)
         for column in range(reach, -1, -1):
             order = np.fromfile(built, dtype=np.int32, count=m)
-            np.fromfile(built, dtype=np.uint16, count=m)
             shared = np.fromfile(built, dtype=np.int32, count=m)
             pair = shared >= length
             twice = pair | np.append(pair[1:], False)
