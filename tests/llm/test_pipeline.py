@@ -1,4 +1,4 @@
-"""The whole pipeline against a brute-force version in plain Python."""
+"""The whole pipeline against plain versions of its stages; of the code under test only the learned centroids are used."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from stockroom.llm import language_id, secret_scan
+from stockroom.llm import language_id
 from stockroom.llm.common import read
 from tests.conftest import SF_SMALL
 from tests.llm.test_decontaminate import brute as hits
+from tests.llm.test_language_plain import learning_rows, plain_idf, plain_predict
+from tests.llm.test_secret_battery import plain_limits, plain_redaction
 from tests.llm.test_simhash import plain_fingerprint, union
 
 
@@ -22,7 +24,9 @@ def test_stage_list():
 def test_run_against_brute_force(spark):
     docs = read(spark, SF_SMALL, "documents")
     model = language_id.train(docs.filter(~language_id.held_out("doc_id")))
-    kept = [(r.doc_id, r.text) for r in docs.collect() if not model.predict(r.text)[2]]
+    rows = docs.collect()
+    idf = plain_idf(learning_rows(rows))
+    kept = [(r.doc_id, r.text) for r in rows if not plain_predict(r.text, model, idf)[2]]
     assert len(kept) > 0.95 * docs.count()
 
     prints = {i: plain_fingerprint(t) for i, t in kept}
@@ -39,17 +43,9 @@ def test_run_against_brute_force(spark):
     kept = [(i, t) for i, t in kept if i not in dirty]
     assert dirty
 
-    frame = spark.createDataFrame(kept, "doc_id bigint, text string")
-    allowed = secret_scan.limits(frame)
+    limits = plain_limits([t for _, t in kept])
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    expected = {}
-    for i, text in kept:
-        out, end = "", 0
-        for a, _, b in secret_scan.all_spans(text, allowed):
-            if a >= end:
-                out += text[end:a] + "[SECRET]"
-            end = max(end, b)
-        expected[i] = library.encode(out + text[end:] if out else text)
+    expected = {i: library.encode(plain_redaction(text, limits)) for i, text in kept}
     rows = corpus_pipeline.run(spark, SF_SMALL).collect()
     assert {r.doc_id: list(r.ids) for r in rows} == expected
     assert len(rows) == len(expected) and all(r.round_trip for r in rows)
