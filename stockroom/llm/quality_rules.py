@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockroom.llm.common import checkpointed, let, only, read
+from stockroom.llm.common import LOWER, checkpointed, let, only, read
 
 # Fixed values of the base rules.
 MIN_WORDS = 10
@@ -49,16 +49,16 @@ MIN_CHARS = 200
 MIN_DIVERGENCE_WORDS = 60
 MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.25
-# Character classes in the order they are stripped; what is left is the last class, other ASCII marks.
+# Character classes after lower-case letters and white space, in the order they are stripped from what is left
+# without those two; the last class, other ASCII marks (with all of SYMBOLS), is what then remains.
+# Every character is named: Java looks such a class up in a table, and tests ranges one by one.
+LOWER_OR_SPACE = rf"[{LOWER}\x20\x09\x0A\x0B\x0C\x0D]+"
 CLASSES = {
-    "lower": "[a-z]+",
-    "space": SPACES,
     "other": r"[^\x00-\x7F]+",
     "sentence": "[.,;:!?'\"()-]+",
     "upper": "[A-Z]+",
     "digit": "[0-9]+",
 }
-SPACE_CLASS = list(CLASSES).index("space")
 
 
 def words(text: Column) -> Column:
@@ -66,30 +66,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
-def repeat_words(ws: Column) -> Column:
-    """Words inside 5-word windows that occur at least twice in the text.
+def window_hashes(hs: Column) -> Column:
+    """Hashes of the 5-word windows of a text, given its words' hashes."""
 
-    Windows are hashed; a text whose hashes are all distinct (the usual case) is done.
-    Otherwise (hash, position) pairs are sorted, those equal to a neighbour are kept, and
-    each start covers up to the next start or five words.
-    """
+    def windows(words):
+        firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
+        return F.transform(firsts, lambda h, i: F.xxhash64(h, *[words[i + k] for k in range(1, WINDOW)]))
 
-    def window_hashes(hs):
-        firsts = F.slice(hs, F.lit(1), F.size(hs) - (WINDOW - 1))
-        return F.transform(firsts, lambda h, i: F.xxhash64(h, *[hs[i + k] for k in range(1, WINDOW)]))
+    return let(hs, windows)
 
-    def starts(hashes):
-        tagged = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-        def equal_to_neighbour(pairs):
-            last = F.size(pairs) - 1
-            return F.filter(
-                pairs,
-                lambda p, i: ((i > 0) & (pairs[F.greatest(i - 1, F.lit(0))]["h"] == p["h"]))
-                | ((i < last) & (pairs[F.least(i + 1, last)]["h"] == p["h"])),
-            )
+def repeat_words(windows: Column) -> Column:
+    """Words inside 5-word windows that occur at least twice in the text, given the windows' hashes.
 
-        return F.array_sort(F.transform(let(tagged, equal_to_neighbour), lambda p: p["i"]))
+    A text whose hashes are all distinct (the usual case) is done.  Otherwise (hash, position)
+    pairs are sorted, those equal to a neighbour are kept, and each start covers up to the next
+    start or five words.
+    """
+    tagged = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def equal_to_neighbour(pairs):
+        last = F.size(pairs) - 1
+        return F.filter(
+            pairs,
+            lambda p, i: ((i > 0) & (pairs[F.greatest(i - 1, F.lit(0))]["h"] == p["h"]))
+            | ((i < last) & (pairs[F.least(i + 1, last)]["h"] == p["h"])),
+        )
 
     def cover(at):
         last = F.size(at) - 1
@@ -98,12 +100,9 @@ def repeat_words(ws: Column) -> Column:
         )
         return F.aggregate(spans, F.lit(0), lambda acc, x: acc + x)
 
-    def counted(hashes):
-        none_twice = F.size(F.array_distinct(hashes)) == F.size(hashes)
-        return F.when(none_twice, F.lit(0)).otherwise(let(starts(hashes), cover))
-
-    word_hashes = F.transform(ws, lambda w: F.xxhash64(w))
-    return F.when(F.size(ws) < WINDOW, F.lit(0)).otherwise(let(let(word_hashes, window_hashes), counted))
+    starts = F.sort_array(F.transform(let(tagged, equal_to_neighbour), lambda p: p["i"]))
+    none_twice = F.size(F.array_distinct(windows)) == F.size(windows)
+    return F.when(none_twice, F.lit(0)).otherwise(let(starts, cover))
 
 
 def _dup_lines(text: Column) -> Column:
@@ -115,70 +114,87 @@ def _strip(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def char_classes(text: Column) -> Column:
-    """Code points per class of :data:`CLASSES`; each class is stripped from what the last left."""
+def char_classes(text: Column, rest: Column) -> Column:
+    """Code points of ``text``: lower-case letters and white space together, then each class of :data:`CLASSES`, then the last.
 
-    def strip(rest, lengths, classes):
+    ``rest`` is the text without the first two; each class is stripped from what the last left.
+    """
+
+    def strip(left, lengths, classes):
         if not classes:
             return F.array(*lengths)
-        return let(_strip(rest, classes[0]), lambda r: strip(r, [*lengths, F.length(r)], classes[1:]))
-
-    left = strip(text, [F.length(text)], list(CLASSES.values()))
+        return let(_strip(left, classes[0]), lambda r: strip(r, [*lengths, F.length(r)], classes[1:]))
 
     def differences(ls):
-        n = len(CLASSES)
+        n = len(CLASSES) + 1
         return F.array(*[(ls[i] - ls[i + 1]).cast("bigint") for i in range(n)], ls[n].cast("bigint"))
 
-    return let(left, differences)
+    lengths = let(rest, lambda r: strip(r, [F.length(text), F.length(r)], list(CLASSES.values())))
+    return let(lengths, differences)
+
+
+def _space_apart(chars: Column, word_chars: Column) -> Column:
+    """:func:`char_classes` with its first entry parted into lower-case letters and white space."""
+    n_space = F.aggregate(chars, F.lit(0).cast("bigint"), lambda a, x: a + x) - word_chars
+    return F.concat(F.array(chars[0] - n_space, n_space), F.slice(chars, F.lit(2), F.size(chars)))
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """Per document: the base counts, character-class counts ``chars`` and the word array ``ws``."""
+    """Per document: the base counts, character-class counts ``chars`` and the words' hashes ``hs``.
+
+    Arrays that are used more than once are columns of a step of their own, so they are made
+    once and array functions on them are compiled; inside a lambda everything is interpreted.
+    """
     base = only(docs, "doc_id", "text", "lang").withColumn("text", F.coalesce("text", F.lit("")))
     text = F.col("text")
-    counted = base.withColumn("ws", words(text)).select(
+    split = base.withColumn("ws", words(text)).withColumn("rest", _strip(text, LOWER_OR_SPACE))
+    hashed = split.select(
         "doc_id",
         "lang",
-        "ws",
         F.size("ws").alias("n_words"),
-        char_classes(text).alias("chars"),
-        F.length(_strip(text, f"[^{SYMBOLS}]+")).alias("n_symbols"),
+        F.length(F.array_join("ws", "")).cast("bigint").alias("word_chars"),
+        char_classes(text, F.col("rest")).alias("chars"),
+        F.length(_strip(F.col("rest"), f"[^{SYMBOLS}]+")).alias("n_symbols"),
         _dup_lines(text).alias("n_dup_lines"),
-        repeat_words(F.col("ws")).alias("n_repeat_words"),
+        F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"),
+    )
+    counted = hashed.withColumn("windows", window_hashes(F.col("hs"))).withColumn(
+        "n_repeat_words", repeat_words(F.col("windows"))
     )
-    n_chars = F.aggregate("chars", F.lit(0).cast("bigint"), lambda a, x: a + x)
     too_repeated = 100 * F.col("n_repeat_words").cast("bigint") > MAX_REPEAT_PERCENT * F.col("n_words").cast("bigint")
-    return counted.withColumn("n_chars", n_chars).select(
+    return counted.select(
         "doc_id",
         "lang",
         "n_words",
-        (F.col("n_chars") - F.col("chars")[SPACE_CLASS]).alias("word_chars"),
+        "word_chars",
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        "ws",
-        "chars",
-        "n_chars",
+        "hs",
+        _space_apart(F.col("chars"), F.col("word_chars")).alias("chars"),
+        F.aggregate("chars", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_chars"),
         ((F.col("n_words") < MIN_WORDS) | too_repeated).alias("base_failed"),
     )
 
 
 def _common_words(words_of_lang: DataFrame, n_common: int) -> DataFrame:
-    """(lang, ranked, n_words): the ``n_common`` most frequent words per language with their counts."""
+    """(lang, ranked, n_words, word_chars): the ``n_common`` most frequent words per language with their counts."""
     counted = words_of_lang.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("word"))
     best = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n_common)
     ranked = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("ranked"))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("n_words"))  # reads the same shuffled counts
+    totals = counted.groupBy("lang").agg(  # reads the same shuffled counts
+        F.sum("n").alias("n_words"), F.sum(F.col("n") * F.length("word")).alias("word_chars")
+    )
     return ranked.join(totals, "lang")
 
 
 def references(docs: DataFrame, n_common: int = N_COMMON) -> DataFrame:
     """One row per language: character-class counts, common words and their counts (the last: all others)."""
     known = only(docs, "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chars = known.select("lang", char_classes(F.col("text")).alias("chars"))
+    chars = known.select("lang", char_classes(F.col("text"), _strip(F.col("text"), LOWER_OR_SPACE)).alias("chars"))
     chars = chars.groupBy("lang").agg(
-        F.array(*[F.sum(F.col("chars")[i]) for i in range(len(CLASSES) + 1)]).alias("ref_chars")
+        F.array(*[F.sum(F.col("chars")[i]) for i in range(len(CLASSES) + 2)]).alias("ref_chars")
     )
     pieces = known.select("lang", F.explode_outer(F.split("text", SPACES)).alias("word")).filter(F.col("word") != "")
     common = _common_words(pieces, n_common)
@@ -189,7 +205,7 @@ def references(docs: DataFrame, n_common: int = N_COMMON) -> DataFrame:
         .filter(F.col("n_words") >= MIN_REFERENCE_WORDS)
         .select(
             "lang",
-            F.transform("ref_chars", lambda c: c.cast("double")).alias("ref_chars"),
+            _space_apart(F.col("ref_chars"), F.col("word_chars")).cast("array<double>").alias("ref_chars"),
             F.transform("ranked", lambda r: r["word"]).alias("common"),
             F.concat(counts, F.array(rest)).cast("array<double>").alias("ref_words"),
         )
@@ -226,17 +242,17 @@ def js_distance(p: Column, q: Column) -> Column:
     )
 
 
-def _word_histogram(ws: Column, common: Column) -> Column:
-    """Counts of the common words in the text, and of all other words."""
+def _word_histogram(hs: Column, common: Column) -> Column:
+    """Counts of the common words in the text, and of all other words; both sides are word hashes."""
 
-    def histogram(at):
-        counts = F.transform(
-            F.sequence(F.lit(1), F.size(common)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double")
-        )
-        return F.concat(counts, F.array((F.size(ws) - F.size(at)).cast("double")))
+    def with_others(counts):
+        known = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+        return F.concat(counts, F.array(F.size(hs) - known)).cast("array<double>")
+
+    def counts(at):
+        return F.transform(common, lambda c: F.size(at) - F.size(F.array_remove(at, c)))
 
-    places = F.transform(ws, lambda w: F.array_position(common, w).cast("int"))
-    return let(F.filter(places, lambda x: x > 0), histogram)
+    return let(let(hs, counts), with_others)
 
 
 def score(docs: DataFrame, n_common: int = N_COMMON) -> DataFrame:
@@ -244,7 +260,8 @@ def score(docs: DataFrame, n_common: int = N_COMMON) -> DataFrame:
     measured = measures(docs)
     refs = checkpointed(references(docs, n_common))
     # one row holding every language's reference: bounded by languages times (n_common + classes)
-    table = refs.agg(F.collect_list(F.struct("lang", "ref_chars", "common", "ref_words")).alias("refs"))
+    hashed = refs.withColumn("common", F.transform("common", lambda w: F.xxhash64(w)))
+    table = hashed.agg(F.collect_list(F.struct("lang", "ref_chars", "common", "ref_words")).alias("refs"))
     joined = measured.join(F.broadcast(table))  # one row on the right: every document gets it, no pairs are made
     own = F.filter("refs", lambda r: r["lang"] == F.col("lang"))
     chosen = joined.withColumn("own", F.when(F.size(own) > 0, own).otherwise(F.col("refs")))
@@ -253,12 +270,12 @@ def score(docs: DataFrame, n_common: int = N_COMMON) -> DataFrame:
     word_distance = F.array_min(
         F.transform(
             "own",
-            lambda r: let(_word_histogram(F.col("ws"), r["common"]), lambda h: js_distance(h, r["ref_words"])),
+            lambda r: let(_word_histogram(F.col("hs"), r["common"]), lambda h: js_distance(h, r["ref_words"])),
         )
     )
     some = F.size("own") > 0
     scored = chosen.select(
-        *[c for c in measured.columns if c not in ("ws", "chars", "n_chars")],
+        *[c for c in measured.columns if c not in ("hs", "chars", "n_chars")],
         F.when(some & (F.col("n_chars") >= MIN_CHARS), char_distance).alias("char_distance"),
         F.when(some & ~F.col("base_failed") & (F.col("n_words") >= MIN_DIVERGENCE_WORDS), word_distance).alias(
             "word_distance"
